@@ -33,8 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.batches import column, text_steps, texts_of
+from tesserae.llm.recent import Recent
 
 CACHED = 350_000
+#: Bytes of text whose new words make one trie.
+TRIE_BYTES = 8 << 20
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
@@ -77,8 +80,7 @@ class Encoder:
                 self.made[t], self.left[t], self.right[t] = rank, x, y
         self.ids = {b: i for i, b in self.bytes_of.items() if i not in self.special.values() and (len(b) == 1 or self.made[i] >= 0)}
         self.follows: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Recent(CACHED)
         sized = [self.bytes_of.get(i, b"") for i in range(len(self.made))]
         self.sizes = np.array([len(b) for b in sized], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -176,21 +178,12 @@ class Encoder:
                 head, *tail = text.split(" ")
                 whole.append(i) if not tail else None
                 cuts.append(tail)
-        wanted = set().union(*cuts)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > CACHED:  # begin anew, and keep what is still wanted
-            self.before, self.known = self.known, {}
-            new = wanted
-        if new:
-            again = new.intersection(self.before)
-            self.known.update((w, self.before[w]) for w in again)
-            new = list(new.difference(again))
-            self.known.update(zip(new, self._encode_pieces([" " + w for w in new]), strict=True))
+        known = self.known.of(set().union(*cuts), lambda new: self._encode_pieces([" " + w for w in new]))
         set_whole = set(whole)
         heads = [t if i in set_whole else t[: t.index(" ")] for i, t in enumerate(texts)]
         firsts = list(set(heads))
         first = dict(zip(firsts, self._encode_pieces(firsts), strict=True))
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [first[h] + b"".join(map(get, tail)) for h, tail in zip(heads, cuts, strict=True)]
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
@@ -210,7 +203,7 @@ def _encoder(content: str) -> Encoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], content: str, digest: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(content)
-    for rows, data, offsets in text_steps(batches):
+    for rows, data, offsets in text_steps(batches, size=TRIE_BYTES):
         ids = encoder.encode_batch(texts_of(data, offsets))
         arrays = [column(rows, "row"), pa.array([len(x) // 4 for x in ids], pa.int64())]
         if digest:

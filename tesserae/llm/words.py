@@ -101,3 +101,25 @@ def runs(hashed: np.ndarray, first: np.ndarray, n: int, alt: bool = False) -> tu
     room = np.repeat(first[1:], np.diff(first)) - np.arange(len(hashed))
     at = np.flatnonzero(room >= n)
     return at, mix(_poly(hashed, at, at + n, _ALT_BASE if alt else _WORD_BASE) + np.uint64(n))
+
+
+def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours: the result is n - 1 shorter."""
+    out, have = values, 1
+    while 2 * have <= n:
+        out, have = np.minimum(out[:-have], out[have:]), 2 * have
+    return np.minimum(out[: len(values) - n + 1], out[n - have : len(values) - have + 1]) if have < n else out
+
+
+def joined(data: np.ndarray, words: Words, keep: np.ndarray) -> list[bytes]:
+    """Each text's kept words, joined by one space."""
+    start, size = words.start[keep], (words.end - words.start)[keep] + 1
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+    spaces = ends[1:] - 1
+    at[spaces] = 0
+    out = data[at] if len(at) else np.zeros(0, np.uint8)
+    out[spaces] = 0x20
+    cut = ends[np.concatenate([[0], np.cumsum(keep)])[words.first]].tolist()
+    raw = out.tobytes()
+    return [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
