@@ -46,10 +46,14 @@ def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"), F.struct("doc_id"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS[: pii.BASE]))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
+    counts = [_count_of(k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
     return found.select("row.doc_id", *counts, F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"))
 
 
