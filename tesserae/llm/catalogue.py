@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, decontamination, language_id, pii, simhash, substring_dedup, token_files
+from tesserae.llm import ann, bpe, decontamination, language_id, pii, resampling, simhash, substring_dedup, token_files, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,29 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Tools of op1's conversations: each assistant turn is a call of one of them.
+TOOLS = {
+    "answer": {"type": "object", "required": ["length", "text"], "properties": {"length": {"type": "integer"}, "text": {"type": "string"}}, "additionalProperties": False},
+    "lookup": {"type": "object", "required": ["terms"], "properties": {"terms": {"type": "array", "items": {"type": "string"}}}},
+}
+
+
+def _with_calls(turns: DataFrame) -> DataFrame:
+    """Conversations as tool messages: an assistant turn calls a tool, a user turn that is not the first is the result of the turn before it."""
+    arguments = F.when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.length("text").alias("length"), "text"))).otherwise(F.to_json(F.struct(F.slice(F.split("text", " "), 1, 3).alias("terms"))))
+    name = F.when(F.col("turn") % 4 == 1, "answer").otherwise("lookup")
+    quoted = F.to_json(F.struct(F.col("text").alias("content")))
+    call = F.format_string('{"call":{"id":"c%d","name":"%s","arguments":%s,"after":%s}}', F.col("turn"), name, arguments, F.when(F.col("turn") > 2, F.lit('["c1","c2"]')).otherwise(F.lit("[]")))
+    result = F.format_string('{"result":{"id":"c%d",%s}', F.col("turn") - 1, F.concat(F.substring(quoted, 2, 1 << 30), F.lit("")))
+    text = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (F.col("turn") > 0), result).otherwise(F.col("text"))
+    role = F.when((F.col("role") == "user") & (F.col("turn") > 0), "tool").otherwise(F.col("role"))
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(_with_calls(_table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~held_out()))
@@ -26,10 +49,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out())
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return resampling.resample(docs)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +98,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_id, op4_substring_dedup, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination)
+    found = (op1_tool_calls, op2_language_id, op3_importance_resampling, op4_substring_dedup, op5_nearest_vectors, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
