@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans import grids
+
+_PARTS = (grids,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return reduce(lambda a, b: a | b.QUERIES, _PARTS, {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return reduce(lambda a, b: a | b.ORACLES, _PARTS, {})
