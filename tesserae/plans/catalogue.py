@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import grids
+from tesserae.plans import business, grids
 
-_PARTS = (grids,)
+_PARTS = (grids, business)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
