@@ -23,4 +23,4 @@ def fingerprint(*parts: Column) -> Column:
 
 def packed_bits(x: Column, black: Column) -> Column:
     """An aggregate: the bits of one byte of a raster row, the leftmost first, from the pixels that are black."""
-    return F.sum(F.when(black, F.shiftleft(F.lit(1), F.lit(7) - (x % 8).cast("int"))).otherwise(0))
+    return F.sum(F.when(black, F.call_function("shiftleft", F.lit(1), F.lit(7) - (x % 8).cast("int"))).otherwise(0))

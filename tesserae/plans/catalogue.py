@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import business, grids
+from tesserae.plans import business, grids, texts
 
-_PARTS = (grids, business)
+_PARTS = (grids, business, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
