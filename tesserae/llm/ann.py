@@ -168,18 +168,22 @@ def _best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     if queries.num_rows and vectors.num_rows:
         vec_id, query_id = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         v, q = (_matrix(t[c].chunk(0) if t[c].num_chunks == 1 else pa.concat_arrays(t[c].chunks)) for t, c in ((vectors, "embedding"), (queries, "query")))
+        by_id = np.argsort(vec_id, kind="stable")
+        vec_id, v = vec_id[by_id], v[by_id]
+        first_of = np.flatnonzero(np.concatenate([[True], vec_id[1:] != vec_id[:-1]]))
         size = (v * v).sum(axis=1)
         for lo in range(0, len(q), 128):
             some, ids = q[lo : lo + 128], query_id[lo : lo + 128]
             rough = _squares(some, v)
             rough[ids[:, None] == vec_id[None, :]] = np.inf
-            most = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+            each = np.minimum.reduceat(rough, first_of, axis=1)  # repeated rows of a vec_id count once
+            last = min(k, each.shape[1]) - 1
+            most = np.partition(each, last, axis=1)[:, last]
             slack = 1e-9 * ((some * some).sum(axis=1) + size.max())  # beyond what the rough form can be off by
             at, which = np.nonzero((rough <= (most + slack)[:, None]) & np.isfinite(rough))
             exact = np.sqrt(((some[at] - v[which]) ** 2).sum(axis=1))
             order = np.lexsort((vec_id[which], exact, at))
             at, which, exact = at[order], which[order], exact[order]
-            # Repeated rows of a vec_id count once.
             first = np.zeros(len(at), bool)
             first[np.unique(np.stack([at, vec_id[which]]), axis=1, return_index=True)[1]] = True
             if not first.all() and len(first):
