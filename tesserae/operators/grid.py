@@ -236,3 +236,47 @@ def brand_codes(palette: DataFrame, mapping: DataFrame, prefix: str) -> DataFram
 def mode_cell(column: str) -> Column:
     """The commonest value of a group, the smallest of equally common ones, as an aggregate."""
     return F.mode(column, deterministic=True)
+
+
+def median_cells(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """One colour for each cell of height x width pixels: of its 9 samples, spread evenly, the opaque ones' upper median by brightness; cells without one, and near-white ones, are empty."""
+    row, col = F.floor(F.col("row") / height).cast("int"), F.floor(F.col("col") / width).cast("int")
+    spots = lambda size: sorted({int(size * f) for f in (0.25, 0.5, 0.75)})
+    samples = pixels.filter((F.col("row") % height).isin(*spots(height)) & (F.col("col") % width).isin(*spots(width)) & (F.col("a") >= 24))
+    bright = F.col("r") + F.col("g") + F.col("b")
+    lists = samples.groupBy("grid_id", row.alias("row"), col.alias("col")).agg(F.array_sort(F.collect_list(F.struct(bright.alias("k"), "r", "g", "b"))).alias("l"))  # nine at most
+    middle = lists.withColumn("m", F.get("l", F.floor(F.size("l") / 2).cast("int")))
+    white = (F.col("m.r") >= 248) & (F.col("m.g") >= 248) & (F.col("m.b") >= 248)
+    return middle.filter(~white).select(*CELL, "m.r", "m.g", "m.b")
+
+
+def repeated_rows(raster: DataFrame) -> DataFrame:
+    """Rows of packed bytes (grid_id, y, bytes) as runs of equal ones: (grid_id, y, times, bytes)."""
+    order = Window.partitionBy("grid_id").orderBy("y")
+    new = F.when(F.lag("bytes").over(order).eqNullSafe(F.col("bytes")), 0).otherwise(1)
+    marked = raster.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    return marked.groupBy("grid_id", "run").agg(F.min("y").alias("y"), F.count("*").alias("times"), F.first("bytes").alias("bytes")).drop("run")
+
+
+def logical_width(width: int, height: int, size: int) -> int | None:
+    """How many logical pixels of this size a picture is wide, if both sides are near enough to a whole number of them."""
+    error = max(abs(side / size - round(side / size)) for side in (width, height))
+    return round(width / size) if error <= 0.18 else None
+
+
+def remap(rows: DataFrame, links: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """rows with new ids 1, 2, ... in an order, and the links to them with the ids replaced; links to missing rows go.
+
+    The ranks need one ordered pass over the keys, so this is for what a person edits, not for large tables.
+    """
+    new = rows.select(F.col(key).alias("_old"), F.row_number().over(Window.orderBy(order)).alias("_new"))
+    swap = lambda df: df.join(new, df[key] == new["_old"]).withColumn(key, F.col("_new")).drop("_old", "_new")
+    return swap(rows), swap(links)
+
+
+def walk_index(grid: DataFrame, block: int) -> DataFrame:
+    """The non-empty cells' places in a walk row by row, colour by colour, and block by block."""
+    w = Window.partitionBy("grid_id")
+    cells = grid.filter(F.col("code").isNotNull())
+    by = {"by_row": ["row", "col"], "by_colour": ["code", "row", "col"], "by_block": [F.floor(F.col("row") / block), F.floor(F.col("col") / block), "row", "col"]}
+    return cells.withColumns({n: F.row_number().over(w.orderBy(*o)) for n, o in by.items()})

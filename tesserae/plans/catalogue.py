@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import business, grids, texts
+from tesserae.plans import business, grids, images, texts
 
-_PARTS = (grids, business, texts)
+_PARTS = (grids, business, texts, images)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -247,3 +247,74 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.max("row") + 1
     pages = F.ceil(F.lit(50 / 16.0)) * F.ceil(rows / F.lit(12.0))
     return grid(spark, sf_dir).groupBy("grid_id").agg(pages.cast("int").alias("pages"), (F.ceil(rows * F.lit(0.26) * 10).cast("double") / 10).alias("height_cm"))
+
+
+@query(
+    f"""WITH s AS (SELECT grid_id, "row" // 10 AS "row", col // 10 AS col, r, g, b, r + g + b AS k FROM ({PIXELS_SQL}) WHERE a >= 24 AND "row" % 10 IN (2, 5, 7) AND col % 10 IN (2, 5, 7)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY grid_id, "row", col ORDER BY k, r, g, b) - 1 AS i, count(*) OVER (PARTITION BY grid_id, "row", col) AS n FROM s)
+    SELECT grid_id, "row", col, r, g, b FROM n WHERE i = n // 2 AND NOT (r >= 248 AND g >= 248 AND b >= 248)"""
+)
+def median_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.median_cells(pixels(spark, sf_dir), 10, 10)
+
+
+@query(
+    f"""WITH g AS ({GRID_SQL}), r AS (SELECT grid_id, "row" // 6 AS k, "row" AS y, string_agg(CASE WHEN code = 'C1' THEN 'x' ELSE '-' END, '' ORDER BY col) AS cells FROM g WHERE col < 2 GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN lag(cells) OVER w = cells THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY grid_id ORDER BY y)), s AS (SELECT *, sum(new) OVER (PARTITION BY grid_id ORDER BY y) AS run FROM m)
+    SELECT grid_id, min(y) AS y, count(*) AS times, min(cells) AS bytes FROM s GROUP BY grid_id, run"""
+)
+def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("code") == "C1", "x").otherwise("-")
+    rows = grid(spark, sf_dir).filter("col < 2").groupBy("grid_id", F.col("row").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", mark.alias("m")))), lambda s: s["m"]), "").alias("bytes"))
+    return G.repeated_rows(rows)
+
+
+@query(
+    f"""SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY "row", col) AS by_row, row_number() OVER (PARTITION BY grid_id ORDER BY code, "row", col) AS by_colour, row_number() OVER (PARTITION BY grid_id ORDER BY "row" // 13, col // 13, "row", col) AS by_block
+    FROM ({GRID_SQL}) WHERE code IS NOT NULL"""
+)
+def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.walk_index(grid(spark, sf_dir), 13)
+
+
+@query(f"""SELECT grid_id, string_agg(line, ';' ORDER BY "row") AS text FROM (SELECT grid_id, "row", string_agg(coalesce(code || '|#0000' || upper(printf('%02x', col)), '.'), ',' ORDER BY col) AS line FROM ({GRID_SQL}) GROUP BY 1, 2) GROUP BY 1""")
+def grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources import boards
+
+    coloured = grid(spark, sf_dir).withColumn("hex", F.concat(F.lit("#0000"), F.lpad(F.hex("col"), 2, "0")))
+    return boards.to_text(coloured)
+
+
+@query(f"""SELECT grid_id, "row", col, code, CASE WHEN code IS NOT NULL THEN '#0000' || upper(printf('%02x', col)) END AS hex FROM ({GRID_SQL})""")
+def grid_text_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources import boards
+
+    return boards.from_text(grid_text(spark, sf_dir))
+
+
+@query(f"""SELECT g.grid_id, y AS "row", x AS col, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b, coalesce(p.a, 0) AS a FROM (SELECT DISTINCT grid_id FROM ({PIXELS_SQL})) g, range(30) a(y), range(20) b(x)
+    LEFT JOIN ({PIXELS_SQL}) p ON p.grid_id = g.grid_id AND p."row" = floor((y + 0.5) * (50 / 30.0::DOUBLE)) AND p.col = floor(8.333333333333332::DOUBLE + (x + 0.5) * (33.333333333333336::DOUBLE / 20))""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources import boards
+
+    return boards.resample(pixels(spark, sf_dir), boards.crop_window(50, 50, 20, 30), 20, 30)
+
+
+@query(
+    """SELECT p_partkey AS id, CAST(floor(p_size * 300.0::DOUBLE / 25.4::DOUBLE + 0.5) AS INTEGER) AS px, greatest(0, least(86400, CAST(p_retailprice * 100 AS BIGINT))) AS seconds, CAST(greatest(10, least(1000, floor(p_size * (p_retailprice / 1000) + 0.5))) AS INTEGER) AS height,
+    CAST(p_size AS VARCHAR) || 'x' || CAST(p_size + 1 AS VARCHAR) AS preset, p_size AS w, p_size + 1 AS h, CAST(ceil(p_size / 7.0) * ceil((p_size + 3) / 5.0) AS INTEGER) AS pages, CASE WHEN p_size * 9 <= 60 THEN 64 WHEN p_size * 9 <= 120 THEN 40 WHEN p_size * 9 <= 240 THEN 24 ELSE 12 END AS cell,
+    greatest(1, p_size * 20 // 150)::INT AS legend_columns, ceil(p_size / greatest(1, p_size * 20 // 150)::DOUBLE)::INT AS legend_rows, upper(p_brand) || ' ' || CAST(p_size AS VARCHAR) || ' colours' AS label FROM (SELECT * REPLACE (replace(p_brand, '-', '') AS p_brand) FROM part)"""
+)
+def board_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions import layout as L
+    from tesserae.plans.derived import table
+
+    size = F.col("p_size")
+    preset = F.concat(size.cast("string"), F.lit("x"), (size + 1).cast("string"))
+    w, h = L.board_size(preset)
+    columns, rows = L.legend(size * 20, size)
+    label = L.palette_label(L.palette_key(F.replace("p_brand", F.lit("-"), F.lit("")), size))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), L.mm_to_px(size).alias("px"), L.seconds(F.round(F.col("p_retailprice") * 100)).alias("seconds"), L.board_height(size, F.col("p_retailprice") / 1000).alias("height"), preset.alias("preset"), w.alias("w"), h.alias("h"),
+        L.page_count(size, size + 3, 7, 5).alias("pages"), L.export_cell(size * 9).alias("cell"), columns.alias("legend_columns"), rows.alias("legend_rows"), label.alias("label"),
+    )
