@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, bpe, decontamination, language_id, pii, resampling, simhash, substring_dedup, token_files, tool_calls
+from tesserae.llm import ann, bpe, decontamination, language_id, oracles, pii, resampling, simhash, substring_dedup, token_files, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
-
-ORACLES: dict[str, str] = {}
+    return dict(oracles.ORACLES)
