@@ -227,3 +227,47 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("event_type") == "click", 3).when(F.col("event_type") == "view", 2).otherwise(1)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(score), "event_id"))
     return table(spark, sf_dir, "events").select("event_id", rank.alias("rank")).filter("rank <= 3")
+
+
+@query(
+    r"""SELECT c_custkey AS id, CASE WHEN e = 'png' THEN 'image/png' WHEN e IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN e = 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime,
+    replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, regexp_replace(regexp_replace(trim(t), '[\\/:*?"<>|\s]+', '-', 'g'), '^-+|-+$', '', 'g') AS file_name, array_to_string(list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS list,
+    CASE WHEN c_custkey % 3 = 0 THEN '10.0.0.' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 3 = 1 THEN 'real' ELSE 'unknown' END AS ip, c_name || '.' || e AS title_of, c_name AS title, c_custkey % 4 < 3 AS listed,
+    greatest(3000, least(30000, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 10 ELSE 15000 END)) AS timeout, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_acctbal END AS number, NOT (c_custkey % 6 = 0) AS shown
+    FROM (SELECT *, ' <' || c_name || ', "' || c_mktsegment || '" & ,, /x? ' AS t, ['png', 'jpg', 'jpeg', 'pdf', 'txt'][1 + c_custkey % 5] AS e FROM customer)"""
+)
+def import_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions import layout
+
+    n = F.col("c_custkey")
+    t = F.concat(F.lit(" <"), "c_name", F.lit(', "'), "c_mktsegment", F.lit('" & ,, /x? '))
+    e = F.get(F.array(*map(F.lit, ("png", "jpg", "jpeg", "pdf", "txt"))), (n % 5).cast("int"))
+    name = F.concat("c_name", F.lit("."), e)
+    forwarded = F.when(n % 3 == 0, F.concat(F.lit(" 10.0.0."), n.cast("string"), F.lit(" , 1.1.1.1")))
+    project = F.when(n % 4 == 0, "src7").when(n % 4 == 1, "src8").when(n % 4 == 2, " src1 ").otherwise("src99")
+    classes = F.array(F.struct(F.when(n % 6 == 0, 0.9).otherwise(0.2).alias("probability")))
+    return table(spark, sf_dir, "customer").select(
+        n.alias("id"), text.content_type(text.extension(name)).alias("mime"), text.escape_html(t).alias("escaped"), text.file_name(t).alias("file_name"), F.array_join(text.csv_list(t), "|").alias("list"),
+        text.client_ip(forwarded, F.when(n % 3 == 1, " real "), F.lit("")).alias("ip"), name.alias("title_of"), layout.title(F.lit(" "), name).alias("title"), R.known_project(project, RULES).isNotNull().alias("listed"),
+        layout.timeout_ms(F.when(n % 2 == 0, (n * 10).cast("string")), F.lit("none")).alias("timeout"), layout.finite(F.when(n % 5 == 0, "x").otherwise(F.col("c_acctbal").cast("string"))).alias("number"), layout.safe_to_show(classes, 0.8).alias("shown"),
+    )
+
+
+@query(
+    """WITH s AS (SELECT event_id, ts, ts + (user_id % 50) * INTERVAL 1 MINUTE AS "end", ts + INTERVAL 25 MINUTE AS now, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 7 MINUTE END AS pause, event_id % 3 = 0 AS up FROM events),
+    t AS (SELECT *, CAST(trunc(date_diff('microsecond', coalesce(pause, now), "end") / 1000000.0) AS BIGINT) AS l, CAST(trunc(date_diff('microsecond', ts, coalesce(pause, now)) / 1000000.0) AS BIGINT) AS u FROM s), v AS (SELECT *, CASE WHEN up THEN u ELSE abs(l) END AS x FROM t)
+    SELECT event_id, CASE WHEN NOT up AND l < 0 THEN '+' ELSE '' END || lpad(CAST(x // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(x % 60 AS VARCHAR), 2, '0') AS clock, CASE WHEN up THEN 'until ' ELSE 'ends ' END || strftime("end", '%H:%M') AS hint,
+    strftime(ts - INTERVAL 45 MINUTE, '%H:%M') AS shifted, pause IS NULL AND NOT up AS pausable FROM v"""
+)
+def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions import layout
+
+    n, ts = F.col("event_id"), F.col("ts")
+    end = ts + F.make_dt_interval(mins=(F.col("user_id") % 50).cast("int"))
+    pause = F.when(n % 4 == 0, ts + F.expr("INTERVAL 7 MINUTES"))
+    up = n % 3 == 0
+    status = F.when(up, "infinit").otherwise("normal")
+    clock_ = layout.main_text(status, ts, end, ts + F.expr("INTERVAL 25 MINUTES"), pause)
+    return table(spark, sf_dir, "events").select(
+        "event_id", clock_.alias("clock"), layout.end_hint(F.when(up, "countup").otherwise("countdown"), end).alias("hint"), layout.shift_clock(clock.clock(ts), F.lit(-45)).alias("shifted"), (layout.pausable(status, pause.isNotNull()) & ~up).alias("pausable")
+    )
