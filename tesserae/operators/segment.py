@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import color
 from tesserae.operators.components import components
 from tesserae.operators.grid import CELL, CROSS, dilate, neighbours
+from tesserae.session import materialise
 
 #: Opacity of a pixel that counts, and near white.
 OPAQUE, NEAR_WHITE = 24, 248
@@ -132,7 +133,7 @@ def removal(pixels: DataFrame, ref: DataFrame, masked: DataFrame, raw: DataFrame
 
 def absorb_small(grid: DataFrame, least: int) -> DataFrame:
     """grid (grid_id, row, col, code) with regions of under `least` cells in the code that borders them most, of equally common ones the smallest; a region without neighbours stays."""
-    found = regions(grid.filter(F.col("code").isNotNull()), "code")
+    found = materialise(regions(grid.filter(F.col("code").isNotNull()), "code"), "regions")
     size = found.groupBy("grid_id", "region").agg(F.count("*").alias("n")).filter(F.col("n") < least)
     small = found.join(size.select("grid_id", "region"), ["grid_id", "region"])
     around = neighbours(grid.filter(F.col("code").isNotNull()), CROSS).withColumnRenamed("code", "other")

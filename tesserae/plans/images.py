@@ -9,6 +9,7 @@ from tesserae.operators import grid as G
 from tesserae.operators import imaging, keyed
 from tesserae.operators import segment as S
 from tesserae.plans.derived import COLOURS, GRID_SQL, PIXELS_SQL, grid, palette, pixels, table
+from tesserae.session import materialise
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,7 +112,8 @@ def colour_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimised_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest colours, at most 16 of them, smoothed, without small regions."""
     matched = G.nearest_palette(pixels(spark, sf_dir), palette(spark)).select(*G.CELL, "code")
-    return S.absorb_small(G.majority_filter(imaging.limit_colours(matched, palette(spark), 16)), 4)
+    limited = imaging.limit_colours(materialise(matched, "matched"), palette(spark), 16)
+    return S.absorb_small(materialise(G.majority_filter(materialise(limited, "limited")), "smoothed"), 4)
 
 
 @query()
