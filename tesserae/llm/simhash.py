@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import words as W
 from tesserae.llm.batches import column, text_steps
-from tesserae.operators.components import components
+from tesserae.operators.components import Forest, components
 from tesserae.session import materialise
 
 SHINGLE = 4
@@ -123,30 +123,7 @@ def linked(x: np.ndarray, y: np.ndarray, chain: np.ndarray) -> np.ndarray:
     return ok[np.bitwise_count(differ[ok]) <= MAX_BITS]
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        top = x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-    def links(self) -> tuple[list[int], list[int]]:
-        a = list(self.up)
-        return a, [self.root(x) for x in a]
-
-
-def _spread(fps: np.ndarray, chain: int, forest: _Forest) -> None:
+def _spread(fps: np.ndarray, chain: int, forest: Forest) -> None:
     """Join a large bucket's members, walking from member to linked members: each leaves the rest as it is reached."""
     rest = fps
     while len(rest):
@@ -166,7 +143,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: tuple[np.ndarray, ...] | None = None
 
     def solve(bucket: np.ndarray, chain: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        forest = _Forest()
+        forest = Forest()
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         size = np.diff(np.append(edge, len(bucket)))
         for at, n in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
