@@ -178,7 +178,7 @@ class Encoder:
                 head, *tail = text.split(" ")
                 whole.append(i) if not tail else None
                 cuts.append(tail)
-        known = self.known.of(set().union(*cuts), lambda new: self._encode_pieces([" " + w for w in new]))
+        known = self.known.of(cuts, lambda new: self._encode_pieces([" " + w for w in new]))
         set_whole = set(whole)
         heads = [t if i in set_whole else t[: t.index(" ")] for i, t in enumerate(texts)]
         firsts = list(set(heads))

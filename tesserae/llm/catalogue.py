@@ -51,7 +51,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    # Labels grow with the documents: a merge join at every size, never one that depends on the labels being few.
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return resampling.resample(docs)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 
 class Recent:
@@ -11,12 +12,15 @@ class Recent:
     def __init__(self, most: int) -> None:
         self.most, self.now, self.before = most, {}, {}
 
-    def of(self, wanted: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A dictionary that has all of `wanted`; `make` gives the values of new ones."""
-        new = wanted.difference(self.now)
+    def of(self, wanted: Iterable[Iterable[str]], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that has every string of these lists; `make` gives the values of new ones."""
+        wanted = list(wanted)
+        new: set[str] = set()
+        for strings in wanted:
+            new.update(filterfalse(self.now.__contains__, strings))
         if len(self.now) + len(new) > self.most:
             self.before, self.now = self.now, {}
-            new = wanted
+            new = set().union(*wanted)
         if new:
             again = new.intersection(self.before)
             self.now.update((w, self.before[w]) for w in again)

@@ -12,14 +12,16 @@ A file holds the ids of a contiguous range of documents, in ascending doc_id ord
 So any chunk can be read alone: the index gives its place. Files go to the shared folder, whole or not at all
 (each is written under a name of its attempt, then renamed), so a task that is run again leaves the same file.
 
-Texts are encoded by the tokenizers library, which sees every distinct run without white space once while it
-is remembered: its rules never join two runs. Null text is empty; a null doc_id comes first; rows of the same
+Texts are encoded by the tokenizers library, which sees every distinct word once while it is remembered: its rules
+never join two words. Null text is empty; a null doc_id comes first; rows of the same
 doc_id are put in the order of their texts; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,6 +44,11 @@ CHUNK = 1 << 16
 #: Ids in one file at most, save for one longer document.
 FILE_IDS = 1 << 24
 CACHED = 350_000
+#: Words that the tokenizer library gets at once.
+JOINED = 1000
+#: Letters of ASCII and Latin-1, digits, signs and white space, without apostrophes and angle brackets (contractions, special tokens); and the words of such a text in lower case.
+_PLAIN_TEXT = re.compile(r"[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
+_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _ODD = [chr(c) for c in range(0x1C, 0x20)]  # white space for str.split only
 
 
@@ -53,7 +60,11 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """A tokenizer whose rules never join what white space parts."""
+    """A tokenizer whose rules never join what white space parts.
+
+    Texts of plain signs are cut where the tokenizer's own rule cuts them, and new words are handed to it many at a
+    time: each word's last token, and no other, is one that ends a word.
+    """
 
     def __init__(self, content: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,23 +73,56 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known = Recent(CACHED)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.known, self.words = Recent(CACHED // 4), Recent(CACHED)
+        suffix = json.loads(content)["model"].get("end_of_word_suffix")
+        self.suffixed = bool(suffix)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(words), JOINED):
+            some = words[lo : lo + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out += self._ids(some)
+                continue
+            raw, at = ids.tobytes(), [0, *(cut * ids.itemsize).tolist()]
+            out += [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
+
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        if not self.suffixed:
+            return self._ids(runs)
+        parts = [_WORD.findall(r.lower()) if _PLAIN_TEXT.fullmatch(r) else [] for r in runs]
+        get = self.words.of(parts, self._word_ids).__getitem__
+        rest = iter(self._ids([r for r, p in zip(runs, parts, strict=True) if not p]))
+        return [b"".join(map(get, p)) if p else next(rest) for p in parts]
+
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
-        cuts = [t.split() for t in texts]
-        for i in odd:
-            cuts[i] = []
-        get = self.known.of(set().union(*cuts), self._ids).__getitem__
+        """The ids of each text, and the end id after them.
+
+        A text of plain signs is cut into words at once; any other at its white space, and one with signs that
+        only Python takes for white space is given to the library as it is.
+        """
         tail = np.array([end], self.dtype).tobytes()
-        out = [b"".join(map(get, c)) + tail for c in cuts]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids + tail
-        return out
+        plain = [bool(self.suffixed and _PLAIN_TEXT.fullmatch(t)) for t in texts]
+        words = [_WORD.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
+        get = self.words.of(words, self._word_ids).__getitem__
+        from_words = iter([b"".join(map(get, w)) + tail for w in words])
+        odd = [not p and any(c in t for c in _ODD) for t, p in zip(texts, plain, strict=True)]
+        runs = [t.split() for t, p, o in zip(texts, plain, odd, strict=True) if not p and not o]
+        get = self.known.of(runs, self._run_ids).__getitem__
+        from_runs = iter([b"".join(map(get, r)) + tail for r in runs])
+        from_library = iter([ids + tail for ids in self._ids([t for t, o in zip(texts, odd, strict=True) if o])])
+        return [next(from_words if p else from_library if o else from_runs) for p, o in zip(plain, odd, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -103,12 +103,15 @@ def valid_items(composition: DataFrame, components: DataFrame) -> DataFrame:
 def first_unused(components: DataFrame, composition: DataFrame) -> DataFrame:
     """For each product, the smallest component id that it does not use: the one of its role first, else any.
 
-    Only products' used ids are gathered, so the work is in the composition, not in products times components.
+    It is among the first n + 1 components, n being the most that any product uses, so only those are ranked.
     """
-    ranked = components.select("component_id", F.row_number().over(Window.orderBy("component_id")).alias("place"))
-    used = composition.select("product", "component_id").distinct().join(ranked, "component_id")
+    pairs = composition.select("product", "component_id").distinct()
+    most = pairs.groupBy("product").count().agg(F.max("count")).first()[0] or 0
+    first = components.select("component_id").orderBy("component_id").limit(most + 1)
+    ranked = first.select("component_id", F.row_number().over(Window.orderBy("component_id")).alias("place"))
+    used = pairs.join(ranked, "component_id")
     nth = F.row_number().over(Window.partitionBy("product").orderBy("place"))
-    gap = used.withColumn("nth", nth).groupBy("product").agg((F.coalesce(F.max(F.when(F.col("place") == F.col("nth"), F.col("nth"))), F.lit(0)) + 1).alias("place"))
+    gap = pairs.select("product").distinct().join(used.withColumn("nth", nth), "product", "left").groupBy("product").agg((F.coalesce(F.max(F.when(F.col("place") == F.col("nth"), F.col("nth"))), F.lit(0)) + 1).alias("place"))
     return gap.join(ranked, "place").select("product", "component_id")
 
 

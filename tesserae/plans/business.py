@@ -83,7 +83,7 @@ def valid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_BOM}, r AS (SELECT component_id, row_number() OVER (ORDER BY component_id) AS place FROM p WHERE component_id < 40), k AS (SELECT DISTINCT component_id % 50 AS product, CAST(component_id * 7 % 40 AS BIGINT) AS component_id FROM c),
-    d AS (SELECT DISTINCT product FROM k JOIN r USING (component_id)) SELECT product, (SELECT min(component_id) FROM r WHERE component_id NOT IN (SELECT component_id FROM k WHERE k.product = d.product)) AS component_id FROM d
+    d AS (SELECT DISTINCT product FROM k) SELECT product, (SELECT min(component_id) FROM r WHERE component_id NOT IN (SELECT component_id FROM k WHERE k.product = d.product)) AS component_id FROM d
     WHERE (SELECT min(component_id) FROM r WHERE component_id NOT IN (SELECT component_id FROM k WHERE k.product = d.product)) IS NOT NULL"""
 )
 def first_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
