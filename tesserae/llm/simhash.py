@@ -164,7 +164,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         new = (column(batch, "bucket").to_numpy(zero_copy_only=False), column(batch, "chain").to_numpy(), column(batch, "fp").to_numpy().view(np.uint64))
         held = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
-        cut = int(np.searchsorted(held[0] != held[0][-1], False)) if len(held[0]) else 0
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if cut:
             yield solve(*(x[:cut] for x in held))
             held = tuple(x[cut:] for x in held)
@@ -187,21 +187,30 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return sorted_rows.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
+def _rooted(nodes: DataFrame, block: int) -> DataFrame:
+    """nodes (distinct, column fp) with root, the same for all fingerprints of a group."""
+    stars = components(links(nodes.select("fp"), block))
+    return nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     marked = materialise(fingerprints(docs, F.struct("doc_id")).select("row.doc_id", "fp"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    stars = components(links(nodes.select("fp"), block))
-    roots = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), block)
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = materialise(roots.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of docs with one document of each group: the one of smallest doc_id (of repeated rows, one)."""
-    heads = near_duplicates(docs.select("doc_id", "text"), block).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    named = kept.select(F.struct("*").alias("row"), "doc_id", "text")
-    return named.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+    """The rows of docs with one document of each group: the one of least (doc_id, hash of text), a null doc_id last (of repeated rows, one).
+
+    A document is known by doc_id and text, so neither null ids nor an id with several texts make groups lose theirs.
+    """
+    marked = materialise(fingerprints(docs, F.struct("doc_id", F.xxhash64("text").alias("h"))).select("row.doc_id", "row.h", "fp"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("head")
+    heads = _rooted(marked.groupBy("fp").agg(least), block).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.h").alias("head_h"))
+    named = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("h"))
+    kept = named.join(heads, named["doc_id"].eqNullSafe(heads["head"]) & (named["h"] == heads["head_h"]), "left_semi")
+    order = Window.partitionBy("doc_id", "text").orderBy("h")
+    return kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")

@@ -81,6 +81,31 @@ def test_one_of_each_group_stays(make, texts):
     assert kept == sorted({c for _, _, c in brute(rows)})
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_null_and_repeated_ids_keep_every_group(make, parts):
+    unlike = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (None, None), (1, unlike[2]), (1, unlike[3]), (1, unlike[3]), (7, unlike[3]), (8, unlike[4]), (None, unlike[4]), (9, unlike[5]), (4, unlike[5])]
+    kept = [(r.doc_id, r.text) for r in S.keep_one(make(rows, parts)).collect()]
+    want = [(None, unlike[0]), (None, unlike[1]), (None, None), (1, unlike[2]), (1, unlike[3]), (8, unlike[4]), (4, unlike[5])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_buckets_are_solved_as_they_end():
+    batch = lambda bucket, fps: S.pa.RecordBatch.from_arrays([S.pa.array(bucket, S.pa.int64()), S.pa.array([0] * len(bucket), S.pa.int32()), S.pa.array(fps, S.pa.int64())], ["bucket", "chain", "fp"])
+    read = []
+
+    def batches():
+        for b in (batch([-5, 2, 2], [0, 8, 9]), batch([2, 3], [11, 64]), batch([3, 4], [65, 1])):
+            read.append(b)
+            yield b
+
+    out = S._bucket_links(batches())
+    next(out)
+    assert len(read) == 1
+    pairs = {tuple(sorted(p)) for b in out for p in zip(*b.to_pydict().values(), strict=True)}
+    assert len(pairs) == 3 and (64, 65) in pairs
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
