@@ -45,6 +45,21 @@ def test_small_steps_and_batches(spark, make, texts, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_windows_with_equal_low_bits_are_not_equal(monkeypatch):
+    """One anchor for all windows, whose hashes differ above the lowest 40 bits only."""
+    runs = W.runs
+
+    def alike(hashed, first, n, alt=False):
+        at, h = runs(hashed, first, n, alt)
+        return at, np.arange(len(at), dtype=np.uint64) << np.uint64(40) if n == D.WINDOW else np.full_like(h, 7)
+
+    monkeypatch.setattr(D.W, "runs", alike)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = D.pa.RecordBatch.from_pydict({"doc_id": D.pa.array([1]), "h": D.pa.array([0]), "text": D.pa.array([text])})
+    found = D._factors(D._anchors(iter([rows]), D.DIGEST), D.DIGEST)
+    assert sum(b.num_rows for b in found) == 0
+
+
 def test_empty_table(make, texts):
     assert D.digests(make(texts).limit(0)).count() == 0
 
