@@ -1,18 +1,20 @@
 """Keyed state machines over ordered events: table timers, desks, and token buckets.
 
-The step functions are small and pure: (state, event) to (state, output). A batch runs them by applyInPandas,
-one key's events in order; tesserae.streaming runs the same functions on streams. One key's events are folded
+The step functions are small and pure: (state, event) to (state, output). A batch runs them over rows
+sorted by key and time, holding the state of one key at a time; tesserae.streaming runs the same functions on streams. One key's events are folded
 one after another, as each depends on the one before it; different keys are independent.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Most seconds of a timer; capacity, window of the buckets for most paths, for the review path, and of a day; when idle entries go.
 DAY_SECONDS = 86_400
@@ -150,17 +152,28 @@ def fold(step: Callable[[State | None, State], tuple[State, State]], events: Ite
     return state, out
 
 
-def run(events: DataFrame, key: str, order: str, step: Callable[[State | None, State], tuple[State, State]], output: str) -> DataFrame:
-    """(event_id, key, output...) of every event; order is the column that breaks ties of ts."""
-    kind = events.schema[key].dataType.simpleString()
+_NO_KEY = object()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", order], kind="stable")
-        records = [{k: None if v is None or v != v else v for k, v in r.items()} for r in pdf.astype(object).to_dict("records")]
-        rows = pd.DataFrame(fold(step, records)[1])
-        return pd.concat([pdf[[order, key]].reset_index(drop=True), rows], axis=1)
 
-    return events.groupBy(key).applyInPandas(one, f"{order} {events.schema[order].dataType.simpleString()}, {key} {kind}, {output}")
+def run(events: DataFrame, key: str, order: str, step: Callable[[State | None, State], tuple[State, State]], output: str) -> DataFrame:
+    """(event_id, key, output...) of every event; order is the column that breaks ties of ts."""
+    kinds = dict(events.dtypes)
+    schema = to_arrow_schema(_parse_datatype_string(f"{order} {kinds[order]}, {key} {kinds[key]}, {output}"))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = _NO_KEY, None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                event = {k: None if v is None or v != v else v for k, v in r.items()}
+                if event[key] != at:
+                    at, state = event[key], None
+                state, row = step(state, event)
+                rows.append({order: r[order], key: r[key], **row})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    dealt = events.repartition(key).sortWithinPartitions(key, "ts", order)
+    return dealt.mapInArrow(folded, f"{order} {kinds[order]}, {key} {kinds[key]}, {output}")
 
 
 TIMER_OUTPUT = "status string, total long, end double, left long, paused boolean, refused boolean"

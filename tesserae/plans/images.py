@@ -146,4 +146,4 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     ts = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long")
     path = F.when(F.col("event_type") == "view", "/api/review").otherwise("/api/other")
-    return keyed.run(e.select("event_id", (F.col("user_id") % 10).alias("ip"), ts.alias("ts"), path.alias("path")), "ip", "event_id", keyed.limit_step, keyed.LIMIT_OUTPUT)
+    return keyed.run(e.select("event_id", F.col("user_id").alias("ip"), ts.alias("ts"), path.alias("path")), "ip", "event_id", keyed.limit_step, keyed.LIMIT_OUTPUT)

@@ -84,6 +84,25 @@ def test_overtime_grace(spark, seconds, charged):
     assert tuple(spark.range(1).select(fee, minutes).first()) == (charged // 30 // 2 * 20 + charged // 30 % 2 * 10, charged)
 
 
+def test_every_user_is_an_address_and_state_outlives_a_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tesserae.plans import images
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r.event_id: (r.ip, r.allowed, r.retry_after) for r in images.rate_limit(spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000).cast("long").alias("ts"))
+    held, want = {}, {}
+    for r in sorted(e.collect(), key=lambda r: (r.ts, r.event_id)):
+        held[r.user_id], out = K.limit_step(held.get(r.user_id), {"ts": r.ts, "path": K.REVIEW_PATH if r.event_type == "view" else "/api/other"})
+        want[r.event_id] = (r.user_id, out["allowed"], out["retry_after"])
+    assert got == want
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     from tesserae.plans.images import _commands
 
