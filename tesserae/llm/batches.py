@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Yield (rows, text bytes, offsets) with at most about `size` bytes of text each; a null text is empty."""
+def text_steps(batches: Iterator[pa.RecordBatch], within: str | None = None, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Yield (rows, text bytes, offsets) with at most about `size` bytes of text each; a null text is empty.
+
+    The texts are those of the column text, or of the field text in the struct column `within`.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        names = batch.schema.names
+        col = pc.struct_field(batch.column(names.index(within)), "text") if within else batch.column(names.index("text"))
         if col.type != pa.large_string():
             col = col.cast(pa.large_string())
         if col.null_count:

@@ -12,10 +12,14 @@ back to the prefix that a word shares with the one before it.
 
 Texts are cut into words by the tokenizer file's rule: 's 't 're 've 'm 'll 'd, letters, numbers or other signs,
 each with at most one space before, or white space. Special tokens of the file that stand in a text are encoded
-as their ids, as the tokenizers library does by default. What lies between two spaces is kept, once encoded, in a
-dictionary of at most CACHED entries, beside the one before it, for each Python worker.
+as their ids, as the tokenizers library does by default. What lies between two spaces is encoded once for each step
+of TRIE_BYTES of text; what two texts of a step share is remembered to the end of the task, up to CACHED pieces of
+bounded length, so a worker's memory does not grow with what it has read.
 
-Null text is empty: no ids. Repeated rows give repeated results; extra columns are ignored.
+Other vocabulary files than byte-level ones of this rule are refused, rather than encoded wrongly.
+
+Defined results: null text is empty: no ids; repeated rows give repeated results; a very long text is a step, and a
+trie, of its own; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -35,9 +40,11 @@ from pyspark.sql import functions as F
 from tesserae.llm.batches import column, text_steps, texts_of
 from tesserae.llm.recent import Recent
 
-CACHED = 350_000
+CACHED = 150_000
+#: Pairs of tokens whose seam is remembered.
+FOLLOWS = 200_000
 #: Bytes of text whose new words make one trie.
-TRIE_BYTES = 8 << 20
+TRIE_BYTES = 4 << 20
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
@@ -58,11 +65,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _unlike(spec: dict) -> str:
+    """What of a tokenizer file asks for other ids than this encoder's, if anything does."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer"):
+        return "a normalizer is set"
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return "texts are cut by another rule"
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return "the model has other rules"
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        return "special tokens take in what is beside them"
+    return ""
+
+
 class Encoder:
     """One vocabulary: merges in order of rank, and the ids of its tokens."""
 
     def __init__(self, content: str) -> None:
         spec = json.loads(content)
+        if fault := _unlike(spec):
+            raise ValueError(f"this encoder follows byte-level vocabulary files only; here {fault}")
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in {a["content"] for a in spec["added_tokens"]}}
@@ -79,7 +102,7 @@ class Encoder:
             if self.made[t] < 0:
                 self.made[t], self.left[t], self.right[t] = rank, x, y
         self.ids = {b: i for i, b in self.bytes_of.items() if i not in self.special.values() and (len(b) == 1 or self.made[i] >= 0)}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.known = Recent(CACHED)
         sized = [self.bytes_of.get(i, b"") for i in range(len(self.made))]
         self.sizes = np.array([len(b) for b in sized], np.int64)
@@ -88,10 +111,16 @@ class Encoder:
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         # A token that its own merges do not lead to is never in an encoding.
         self.ids = {b: i for b, i in self.ids.items() if len(b) == 1 or self.may_follow(self.left[i], self.right[i], self.made[i])}
-        #: Longest token that ends with each two bytes.
-        self.longest: dict[bytes, int] = {}
-        for b in self.ids:
-            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+        #: Finds the tokens that end at each byte of a word, longest first; bytes as the letters of Latin-1.
+        self.ending = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.ending.add_word(b.decode("latin-1"), (i, len(b)))
+        self.ending.make_automaton()
+
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self.known.forget()
+        self.follows.clear()
 
     def may_follow(self, a: int, b: int, last: int | None = None) -> bool:
         """Whether the seam between tokens a and b stays: their makings are undone from the latest on, and no merge over the seam may come before."""
@@ -110,8 +139,8 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """The ids, as little-endian 32-bit integers, of each of these distinct words, which ascend."""
-        ids, longest, follows = self.ids, self.longest, self.follows
-        if len(follows) > 2_000_000:
+        follows = self.follows
+        if len(follows) > FOLLOWS:
             follows.clear()
         out, states, before = [], [], b""
         for word in words:
@@ -119,21 +148,18 @@ class Encoder:
             while shared < top and before[shared] == word[shared]:
                 shared += 1
             del states[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                lo = end - longest.get(word[end - 2 : end], 1) if end > 1 else 0
-                for at in range(lo if lo > 0 else 0, end):
-                    t = ids.get(word[at:end])
-                    if t is None:
-                        continue
-                    if not at:
-                        break
-                    pair = states[at - 1], t
+            for at, (t, size) in self.ending.iter(word.decode("latin-1")):
+                if at < shared:  # known from the word before, or from a longer token
+                    continue
+                if size <= at:
+                    pair = states[at - size] << 32 | t
                     ok = follows.get(pair)
                     if ok is None:
-                        ok = follows[pair] = self.may_follow(*pair)
-                    if ok:
-                        break
+                        ok = follows[pair] = self.may_follow(states[at - size], t)
+                    if not ok:
+                        continue
                 states.append(t)
+                shared += 1
             tokens, end = [], len(word)
             while end:
                 tokens.append(states[end - 1])
@@ -203,14 +229,17 @@ def _encoder(content: str) -> Encoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], content: str, digest: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(content)
-    for rows, data, offsets in text_steps(batches, size=TRIE_BYTES):
-        ids = encoder.encode_batch(texts_of(data, offsets))
-        arrays = [column(rows, "row"), pa.array([len(x) // 4 for x in ids], pa.int64())]
-        if digest:
-            arrays += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in encoder.decode_batch(ids)])]
-        else:
-            arrays.append(pa.array(ids, pa.binary()))
-        yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])])
+    try:
+        for rows, data, offsets in text_steps(batches, size=TRIE_BYTES):
+            ids = encoder.encode_batch(texts_of(data, offsets))
+            arrays = [column(rows, "row"), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if digest:
+                arrays += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in encoder.decode_batch(ids)])]
+            else:
+                arrays.append(pa.array(ids, pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids"])])
+    finally:
+        encoder.forget()  # the worker goes on to other tasks
 
 
 def _over(docs: DataFrame, keep: Column, vocabulary: str | None, digest: bool, out: str) -> DataFrame:

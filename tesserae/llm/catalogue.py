@@ -45,7 +45,7 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.fit(docs.filter(~held_out()))
-    found = language_id.identify(docs.select("doc_id", "text"), model, F.struct("doc_id"))
+    found = language_id.identify(docs, model, F.struct("doc_id", "text"))
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out())
 
 

@@ -10,11 +10,14 @@ Defined results
 * equal figures: the smaller language name;
 * score: 1 - best / second best (1 with a single language), between 0 and 1;
 * an empty table gives an empty result; with no labelled row at all every document is `und`;
-* extra columns are ignored, or carried along in `row` where asked for.
+* extra columns are ignored, or carried along in `row` where asked for, whatever their names;
 
-Only the training sample is bounded: `rows_per_lang` rows, those of smallest hash, with at most
-`chars_per_row` characters each. Predictions read whole texts, in blocks of BLOCK letters so that many
-blocks are parsed side by side; a block begins a new phrase, for every language alike.
+* a very long text is parsed whole, phrases and all, across the blocks described below.
+
+Only the training sample is bounded: whole rows, at most `rows_per_lang` of a language and of at most
+`chars_per_row` characters each those of smallest hash (where a language has longer rows only, its
+shortest one). Predictions read whole texts: blocks of BLOCK letters are parsed side by side, each as if a phrase
+began there; then the phrase that reaches into a block is followed until its parse meets the one that is known.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.batches import column, text_steps, texts_of
 
 BLOCK = 1024
+#: Letters of a block within which the parse that enters it mostly meets the one from its start.
+MEET = 64
 UNDETERMINED = "und"
 _GAP, _PAD, _RARE = 0, 1, 2  # classes: anything but letters, the end of a block, a byte not in the samples
 
@@ -129,16 +134,14 @@ def build(samples: dict[str, list[str]]) -> Model:
     return Model(langs, bits, classes.astype(np.uint8), width, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(roots, np.int32))
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 24, chars_per_row: int = 1000) -> Model:
-    """Learn from the columns text and lang of docs, on a bounded sample of rows of each language."""
+def fit(docs: DataFrame, rows_per_lang: int = 24, chars_per_row: int = 2000) -> Model:
+    """Learn from the columns text and lang of docs, on a bounded sample of whole rows of each language."""
     rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    # Only hashes and lengths are ranked, task by task first; whole texts never meet in one task.
-    picked = (
-        rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_row).alias("text"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-        .filter(F.col("rank") <= rows_per_lang)
-        .select("lang", "text")
-    )
+    order = Window.partitionBy("lang").orderBy(F.length("text") > chars_per_row, F.when(F.length("text") > chars_per_row, F.length("text")), F.xxhash64("text"), "text")
+    # The rank is cut task by task first, so a language's texts never meet in one task.
+    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows_per_lang)
+    # A longer text, the shortest, stands in only for a language without others.
+    picked = ranked.filter((F.length("text") <= chars_per_row) | (F.col("rank") == 1)).select("lang", "text")
     samples: dict[str, list[str]] = {}
     for row in sorted(map(tuple, picked.collect())):
         samples.setdefault(row[0], []).append(row[1])
@@ -168,22 +171,74 @@ def _count(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     length = np.minimum(BLOCK, kept[1:][owner] - lo)
     by = np.argsort(-length, kind="stable")  # so that blocks still being read are the first ones
     lo, length, owner = lo[by], length[by], owner[by]
+    place = np.empty(total, np.int64)
+    place[by] = np.arange(total)  # of each block, in the order of the texts
     state = np.repeat(model.roots[:, None], total, axis=1)
     count = np.zeros((k, total), np.int32)
+    known = np.zeros((MEET, k, total), np.int32)
     live = np.searchsorted(-length, -np.arange(BLOCK), side="left")
     for t in range(int(length[0])):
         m = int(live[t])
         got = model.steps[state[:, :m] + cls[lo[:m] + t]]
+        if t < MEET:
+            known[t, :, :m] = got
         count[:, :m] += got & 1
         state[:, :m] = got >> 1
+    _join(model, cls, (lo[place], length[place], owner[place]), state[:, place], count, known, place)
     for j in range(k):
         phrases[j] = np.bincount(owner, weights=count[j], minlength=n).astype(np.int64)
     return sizes, phrases
 
 
+def _join(model: Model, cls: np.ndarray, blocks: tuple[np.ndarray, np.ndarray, np.ndarray], state: np.ndarray, count: np.ndarray, known: np.ndarray, place: np.ndarray) -> None:
+    """Make `count` that of a parse across blocks; blocks and the states at their ends are in the order of the texts."""
+    lo, length, owner = blocks
+    follows = np.flatnonzero(np.concatenate([[False], owner[1:] == owner[:-1]]))
+    lang, block = (x.ravel() for x in np.meshgrid(np.arange(len(model.langs)), follows, indexing="ij"))
+    now = state[lang, block - 1]
+    fresh = np.zeros(len(lang), np.int32)  # phrases begun before the parses meet: of the one that enters, less of the other
+    left = np.flatnonzero(now != model.roots[lang])
+    for t in range(MEET):
+        left = left[length[block[left]] > t]
+        if not len(left):
+            break
+        was = known[t, lang[left], place[block[left]]]
+        got = model.steps[now[left] + cls[lo[block[left]] + t]]
+        fresh[left] += (got & 1) - (was & 1)
+        now[left] = got >> 1
+        left = left[got >> 1 != was >> 1]
+    met = np.ones(len(lang), bool)
+    met[left] = False
+    count[lang[met], place[block[met]]] += fresh[met]
+    # What has not met by then is parsed on letter by letter.
+    last = np.searchsorted(owner, owner, side="right") - 1
+    done: dict[tuple[int, int], int] = {}
+    for i in left[np.lexsort((block[left], lang[left]))].tolist():
+        j, b = int(lang[i]), int(block[i])
+        if done.get((j, int(last[b])), -1) < b:
+            done[j, int(last[b])] = _parse_on(model, cls, lo, length, j, b, int(last[b]), state, count, place)
+
+
+def _parse_on(model: Model, cls: np.ndarray, lo: np.ndarray, length: np.ndarray, j: int, b: int, last: int, state: np.ndarray, count: np.ndarray, place: np.ndarray) -> int:
+    """Parse language j's blocks from b on, until the state at a block's end is the one that was taken for it; gives that block."""
+    steps, now = model.steps, int(state[j, b - 1])
+    while True:
+        n = 0
+        for c in cls[lo[b] : lo[b] + length[b]].tolist():
+            got = int(steps[now + c])
+            n += got & 1
+            now = got >> 1
+        count[j, place[b]] = n
+        same = now == int(state[j, b])
+        state[j, b] = now
+        if same or b == last:
+            return b
+        b += 1
+
+
 def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.array(model.bits)
-    for rows, data, offsets in text_steps(batches):
+    for rows, data, offsets in text_steps(batches, within="row"):
         texts = texts_of(data, offsets)
         known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         low = [t.lower().encode() for t in texts]
@@ -202,8 +257,8 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 
 
 def identify(docs: DataFrame, model: Model, keep: Column | None = None) -> DataFrame:
-    """(row, lang_pred, score, phrase_chars) of every document: row is `keep`, by default all its columns as a struct."""
+    """(row, lang_pred, score, phrase_chars) of every document: row is `keep`, a struct with `text`, by default all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by fit's two parameters and the number of languages
-    rows = docs.select((F.struct("*") if keep is None else keep).alias("row"), F.col("text"))
+    rows = docs.select((F.struct("*") if keep is None else keep).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, phrase_chars double"
     return rows.mapInArrow(lambda batches: _predict(shared.value, batches), schema)

@@ -13,8 +13,9 @@ find:
 
 Spans of one kind do not overlap, and the leftmost is taken first; a candidate that fails its check still uses
 up its characters. Spans are in code points, ends exclusive. url and account spans come on top of the others.
-Null text is empty and has no spans; repeated rows give repeated results; extra columns are ignored or carried
-along in `row`.
+
+Defined results: null text is empty and has no spans; repeated rows give repeated results; a very long text is scanned
+whole; an empty table gives no rows; extra columns are ignored or carried along in `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -174,9 +175,9 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(parts) + text[done:]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], redacted: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], redacted: bool, within: str | None) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    for rows, data, offsets in text_steps(batches):
+    for rows, data, offsets in text_steps(batches, within):
         found, clean = [], []
         for t in texts_of(data, offsets):
             s = spans_of(t)
@@ -189,9 +190,10 @@ def _scan(batches: Iterator[pa.RecordBatch], redacted: bool) -> Iterator[pa.Reco
 
 def find(docs: DataFrame, keep: Column | None = None, redacted: bool = False) -> DataFrame:
     """(row, spans[, clean]) of every document: spans by kind, then start; clean is the redacted text, null where nothing changes."""
-    rows = docs.select((F.struct("*") if keep is None else keep).alias("row"), F.col("text"))
+    rows = docs.select(F.struct("*").alias("row")) if keep is None else docs.select(keep.alias("row"), "text")  # a text goes to Python once
+    within = "row" if keep is None else None
     schema = f"row {rows.schema['row'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>" + ", clean string" * redacted
-    return rows.mapInArrow(lambda batches: _scan(batches, redacted), schema)
+    return rows.mapInArrow(lambda batches: _scan(batches, redacted, within), schema)
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:

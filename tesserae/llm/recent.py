@@ -1,29 +1,41 @@
-"""A bounded dictionary of what was encoded before, for one Python worker."""
+"""A bounded dictionary of what was encoded before, for one Python task."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from itertools import filterfalse
 
+#: Letters of the longest string that is remembered.
+LONGEST = 64
+
 
 class Recent:
-    """Keeps up to `most` entries, beside the `most` before them."""
+    """Remembers up to `most` strings that stood in at least two lists of one call; all others for that call only."""
 
     def __init__(self, most: int) -> None:
-        self.most, self.now, self.before = most, {}, {}
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.once: list[str] = []
 
     def of(self, wanted: Iterable[Iterable[str]], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
         """A dictionary that has every string of these lists; `make` gives the values of new ones."""
         wanted = list(wanted)
+        for w in self.once:
+            del self.now[w]
+        if len(self.now) > self.most:
+            self.now = {}
         new: set[str] = set()
+        twice: set[str] = set()
+        known = self.now.__contains__
         for strings in wanted:
-            new.update(filterfalse(self.now.__contains__, strings))
-        if len(self.now) + len(new) > self.most:
-            self.before, self.now = self.now, {}
-            new = set().union(*wanted)
+            fresh = set(filterfalse(known, strings))
+            twice |= new & fresh
+            new |= fresh
         if new:
-            again = new.intersection(self.before)
-            self.now.update((w, self.before[w]) for w in again)
-            rest = list(new.difference(again))
+            rest = list(new)
             self.now.update(zip(rest, make(rest), strict=True))
+        self.once = [w for w in new if w not in twice or len(w) > LONGEST]
         return self.now

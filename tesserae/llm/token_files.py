@@ -11,10 +11,14 @@ A file holds the ids of a contiguous range of documents, in ascending doc_id ord
 
 So any chunk can be read alone: the index gives its place. Files go to the shared folder, whole or not at all
 (each is written under a name of its attempt, then renamed), so a task that is run again leaves the same file.
+Workers write through Arrow's file systems (file, hdfs, s3, gs, abfss), to the place that Spark resolves the folder to.
 
-Texts are encoded by the tokenizers library, which sees every distinct word once while it is remembered: its rules
-never join two words. Null text is empty; a null doc_id comes first; rows of the same
-doc_id are put in the order of their texts; an empty table gives no rows. Extra columns are ignored.
+Texts are encoded by the tokenizers library, which sees every distinct word once while it is remembered, as the rules
+of the public vocabulary never join two words; with other rules it is given whole texts.
+
+Defined results: null text is empty; a null doc_id comes first; rows of the same doc_id are put in the order of their
+texts; a very long text may make its file longer than FILE_IDS, and spans chunks; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,12 +47,15 @@ MAGIC = b"TIDS0001"
 CHUNK = 1 << 16
 #: Ids in one file at most, save for one longer document.
 FILE_IDS = 1 << 24
-CACHED = 350_000
+CACHED = 150_000
 #: Words that the tokenizer library gets at once.
 JOINED = 1000
 #: Letters of ASCII and Latin-1, digits, signs and white space, without apostrophes and angle brackets (contractions, special tokens); and the words of such a text in lower case.
 _PLAIN_TEXT = re.compile(r"[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The rules of the vocabulary file for which words may be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _ODD = [chr(c) for c in range(0x1C, 0x20)]  # white space for str.split only
 
 
@@ -76,12 +83,20 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.known, self.words = Recent(CACHED // 4), Recent(CACHED)
-        suffix = json.loads(content)["model"].get("end_of_word_suffix")
-        self.suffixed = bool(suffix)
+        spec = json.loads(content)
+        suffix = spec["model"].get("end_of_word_suffix")
+        #: Whether texts may be cut into words here; by any other rules than these, the library gets whole texts.
+        self.cuts = spec.get("normalizer") == _NORMALIZER and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] == _SPLIT
+        self.suffixed = bool(suffix) and self.cuts
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self.known.forget()
+        self.words.forget()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -117,7 +132,7 @@ class WordEncoder:
         words = [_WORD.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
         get = self.words.of(words, self._word_ids).__getitem__
         from_words = iter([b"".join(map(get, w)) + tail for w in words])
-        odd = [not p and any(c in t for c in _ODD) for t, p in zip(texts, plain, strict=True)]
+        odd = [not p and (not self.cuts or any(c in t for c in _ODD)) for t, p in zip(texts, plain, strict=True)]
         runs = [t.split() for t, p, o in zip(texts, plain, odd, strict=True) if not p and not o]
         get = self.known.of(runs, self._run_ids).__getitem__
         from_runs = iter([b"".join(map(get, r)) + tail for r in runs])
@@ -224,28 +239,42 @@ class Reader:
             held = held[n:]
 
 
-def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, folder: str, bits: bool) -> Iterator[pa.RecordBatch]:
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host of its file system, as Spark resolves it, in the names that Arrow knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", full))
+
+
+def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str, bits: bool) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
-    fs, path = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
     writer, name, made = None, "", []
 
     def close() -> None:
         writer.close()
         writer.out.close()
-        fs.move(f"{path}/_{name}.{context.taskAttemptId()}", f"{path}/{name}")
+        temporary, target = f"{path}/_{name}.{context.taskAttemptId()}", f"{path}/{name}"
+        if fs.get_file_info(target).type == pafs.FileType.NotFound:
+            fs.move(temporary, target)
+        else:  # another attempt of this task has written the same
+            fs.delete_file(temporary)
         made.append((name, len(writer.docs), writer.ids))
 
     encoder = _encoder(content)
-    for rows, data, offsets in text_steps(batches, size=4 << 20):
-        for doc_id, ids in zip(column(rows, "doc_id").to_pylist(), encoder.encode_batch(texts_of(data, offsets), end), strict=True):
-            if writer is None:
-                name = f"ids-{context.partitionId():06d}-{len(made):04d}.tids"
-                writer = Writer(fs.open_output_stream(f"{path}/_{name}.{context.taskAttemptId()}"), bits)
-            writer.add(doc_id, np.frombuffer(ids, encoder.dtype).astype("<u4"))
-            if writer.ids >= FILE_IDS:
-                close()
-                writer = None
+    try:
+        for rows, data, offsets in text_steps(batches, size=4 << 20):
+            for doc_id, ids in zip(column(rows, "doc_id").to_pylist(), encoder.encode_batch(texts_of(data, offsets), end), strict=True):
+                if writer is None:
+                    name = f"ids-{context.partitionId():06d}-{len(made):04d}.tids"
+                    writer = Writer(fs.open_output_stream(f"{path}/_{name}.{context.taskAttemptId()}"), bits)
+                writer.add(doc_id, np.frombuffer(ids, encoder.dtype).astype("<u4"))
+                if writer.ids >= FILE_IDS:
+                    close()
+                    writer = None
+    finally:
+        encoder.forget()  # the worker goes on to other tasks
     if writer is not None:
         close()
     yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "n_docs", "n_ids"])
@@ -260,7 +289,8 @@ def write(docs: DataFrame, folder: str, end: int = 1, bits: bool = False, vocabu
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, whatever the corpus
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(dealt.mapInArrow(lambda b: _write(b, shared.value, end, folder, bits), "file string, n_docs long, n_ids long"), "manifest")
+    uri = _uri(docs.sparkSession, folder)
+    return materialise(dealt.mapInArrow(lambda b: _write(b, shared.value, end, uri, bits), "file string, n_docs long, n_ids long"), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
