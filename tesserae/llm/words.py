@@ -6,11 +6,13 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _ALT_BASE = 0xA0761D6478BD642F
 _SPAN = 1 << 20
+_LONG = 256
 
 
 class Words(NamedTuple):
@@ -91,7 +93,11 @@ def _poly(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
 
 
 def hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return mix(_poly(data.astype(np.uint64) + np.uint64(1), words.start, words.end, _BYTE_BASE))
+    """64-bit hashes of words; long ones, of which polynomials modulo 2**64 take some patterns for equal, by XXH64."""
+    out = mix(_poly(data.astype(np.uint64) + np.uint64(1), words.start, words.end, _BYTE_BASE))
+    for i in np.flatnonzero(words.end - words.start > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[words.start[i] : words.end[i]].tobytes(), 1)
+    return out
 
 
 def runs(hashed: np.ndarray, first: np.ndarray, n: int, alt: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -123,3 +129,15 @@ def joined(data: np.ndarray, words: Words, keep: np.ndarray) -> list[bytes]:
     cut = ends[np.concatenate([[0], np.cumsum(keep)])[words.first]].tolist()
     raw = out.tobytes()
     return [raw[a : max(a, b - 1)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def spaced(data: np.ndarray, words: Words) -> tuple[bytes, list[int], list[int]]:
+    """All words joined by one space, and where each begins and ends in that."""
+    size = words.end - words.start + 1
+    ends = np.cumsum(size)
+    at = np.repeat(words.start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    spaces = ends - 1
+    at[spaces] = 0
+    out = data[at] if len(at) else np.zeros(0, np.uint8)
+    out[spaces] = 0x20
+    return out.tobytes(), (ends - size).tolist(), spaces.tolist()

@@ -30,34 +30,55 @@ def rows(df):
     return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_documents(make, texts, parts):
+def clashing(df):
+    """Extra columns with the names that the operator uses itself."""
+    return df.withColumns({c: D.F.lit("x") for c in ("h", "anchor", "anchors", "hot", "bucket", "start", "n", "words", "spans", "k", "first", "heads", "h2")})
+
+
+@pytest.mark.parametrize("parts, hot", [(1, D.HOT), (5, D.HOT), (4, 1), (4, 3)])
+def test_documents(make, texts, parts, hot):
     docs = [*texts, (4, texts[4][1]), (None, texts[4][1]), (200, "same " * 100), (201, "same " * 30), (202, "a b " * 25)]
-    assert rows(D.digests(make(docs, parts))) == brute(docs)
+    assert rows(D.digests(clashing(make(docs, parts)), hot)) == brute(docs)
 
 
-def test_small_steps_and_batches(spark, make, texts, monkeypatch):
+@pytest.mark.parametrize("hot", [D.HOT, 2])
+def test_small_steps_and_batches(spark, make, texts, hot):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
     try:
-        docs = [*texts, (-5, texts[8][1])]
-        assert rows(D.digests(make(docs, 2))) == brute(docs)
+        docs = [*texts, (-5, texts[8][1]), (-5, texts[8][1]), (-5, texts[9][1])]
+        assert rows(D.digests(make(docs, 2), hot)) == brute(docs)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_windows_with_equal_low_bits_are_not_equal(monkeypatch):
-    """One anchor for all windows, whose hashes differ above the lowest 40 bits only."""
-    runs = W.runs
-
-    def alike(hashed, first, n, alt=False):
-        at, h = runs(hashed, first, n, alt)
-        return at, np.arange(len(at), dtype=np.uint64) << np.uint64(40) if n == D.WINDOW else np.full_like(h, 7)
-
-    monkeypatch.setattr(D.W, "runs", alike)
-    text = " ".join(f"w{i}" for i in range(60))
-    rows = D.pa.RecordBatch.from_pydict({"doc_id": D.pa.array([1]), "h": D.pa.array([0]), "text": D.pa.array([text])})
-    found = D._factors(D._anchors(iter([rows]), D.DIGEST), D.DIGEST)
-    assert sum(b.num_rows for b in found) == 0
+def test_common_lines_in_unlike_texts(make):
+    """A short line in every document makes its anchors hot, without a repeated window; some texts repeat a longer passage."""
+    line, passage = "a line of eight words stands here often", " ".join(f"p{i}" for i in range(25))
+    docs = [(i, " ".join(f"u{i}x{j}" for j in range(15)) + f" {line} " + " ".join(f"v{i}x{j}" for j in range(15)) + (f" {line} {passage}" if i % 3 == 0 else "")) for i in range(60)]
+    for hot in (D.HOT, 10):
+        assert rows(D.digests(make(docs, 4), hot)) == brute(docs)
+
+
+def test_factors_are_in_their_sources(make, texts):
+    docs = [(i, t) for i, t in texts if i != 3] + [(500, " ".join(f"{texts[0][1]} new {texts[4][1]}".split()[:90]))]
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in docs}
+    found = D.factors(make(docs), 10_000).collect()
+    assert found
+    for f in found:
+        assert f.n >= D.WINDOW and (f.source_id, f.source_start) < (f.doc_id, f.start)
+        assert words[f.doc_id][f.start : f.start + f.n] == words[f.source_id][f.source_start : f.source_start + f.n]
+
+
+def test_equal_hashes_are_not_equal_words(make, texts, monkeypatch):
+    """Were all anchors equal, results would be the same: words decide."""
+    monkeypatch.setattr(D.W, "runs", lambda hashed, first, n: (np.zeros(0), np.full(max(0, len(hashed) - n + 1), 7, np.uint64)))
+    batch = D.pa.RecordBatch.from_pylist([{"doc_id": i, "h": i, "text": t, "anchors": [{"anchor": 7, "hot": False}]} for i, t in texts])
+    segments = sorted((r for b in D._segments(iter([batch])) for r in b.to_pylist()), key=lambda r: (r["bucket"], r["doc_id"], r["start"]))
+    gone = {}
+    for b in D._parse(iter([D.pa.RecordBatch.from_pylist(segments, D.pa.schema([("doc_id", D.pa.int64()), ("h", D.pa.int64()), ("bucket", D.pa.int64()), ("start", D.pa.int32()), ("words", D.pa.binary()), ("source_id", D.pa.int64()), ("source_start", D.pa.int32()), ("n", D.pa.int32())]))])):
+        for r in b.to_pylist():
+            gone.setdefault(str(r["doc_id"]), set()).update(range(r["start"], r["start"] + r["n"]))
+    assert {i: n for i, _, n, _ in brute(texts) if n} == {i: len(x) for i, x in gone.items()}
 
 
 def test_empty_table(make, texts):
