@@ -4,25 +4,30 @@
   at the median: leaves of equal size, whose means are the centroids.
 * Each vector goes to the list of its nearest centroid. Vectors near a boundary go to further lists as well:
   those not more than CLOSURE times as far, up to REPLICAS lists.
-* Centroids are searched by a graph in memory: each is linked to its nearest ones, and a beam walks from fixed
-  entries towards the vector.
-* A query reads the lists whose centroids are at most RATIO times as far as its nearest one, LEAST_LISTS at
-  least, and so many that they must hold enough vectors.
+* Centroids are searched by a graph in memory: each is linked to its nearest ones in all directions and to a
+  few at random, and a beam walks from fixed entries towards the vector.
+* A query reads the lists whose centroids are at most `ratio` times as far as its nearest one, and so many that they
+  must hold enough vectors. The ratio is fitted on the sample: some of its vectors are queries, their nearest others
+  are found by brute force, and the ratio is the one within which TARGET of these are met. So vectors in clusters read
+  a list or two; vectors without structure, whose lists are all about as far, read many, as they must.
 * In each list the distances are computed in double precision on the original vectors; only the best k of a list
   and query go on.
 
-Lists and the queries at a list are cut into parts of bounded size by a hash, so a list that holds a third of
+There are about as many lists as vectors in each: both grow as the root of the number of vectors, until a centroid
+has no more than FITTED vectors of the sample; beyond, lists get longer. Lists and the queries at a list are cut into parts of bounded size by a hash, so a list that holds a third of
 all vectors is read by many tasks. Only the sample, the centroids, and the lists' sizes come to the driver; all
 are bounded by parameters.
 
 Defined results: vectors that are null, zero, or hold a null or a non-finite component take no part, nor do
-those with a null vec_id or of another length than most (the shortest, if equally many); repeated rows of a
+those with a null vec_id or of another length than most (the shortest, if equally many); equal distances are ranked by
+vec_id; repeated rows of a
 vec_id count once, by the nearest of their vectors; no valid vectors, or no other one: no rows; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,11 +41,19 @@ from tesserae.session import materialise
 
 #: Rows of the sample that centroids are fitted on, and floats in it, at most.
 SAMPLE_ROWS, SAMPLE_FLOATS = 20_000, 4_000_000
-#: Vectors in a list on average, and lists, at most.
-LIST_SIZE, MOST_LISTS = 200, 4096
-CLOSURE, REPLICAS = 1.02, 3
-RATIO, LEAST_LISTS, MOST_READ = 1.2, 24, 160
-LINKS, ENTRIES = 24, 16
+#: Vectors of the sample for a centroid, at least.
+FITTED = 8
+CLOSURE, REPLICAS = 1.02, 2
+#: Of the nearest vectors in the sample, those that the fitted ratio meets; and how many queries it is fitted on.
+TARGET, TRIALS = 0.94, 256
+#: Centroids that the walk keeps at first; twice as many, and so on, while all of them are within the ratio.
+BEAM = 32
+#: And as many when a vector looks for its own lists.
+WIDE = 16
+#: Vectors in the lists that a query reads, at least.
+LEAST_READ = 400
+#: Of the graph: links of a centroid to near ones, which are chosen among how many, links to any, and where walks begin.
+LINKS, NEAR, LONG_LINKS, ENTRIES = 16, 96, 4, 32
 #: Vectors of a list, and queries at it, that one group holds.
 PART, QUERIES = 4096, 4096
 
@@ -49,6 +62,7 @@ class Index(NamedTuple):
     centroids: np.ndarray
     links: np.ndarray
     entries: np.ndarray
+    ratio: float
 
 
 def _leaves(x: np.ndarray, count: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -70,16 +84,52 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T)
 
 
-def build(sample: np.ndarray, lists: int) -> Index:
-    """Centroids of the sample, and their graph."""
-    centroids = np.array(_leaves(sample, min(lists, len(sample)), np.random.default_rng(7)))
+def build(sample: np.ndarray, lists: int, k: int = 10) -> Index:
+    """Centroids of the sample, their graph, and the ratio within which the k nearest vectors are found."""
+    centroids = np.array(_leaves(sample, max(1, min(lists, len(sample) // FITTED)), np.random.default_rng(7)))
     n = len(centroids)
-    links = np.zeros((n, min(LINKS, max(1, n - 1))), np.int64)
-    for lo in range(0, n, 512):
-        d = _squares(centroids[lo : lo + 512], centroids)
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
-        links[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, : links.shape[1]]
-    return Index(centroids, links, np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64)))
+    rng = np.random.default_rng(9)
+    links = np.concatenate([_links(centroids, lo, min(lo + 256, n)) for lo in range(0, n, 256)])
+    links = np.concatenate([links, rng.integers(0, n, (n, LONG_LINKS))], axis=1)
+    index = Index(centroids, links, np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64)), 1.0)
+    return index._replace(ratio=_fitted(index, sample, k))
+
+
+def _links(centroids: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Up to LINKS of the nearest centroids of some, one for each direction: none that is nearer to one taken before. Missing ones link to themselves."""
+    n, rows = len(centroids), np.arange(hi - lo)
+    d = _squares(centroids[lo:hi], centroids)
+    d[rows, np.arange(lo, hi)] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(n - 1, NEAR)]
+    taken = np.repeat(np.arange(lo, hi)[:, None], LINKS, axis=1)
+    count = np.zeros(hi - lo, np.int64)
+    for c in near.T:
+        far = d[rows, c]
+        to_taken = ((centroids[c][:, None, :] - centroids[taken]) ** 2).sum(axis=2)
+        to_taken[np.arange(LINKS)[None, :] >= count[:, None]] = np.inf
+        ok = (count < LINKS) & (to_taken.min(axis=1) > far)
+        taken[rows[ok], count[ok]] = c[ok]
+        count[ok] += 1
+    return taken
+
+
+def _fitted(index: Index, sample: np.ndarray, k: int) -> float:
+    trials = np.random.default_rng(8).permutation(len(sample))[:TRIALS]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    lists = np.concatenate([_lists(index, sample[lo : lo + 2048]) for lo in range(0, len(sample), 2048)])
+    need = []
+    for lo in range(0, len(trials), 32):
+        some = trials[lo : lo + 32]
+        d = _squares(sample[some], sample)
+        d[np.arange(len(some)), some] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        far = np.sqrt(_squares(sample[some], index.centroids))
+        holds = lists[near]  # -1 where a vector has fewer lists
+        at = np.where(holds >= 0, np.take_along_axis(far[:, None, :], np.maximum(holds, 0), axis=2), np.inf).min(axis=2)
+        need.append(at / np.maximum(far.min(axis=1), 1e-300)[:, None])
+    return float(np.quantile(np.concatenate(need), TARGET))
 
 
 def walk(index: Index, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +173,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def _lists(index: Index, x: np.ndarray) -> np.ndarray:
     """The lists of each vector, -1 where it has fewer."""
-    ids, far = walk(index, x, 4 * REPLICAS)
+    ids, far = walk(index, x, WIDE)
     out = np.full((len(x), REPLICAS), -1)
     out[:, 0] = ids[:, 0]
     count = np.ones(len(x), np.int64)
@@ -144,21 +194,30 @@ def _post(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(lists[at, which].astype(np.int32)), column(rows, "vec_id").take(take), column(rows, "embedding").take(take)], ["list", "vec_id", "embedding"])
 
 
+def _read_by(index: Index, x: np.ndarray, sizes: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, list) of the lists that each vector reads as a query."""
+    at, which, rows, beam = [], [], np.arange(len(x)), BEAM
+    while len(rows):
+        ids, far = walk(index, x[rows], beam)
+        have = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
+        before = np.concatenate([np.zeros((len(ids), 1), np.int64), have[:, :-1]], axis=1)
+        read = ((far <= index.ratio * far[:, :1]) | (before < enough)) & (ids >= 0)
+        # Where the whole beam is to be read there may be more lists: a wider beam finds them.
+        settled = ~read[:, -1] | (beam >= len(index.centroids))
+        i, j = np.nonzero(read & settled[:, None])
+        at.append(rows[i])
+        which.append(ids[i, j])
+        rows, beam = rows[~settled], 2 * beam
+    return np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*which, np.zeros(0, np.int64)])
+
+
 def _route(batches: Iterator[pa.RecordBatch], index: Index, sizes: np.ndarray, enough: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             rows = batch.slice(lo, 2048)
-            ids, far = walk(index, _matrix(column(rows, "embedding")), MOST_READ)
-            have = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1)
-            before = np.concatenate([np.zeros((len(ids), 1), np.int64), have[:, :-1]], axis=1)
-            near = (far <= RATIO * far[:, :1]) | (np.arange(ids.shape[1]) < LEAST_LISTS) | (before < enough)
-            at, which = np.nonzero(near & (ids >= 0))
-            # Should all lists of the beam hold too few, every list is read.
-            few = np.flatnonzero(have[:, -1] < enough)
-            extra = [np.setdiff1d(np.arange(len(sizes)), ids[i]) for i in few]
-            take = pa.array(np.concatenate([at, np.repeat(few, [len(e) for e in extra])]).astype(np.int64))
-            lists = np.concatenate([ids[at, which], *extra]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(lists), column(rows, "vec_id").take(take), column(rows, "embedding").take(take)], ["list", "query_id", "query"])
+            at, lists = _read_by(index, _matrix(column(rows, "embedding")), sizes, enough)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), column(rows, "vec_id").take(take), column(rows, "embedding").take(take)], ["list", "query_id", "query"])
 
 
 def _best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
@@ -219,21 +278,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     found = sample.select("embedding").toArrow()["embedding"]
     if not len(found):
         found = rows.limit(most).select("embedding").toArrow()["embedding"]
-    index = build(_matrix(found.combine_chunks() if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)), max(1, min(MOST_LISTS, n // LIST_SIZE)))
+    index = build(_matrix(found.combine_chunks() if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)), round(math.sqrt(n)), k)
     shared = spark.sparkContext.broadcast(index)
     kind = rows.schema["embedding"].dataType.simpleString()
     posted = materialise(rows.mapInArrow(lambda b: _post(b, shared.value), f"list int, vec_id long, embedding {kind}"), "postings")
     sizes = np.zeros(len(index.centroids), np.int64)
-    for row in posted.groupBy("list").count().collect():  # at most MOST_LISTS
+    for row in posted.groupBy("list").count().collect():  # a row for each centroid
         sizes[row[0]] = row[1]
-    enough = min((k + 1) * REPLICAS, int(sizes.sum()))
+    enough = min(max(LEAST_READ, (k + 1) * REPLICAS), int(sizes.sum()))
     routed = materialise(rows.filter(is_query).mapInArrow(lambda b: _route(b, shared.value, sizes, enough), f"list int, query_id long, query {kind}"), "routes")
-    asked = {row[0]: row[1] for row in routed.groupBy("list").count().collect()}
-    parts = F.array(*[F.lit(int(-(-s // PART)) or 1) for s in sizes])
-    blocks = F.array(*[F.lit(-(-asked.get(i, 1) // QUERIES)) for i in range(len(sizes))])
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.get(count, F.col("list")) - 1))
-    left = routed.select("list", every(parts).alias("part"), F.pmod(F.xxhash64("query_id"), F.get(blocks, F.col("list"))).cast("int").alias("block"), "query_id", "query")
-    right = posted.select("list", F.pmod(F.xxhash64("vec_id"), F.get(parts, F.col("list"))).cast("int").alias("part"), every(blocks).alias("block"), "vec_id", "embedding")
+    asked = dict(map(tuple, routed.groupBy("list").count().collect()))
+    cuts = spark.createDataFrame([(i, max(1, -(-int(size) // PART)), max(1, -(-asked.get(i, 1) // QUERIES))) for i, size in enumerate(sizes)], "list int, parts int, blocks int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = routed.join(cuts, "list").select("list", every("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "query")
+    right = posted.join(cuts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), every("blocks").alias("block"), "vec_id", "embedding")
     key = ("list", "part", "block")
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda q, v: _best(q, v, k), "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -98,7 +98,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_steps(batches):
         _, _, doc, _, _, anchor = _anchored(data, offsets)
-        yield pa.RecordBatch.from_arrays([column(rows, "h").take(pa.array(doc)), pa.array(anchor)], ["h", "anchor"])
+        take = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([column(rows, "doc_id").take(take), column(rows, "h").take(take), pa.array(anchor)], ["doc_id", "h", "anchor"])
 
 
 class _Factors:
@@ -216,22 +217,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, text): h deals out the texts, and Spark does so once for all the joins on it below."""
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def _on_text(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    return texts.join(other.withColumnRenamed("h", "k").hint("merge"), F.col("h") == F.col("k"), how).drop("k")
+def _of_document(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Texts joined with what was found of them. The texts' side is the same at every use, so Spark deals them out once."""
+    other = found.withColumnsRenamed({"doc_id": "d", "h": "k"})
+    return texts.join(other.hint("merge"), texts["doc_id"].eqNullSafe(other["d"]) & (texts["h"] == other["k"]), how).drop("d", "k")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """The texts with `first`: whether no document of smaller doc_id has the same text."""
+    """The texts with `first`: whether no document of smaller doc_id has the same text. Copies meet as hashes only, summed up before they are dealt out."""
     texts = _texts(docs)
     least = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("doc_id")
-    second = F.xxhash64(F.lit(1), "text").alias("h2")
-    heads = texts.select("doc_id", "h", second).groupBy("h", "h2").agg(least).groupBy("h").agg(F.collect_list(F.struct("h2", "doc_id")).alias("heads"))  # one head for each h, but for equal hashes of unlike texts
-    first = F.exists("heads", lambda x: (x["h2"] == F.xxhash64(F.lit(1), "text")) & x["doc_id"].eqNullSafe(F.col("doc_id")))
-    return _on_text(texts, heads, "inner").withColumn("first", first).drop("heads")
+    firsts = texts.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2")).groupBy("h", "h2").agg(least).select("doc_id", "h").distinct()
+    return _of_document(texts, firsts.withColumn("first", F.lit(True)), "left").withColumn("first", F.coalesce("first", F.lit(False)))
 
 
 def factors(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -247,9 +247,9 @@ def _factors_of(marked: DataFrame, hot: int) -> DataFrame:
     firsts = marked.filter("first").drop("first")
     counts = firsts.select("text").mapInArrow(_count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     often = counts.filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
-    placed = firsts.select("h", "text").mapInArrow(_place, "h long, anchor long")
-    shared = placed.join(often.hint("merge"), "anchor").groupBy("h").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
-    routed = _on_text(firsts, shared, "inner").mapInArrow(_segments, f"doc_id {kind}, h long, bucket long, start int, words binary, source_id {kind}, source_start int, n int")
+    placed = firsts.mapInArrow(_place, f"doc_id {kind}, h long, anchor long")
+    shared = placed.join(often.hint("merge"), "anchor").groupBy("doc_id", "h").agg(F.collect_set(F.struct("anchor", "hot")).alias("anchors"))
+    routed = _of_document(firsts, shared, "inner").mapInArrow(_segments, f"doc_id {kind}, h long, bucket long, start int, words binary, source_id {kind}, source_start int, n int")
     blocks = routed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start")
     return blocks.mapInArrow(_parse, f"doc_id {kind}, h long, start int, n int, source_id {kind}, source_start int")
 
@@ -276,10 +276,9 @@ def _remove(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[pa.Record
 
 def _removed(docs: DataFrame, hot: int, text: bool) -> DataFrame:
     marked = _marked(docs)
-    spans = _factors_of(marked, hot).groupBy("h").agg(F.collect_set(F.struct("doc_id", "start", "n")).alias("spans"))
-    mine = F.filter("spans", lambda s: s["doc_id"].eqNullSafe(F.col("doc_id")))
+    spans = _factors_of(marked, hot).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _on_text(marked, spans, "left").select("doc_id", "text", "first", mine.alias("spans"))
+    rows = _of_document(marked, spans, "left").select("doc_id", "text", "first", "spans")
     return rows.mapInArrow(lambda b: _remove(b, text), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

@@ -32,7 +32,7 @@ def rows(df):
 
 def clashing(df):
     """Extra columns with the names that the operator uses itself."""
-    return df.withColumns({c: D.F.lit("x") for c in ("h", "anchor", "anchors", "hot", "bucket", "start", "n", "words", "spans", "k", "first", "heads", "h2")})
+    return df.withColumns({c: D.F.lit("x") for c in ("h", "anchor", "anchors", "hot", "bucket", "start", "n", "words", "spans", "d", "k", "first", "h2")})
 
 
 @pytest.mark.parametrize("parts, hot", [(1, D.HOT), (5, D.HOT), (4, 1), (4, 3)])
