@@ -27,12 +27,20 @@ TOOLS = {
 
 
 def _with_calls(turns: DataFrame) -> DataFrame:
-    """Conversations as tool messages: an assistant turn calls a tool, a user turn that is not the first is the result of the turn before it."""
-    arguments = F.when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.length("text").alias("length"), "text"))).otherwise(F.to_json(F.struct(F.slice(F.split("text", " "), 1, 3).alias("terms"))))
-    name = F.when(F.col("turn") % 4 == 1, "answer").otherwise("lookup")
-    quoted = F.to_json(F.struct(F.col("text").alias("content")))
-    call = F.format_string('{"call":{"id":"c%d","name":"%s","arguments":%s,"after":%s}}', F.col("turn"), name, arguments, F.when(F.col("turn") > 2, F.lit('["c1","c2"]')).otherwise(F.lit("[]")))
-    result = F.format_string('{"result":{"id":"c%d",%s}', F.col("turn") - 1, F.concat(F.substring(quoted, 2, 1 << 30), F.lit("")))
+    """Conversations as tool messages: an assistant turn calls a tool, after the call before it; a user turn that is not the first is the result of the turn before it.
+
+    By a hash of the text, some calls break their schema, call a tool that is not there, wait for the call after them (a
+    cycle), or repeat the id of the call before.
+    """
+    pick = F.pmod(F.xxhash64("text"), F.lit(40))
+    turn = F.when(pick == 3, F.col("turn") - 2).otherwise(F.col("turn"))
+    answers = F.col("turn") % 4 == 1
+    length = F.when(pick == 0, F.length("text").cast("string"))  # a string where the schema asks for a number
+    arguments = F.when(answers & length.isNotNull(), F.to_json(F.struct(length.alias("length"), "text"))).when(answers, F.to_json(F.struct(F.length("text").alias("length"), "text"))).otherwise(F.to_json(F.struct(F.split("text", " ").alias("terms"))))
+    name = F.when(pick == 1, "nobody").when(answers, "answer").otherwise("lookup")
+    after = F.concat(F.lit('["c'), F.col("turn") - 2, F.when(pick == 2, F.concat(F.lit('","c'), F.col("turn") + 2)).otherwise(""), F.lit('"]'))
+    call = F.concat(F.lit('{"call":{"id":"c'), turn, F.lit('","name":"'), name, F.lit('","arguments":'), arguments, F.lit(',"after":'), after, F.lit("}}"))
+    result = F.concat(F.lit('{"result":{"id":"c'), F.col("turn") - 1, F.lit('","content":'), F.get_json_object(F.to_json(F.struct(F.struct("text").alias("x"))), "$.x"), F.lit("}}"))
     text = F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (F.col("turn") > 0), result).otherwise(F.col("text"))
     role = F.when((F.col("role") == "user") & (F.col("turn") > 0), "tool").otherwise(F.col("role"))
     return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))

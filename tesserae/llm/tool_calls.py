@@ -9,18 +9,21 @@ Messages (conv_id, turn, role, text) hold calls and results as one JSON object e
 2. link: calls and results meet in a hash join on (conv_id, id); of several with one id the one of smallest
    turn counts, the others are `repeated`;
 3. order: a call's level is 0 if it comes after no other, else one more than the greatest level of those it
-   comes after, found level by level with joins; calls on a cycle, and those after them, have none;
+   comes after; calls on a cycle, and those after them, have none. Conversations of up to SMALL calls and links are put
+   in order by one pass over their sorted rows, longer ones level by level with joins;
 4. validate: arguments are held against the tool's schema (a subset of JSON Schema: type, required, properties,
    enum, items, additionalProperties);
 5. serialise: canonical JSON, keys sorted, no spaces, numbers as Python's json writes them.
 
-Every message gives one row, (conv_id, position, kind, status, level, json): position counts from 0 within a
-conversation by level (plain messages and results: that of what they follow), turn and id. No conversation is
-gathered in one value.
+Every message gives one row, (conv_id, position, turn, kind, status, level, json): position counts from 0 within a
+conversation by level (plain messages and results: that of what they follow), turn and id. All messages are dealt
+out by ranges of that order, so that a long conversation is spread over tasks, each of which counts its part.
 
-Defined results: a null text is an empty plain message; a null conv_id is a conversation of its own; a result
-without a call is `orphan`, a call without a result `open`; an id in `after` that no call has is ignored;
-repeated rows stay; an empty table gives no rows; extra columns are ignored.
+Defined results: a null text is an empty plain message; messages of null conv_id are one conversation, which is not the
+one named ""; a result without a call is `orphan`, a call without a result `open`; an id in `after` that no call has
+is ignored; repeated rows stay, all but one as `repeated`; JSON that is nested too deep to be read, or holds numbers
+that JSON does not have (NaN, infinities), is a plain message; lone surrogates in it are replaced by question marks;
+very long texts are parsed whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,29 +33,35 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.batches import column
-from tesserae.session import materialise
+from tesserae.session import materialise, scratch
 
+#: Calls, and links between them, of a conversation that is put in order within a task.
+SMALL = 10_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 _PARSED = "conv_id {}, turn long, role string, kind string, id string, name string, after array<string>, body string, fault string"
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _is(value: Any, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == value // 1)
+    return kind not in _TYPES or isinstance(value, _TYPES[kind])
 
 
 def fault_of(value: Any, schema: dict, path: str = "$") -> str | None:
     """The first place where value breaks the schema."""
-    kind = schema.get("type")
-    if kind in ("number", "integer"):
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or (kind == "integer" and value != int(value)):
-            return f"{path}: no {kind}"
-    elif kind and not isinstance(value, _TYPES[kind]):
-        return f"{path}: no {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    kinds = schema.get("type") or []
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return f"{path}: no {' or '.join(kinds)}"
+    if "enum" in schema and not any(value == x and isinstance(value, bool) == isinstance(x, bool) for x in schema["enum"]):
         return f"{path}: not in enum"
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -72,26 +81,41 @@ def fault_of(value: Any, schema: dict, path: str = "$") -> str | None:
     return None
 
 
+def _no_number(text: str) -> Any:
+    raise ValueError(f"{text} is no JSON number")
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if abs(value) < float("inf") else _no_number(text)
+
+
+def _plain_text(text: str) -> str:
+    """The text, or where it cannot be encoded, with question marks."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def _parse(text: str | None, role: str | None, schemas: dict[str, dict]) -> tuple:
     """(kind, id, name, after, body, fault) of one message."""
     plain = ("message", None, None, [], canonical({"content": text or "", "role": role}), None)
     if not text or text[:1] != "{" or role not in ("assistant", "tool"):
         return plain
     try:
-        value = json.loads(text)
-    except ValueError:
+        value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+        what = "call" if role == "assistant" else "result"
+        inner = value.get(what)
+        if not isinstance(inner, dict) or not isinstance(inner.get("id"), str):
+            return plain
+        key = _plain_text(inner["id"])
+        if what == "result":
+            return ("result", key, None, [], _plain_text(canonical({"content": inner.get("content"), "id": key, "role": "tool"})), None)
+        name, arguments, after = inner.get("name"), inner.get("arguments"), inner.get("after") or []
+        schema = schemas.get(name) if isinstance(name, str) else None
+        fault = "unknown tool" if schema is None else fault_of(arguments, schema)
+        body = canonical({"arguments": arguments, "id": key, "name": name, "role": "assistant"})
+        return ("call", key, _plain_text(str(name)), [_plain_text(str(x)) for x in after] if isinstance(after, list) else [], _plain_text(body), fault and _plain_text(fault))
+    except (ValueError, RecursionError):
         return plain
-    what = "call" if role == "assistant" else "result"
-    inner = value.get(what)
-    if not isinstance(inner, dict) or not isinstance(inner.get("id"), str):
-        return plain
-    if what == "result":
-        return ("result", inner["id"], None, [], canonical({"content": inner.get("content"), "id": inner["id"], "role": "tool"}), None)
-    name, arguments, after = inner.get("name"), inner.get("arguments"), inner.get("after") or []
-    schema = schemas.get(name) if isinstance(name, str) else None
-    fault = "unknown tool" if schema is None else fault_of(arguments, schema)
-    body = canonical({"arguments": arguments, "id": inner["id"], "name": name, "role": "assistant"})
-    return ("call", inner["id"], str(name), [str(x) for x in after] if isinstance(after, list) else [], body, fault)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iterator[pa.RecordBatch]:
@@ -102,47 +126,138 @@ def _parsed(batches: Iterator[pa.RecordBatch], schemas: dict[str, dict]) -> Iter
         yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("conv_id", "turn", "role")] + made, ["conv_id", "turn", "role", "kind", "id", "name", "after", "body", "fault"])
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of the calls that are on no cycle and after none."""
-    edges = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("before"))
-    known = calls.select("conv_id", F.col("id").alias("before"))
-    edges = materialise(edges.join(known.hint("shuffle_hash"), ["conv_id", "before"]), "edges")
-    done = calls.select("conv_id", "id").join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
-    done = materialise(done, "levels")
+def levels_of(after: dict[str, list[str]]) -> dict[str, int]:
+    """The level of each call of one conversation that is on no cycle and after none."""
+    waits = {c: len(set(b) & after.keys()) for c, b in after.items()}
+    then: dict[str, list[str]] = {}
+    for c, before in after.items():
+        for b in set(before) & after.keys():
+            then.setdefault(b, []).append(c)
+    levels = {c: 0 for c, n in waits.items() if not n}
+    ready = list(levels)
+    for c in ready:  # grows as it is read
+        for d in then.get(c, ()):
+            waits[d] -= 1
+            if not waits[d]:  # its last: levels ascend along `ready`
+                levels[d] = levels[c] + 1
+                ready.append(d)
+    return levels
+
+
+def _levels_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv, id, after) sorted by conv."""
+    conv, after = None, {}
+
+    def solved() -> pa.RecordBatch:
+        found = levels_of(after)
+        return pa.RecordBatch.from_arrays([pa.array([conv] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(found.values(), pa.int32())], ["conv", "id", "level"])
+
+    for batch in batches:
+        for c, i, a in zip(*(column(batch, x).to_pylist() for x in ("conv", "id", "after")), strict=True):
+            if c != conv:
+                if after:
+                    yield solved()
+                conv, after = c, {}
+            after[i] = a or []
+    if after:
+        yield solved()
+
+
+def _levels_by_joins(calls: DataFrame) -> DataFrame:
+    """As _levels_in_task, for conversations of any length: a round for each level; each adds its calls to one folder."""
+    spark = calls.sparkSession
+    edges = calls.select("conv", "id", F.explode(F.array_distinct("after")).alias("before"))
+    known = calls.select("conv", F.col("id").alias("before"))
+    edges = materialise(edges.join(known.hint("shuffle_hash"), ["conv", "before"]), "edges")
+    folder, kind = scratch(spark, "levels"), "conv string, id string, level int"
+    done = calls.select("conv", "id").join(edges.select("conv", "id").distinct(), ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
+    done.write.parquet(folder)
     while not edges.isEmpty():
-        reached = edges.join(done.select("conv_id", F.col("id").alias("before"), "level"), ["conv_id", "before"], "left")
-        ready = reached.groupBy("conv_id", "id").agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("waits")).filter("waits = 0").select("conv_id", "id", "level")
+        done = spark.read.schema(kind).parquet(folder)
+        reached = edges.join(done.withColumnRenamed("id", "before"), ["conv", "before"], "left")
+        ready = reached.groupBy("conv", "id").agg((F.max("level") + 1).cast("int").alias("level"), F.count_if(F.col("level").isNull()).alias("waits")).filter("waits = 0").select("conv", "id", "level")
         ready = materialise(ready, "ready")
         if ready.isEmpty():
             break
-        edges = materialise(edges.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti"), "edges")
-        done = done.union(ready)
-    return done
+        ready.write.mode("append").parquet(folder)
+        edges = materialise(edges.join(ready.select("conv", "id"), ["conv", "id"], "left_anti"), "edges")
+    return spark.read.schema(kind).parquet(folder)
+
+
+def _levels(calls: DataFrame, small: int) -> DataFrame:
+    """(conv, id, level) of the calls (conv, id, after) that are on no cycle and after none."""
+    sizes = calls.groupBy("conv").agg((F.count("*") + F.sum(F.size("after"))).alias("n"))
+    long = materialise(sizes.filter(F.col("n") > small).select("conv"), "long-conversations")
+    if long.isEmpty():
+        short, by_joins = calls, None
+    else:
+        short, by_joins = calls.join(long, "conv", "left_anti"), _levels_by_joins(calls.join(long, "conv", "left_semi"))
+    found = short.repartition("conv").sortWithinPartitions("conv").mapInArrow(_levels_in_task, "conv string, id string, level int")
+    return found if by_joins is None else found.union(by_joins)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds nth, the place of each row within its conversation's part in this task, and whether that is the task's first conversation."""
+    conv, n, lead = None, 0, True
+    for batch in batches:
+        nth, leads = [], []
+        for c in column(batch, "conv").to_pylist():
+            if c != conv:
+                lead = conv is None
+                conv, n = c, 0
+            nth.append(n)
+            leads.append(lead)
+            n += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64()), pa.array(leads, pa.bool_())], [*batch.schema.names, "nth", "lead"])
+
+
+def _with_positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with position, which counts from 0 within a conv (never null) by `order`.
+
+    Rows are dealt out by ranges of conv and order, equal ones by numbers of their own, and counted part by part. What
+    a conversation has in the parts before comes from one row for each part.
+    """
+    spark = rows.sparkSession
+    rows = materialise(rows, "unordered")  # so that the numbers below are the same should a task run again
+    keys = ["conv", *order, "tie"]
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie").withColumn("part", F.spark_partition_id())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    parts = materialise(dealt.mapInArrow(_numbered, f"{kinds}, nth long, lead boolean"), "parts")
+    ends = parts.groupBy("part").agg(F.min("conv").alias("first"), F.max(F.struct("conv", "nth")).alias("last"))  # a row for each task
+    before, carried = [], (None, 0)
+    for part, first, (conv, nth) in sorted(map(tuple, ends.collect()), key=lambda r: r[0]):
+        start = carried[1] if carried[0] == first else 0
+        before.append((part, start))
+        carried = (conv, nth + 1 + (start if conv == first else 0))
+    if not before:
+        return parts.withColumn("position", F.col("nth"))
+    starts = spark.createDataFrame(before, "part int, before long")
+    return parts.join(starts, "part").withColumn("position", F.col("nth") + F.when(F.col("lead"), F.col("before")).otherwise(0))
 
 
-def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict], small: int = SMALL) -> DataFrame:
     """(conv_id, position, turn, kind, status, level, json) of every message; schemas: a JSON schema for each tool."""
     kind = messages.schema["conv_id"].dataType.simpleString()
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    parsed = materialise(rows.mapInArrow(lambda b: _parsed(b, schemas), _PARSED.format(kind)), "messages")
+    parsed = rows.mapInArrow(lambda b: _parsed(b, schemas), _PARSED.format(kind)).withColumn("conv", F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string"))))
+    parsed = materialise(parsed, "messages")
     # Plain messages go by; only calls and results are grouped and joined.
-    tools = parsed.filter("id is not null").withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    nth = F.row_number().over(Window.partitionBy("conv", "kind", "id").orderBy("turn", "body"))
-    tools = materialise(tools.withColumn("nth", nth), "tools")
-    calls = tools.filter("kind = 'call' and nth = 1").select(F.col("conv").alias("conv_id"), "id", "after")
-    results = tools.filter("kind = 'result' and nth = 1").select(F.col("conv").alias("conv_id"), "id").withColumn("answered", F.lit(True))
-    known = calls.select("conv_id", "id").join(results.hint("shuffle_hash"), ["conv_id", "id"], "left").join(_levels(calls), ["conv_id", "id"], "left")
-    linked = tools.join(known.select(F.col("conv_id").alias("conv"), F.col("id"), F.coalesce("answered", F.lit(False)).alias("answered"), "level", F.lit(True).alias("called")), ["conv", "id"], "left")
+    tools = materialise(parsed.filter("id is not null").withColumn("tie", F.monotonically_increasing_id()), "tools")
+    first = lambda kind, *more: F.min(F.when(F.col("kind") == kind, F.struct("turn", "body", "tie", *more))).alias(kind)
+    heads = materialise(tools.groupBy("conv", "id").agg(first("call", "after"), first("result")), "heads")
+    levels = materialise(_levels(heads.filter("call is not null").select("conv", "id", "call.after"), small), "levels-of-calls")
+    known = heads.select("conv", "id", F.col("call.tie").alias("call"), F.col("result.tie").alias("result")).join(levels, ["conv", "id"], "left")
+    linked = tools.join(materialise(known, "links"), ["conv", "id"])
     status = (
-        F.when(F.col("nth") > 1, "repeated")
-        .when(F.col("called").isNull(), "orphan")
+        F.when(F.col("tie") != F.when(F.col("kind") == "call", F.col("call")).otherwise(F.col("result")), "repeated")
+        .when(F.col("call").isNull(), "orphan")
         .when(F.col("level").isNull(), "cyclic")
         .when(F.col("fault").isNotNull(), F.concat(F.lit("invalid "), "fault"))
-        .when(~F.col("answered"), "open")
+        .when(F.col("result").isNull(), "open")
         .otherwise("linked")
     )
-    columns = ("conv_id", "turn", "kind", "id", "status", "level", "body")
+    columns = ("conv", "conv_id", "turn", "kind", "id", "status", "level", "body")
     every = linked.withColumn("status", status).select(*columns).unionByName(parsed.filter("id is null").withColumns({"status": F.lit("plain"), "level": F.lit(None).cast("int")}).select(*columns))
     # In a conversation, calls and results by level, the others by turn alone.
-    order = Window.partitionBy("conv_id").orderBy(F.coalesce("level", F.lit(0)), "turn", "kind", "id", "body")
-    return every.select("conv_id", (F.row_number().over(order) - 1).alias("position"), "turn", "kind", "status", "level", F.col("body").alias("json"))
+    placed = _with_positions(every.withColumn("at", F.coalesce("level", F.lit(0))), ["at", "turn", "kind", "id", "body"])
+    return placed.select("conv_id", "position", "turn", "kind", "status", "level", F.col("body").alias("json"))

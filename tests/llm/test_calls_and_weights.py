@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import resampling as R
@@ -35,9 +36,82 @@ def test_linking(spark):
     assert T.link(df.limit(0), TOOLS).count() == 0
 
 
+def brute(rows, schemas):
+    """(conv_id, position, turn, kind, status, level, json) of every message, one conversation after the other."""
+    by_conv, out = {}, []
+    for conv, turn, role, text in rows:
+        by_conv.setdefault(conv, []).append((turn, *T._parse(text, role, schemas)))
+    order = lambda x: (x is not None, x if x is not None else 0)
+    for conv, messages in by_conv.items():
+        messages.sort(key=lambda m: (order(m[0]), m[5]))
+        first = {}
+        for k, (_, kind, i, *_) in enumerate(messages):
+            first.setdefault((kind, i), k)
+        after = {m[2]: m[4] for k, m in enumerate(messages) if m[1] == "call" and first["call", m[2]] == k}
+
+        def level(i, path=()):
+            if i in path:
+                return None
+            below = [level(b, (*path, i)) for b in after[i] if b in after]
+            return None if None in below else max(below, default=-1) + 1
+
+        levels = {i: level(i) for i in after}
+        made = []
+        for k, (turn, kind, i, _, _, body, fault) in enumerate(messages):
+            if kind == "message":
+                made.append((conv, turn, kind, "plain", None, i, body))
+                continue
+            status = "repeated" if first[kind, i] != k else "orphan" if i not in after else "cyclic" if levels[i] is None else f"invalid {fault}" if fault else "open" if ("result", i) not in first else "linked"
+            made.append((conv, turn, kind, status, levels.get(i), i, body))
+        made.sort(key=lambda m: (m[4] or 0, order(m[1]), m[2], (m[5] is not None, m[5] or ""), m[6]))
+        out += [(c, p, turn, kind, status, lv, body) for p, (c, turn, kind, status, lv, _, body) in enumerate(made)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("small", [T.SMALL, 3])
+def test_any_conversations(spark, small):
+    rng = np.random.default_rng(small)
+    rows = []
+    for conv in [None, "", *map(str, range(12))]:
+        for turn in range(rng.integers(1, 30)):
+            i = f"c{rng.integers(0, 12)}"
+            text = call(i, ["add", "none"][rng.random() < 0.1], {"a": [1, "1"][rng.random() < 0.2]}, [f"c{x}" for x in rng.integers(0, 14, rng.integers(0, 3)) if f"c{x}" < i or rng.random() < 0.1]) if rng.random() < 0.6 else result(i, f"r{turn}")
+            rows += [(conv, None if rng.random() < 0.05 else turn, "assistant" if '"call"' in text else "tool", text)] * (1 + (rng.random() < 0.1))
+    rows += [("long", t, "assistant", call(f"c{t:03}", after=[f"c{t - 1:03}"])) for t in range(12)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id string, turn long, role string, text string, conv string, tie int").repartition(5)
+    assert sorted(map(tuple, T.link(df, TOOLS, small).collect()), key=str) == brute(rows, TOOLS)
+
+
+def test_one_conversation_in_many_parts(spark):
+    rows = [(7, t // 3, "user", f"m{t % 5}") for t in range(500)] + [(7, 0, "user", "same")] * 300 + [(8, 1, "user", "x")] + [(9, t, "user", "y") for t in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = T.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), {}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got), key=str) == brute(rows, {})
+
+
+def test_bad_json_is_plain(spark):
+    bad = ['{"call":{"id":"a","name":"add","arguments":' + "[" * 50_000 + "]" * 50_000 + "}}", '{"call":{"id":"a","name":"add","arguments":{"a":NaN}}}', '{"call":{"id":"a","name":"add","arguments":{"a":1e999}}}', '{"call":{"id":"a","name":"add","arguments":{"a":-Infinity}}}', "{" * 100_000, '{"call":[]}']
+    odd = '{"result":{"id":"a\\ud800","content":"\\udfff"}}'
+    rows = [(1, i, "assistant", t) for i, t in enumerate(bad)] + [(1, 9, "tool", odd), (1, 10, "assistant", call("z", arguments={"a": 10**400})), (1, 11, "assistant", call("y", arguments={"a": 1, "b": ["x" * 200_000]}))]
+    got = {r.turn: r for r in T.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert [got[i].status for i in range(len(bad))] == ["plain"] * len(bad)
+    assert got[9].status == "orphan" and got[9].json == '{"content":"?","id":"a?","role":"tool"}'
+    assert got[10].status == "open" and got[11].status == "invalid $.b[0]: no number"
+
+
 def test_schema_faults():
     f = lambda v: T.fault_of(v, TOOLS["add"])
     assert f({"a": 1, "b": [1, True]}) == "$.b[1]: no number" and f({"a": 1, "c": "y"}) == "$.c: not in enum" and f([]) == "$: no object" and f({}) == "$.a: missing" and f({"a": 2.0}) is None
+    either = {"type": ["integer", "null"], "enum": [1, None, 5]}
+    assert T.fault_of(None, either) is None and T.fault_of(5, either) is None and T.fault_of("x", either) == "$: no integer or null" and T.fault_of(True, {"enum": [1]}) == "$: not in enum"
+
+
+def test_levels_of_a_long_chain():
+    n = 20_000
+    assert T.levels_of({str(i): [str(i - 1), "none"] for i in range(n)}) == {str(i): i for i in range(n)}
 
 
 def test_resampling(spark):
@@ -70,5 +144,8 @@ def test_queries_run(spark):
     from tesserae.llm import catalogue
 
     sf = "/root/testdata/sf0.001"
-    assert catalogue.op1_tool_calls(spark, sf).groupBy("status").count().count() >= 3
+    turns = catalogue._with_calls(catalogue._table(spark, sf, "conversations")).collect()
+    found = sorted(map(tuple, catalogue.op1_tool_calls(spark, sf).collect()), key=str)
+    assert found == brute([tuple(r) for r in turns], catalogue.TOOLS)
+    assert {r[4].split(" ")[0] for r in found} >= {"plain", "linked", "open"} and max(r[5] or 0 for r in found) >= 2
     assert catalogue.op3_importance_resampling(spark, sf).filter("selected").count() == 100
