@@ -7,21 +7,24 @@ of the hashes. No words: fingerprint 0.
 Candidates: the 64 bits are cut into SEGMENTS = 5 segments in a ring. If two fingerprints differ in at most 4
 bits, there is a segment from which on every chain of l consecutive segments holds at most l * 4 / 5
 differences, rounded down: none in the first, one in the first two, two in the first three, three in the first
-four. So pairs are searched among fingerprints that share the first segment of such a chain and one half of
-the second one (at most one difference cannot be in both halves): 10 keys of 19 or 20 bits for a fingerprint.
-Members of a key's bucket are compared along the chain; only those that pass have all 64 bits compared.
+four. So pairs are searched among fingerprints that share the first segment of such a chain, and of the following
+segments those halves that so few differences must leave alone. A chain of two segments gives keys of 19 or 20 bits,
+one of three 26, one of four 32 or 33; the more fingerprints there are, the longer the chain (`depth`), so buckets do not
+fill up. Members of a key's bucket are compared along the whole chain; only those that pass have all 64 bits compared.
 
 Equal fingerprints are one node, whatever the number of their documents. Within a bucket only a spanning
 forest of its links is written, so the rows stay in proportion to the fingerprints; a bucket with over
 `block` members is dealt out to pairs of blocks, so no task has to hold an unbounded bucket.
 
 Defined results: null text has no words; rows of null doc_id are linked like others but give no component id;
-repeated rows share a fingerprint; extra columns are ignored.
+repeated rows share a fingerprint; of a group with equal smallest doc_ids any is the same id; a very long text is
+hashed whole; an empty table gives an empty result; extra columns are ignored, or kept by keep_one, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 #: Members of a bucket that one task compares with one another.
 BLOCK = 20_000
 SMALL = 48
+#: Fingerprints up to which chains of two, and of three, segments make the keys.
+DEPTHS = (1 << 22, 1 << 29)
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -92,15 +97,36 @@ def _segments() -> list[tuple[int, int]]:
     return out
 
 
-def _keys() -> list[Column]:
-    """One integer key for each chain and half: the chain, its first segment, and one half of its second."""
+def depth_for(n: int) -> int:
+    """Segments in a key's chain, so that n fingerprints, were they random, would be a few to a bucket."""
+    return 2 if n <= DEPTHS[0] else 3 if n <= DEPTHS[1] else 4
+
+
+def _intact(depth: int) -> list[tuple[int, ...]]:
+    """Sets of halves, numbered from the second segment's first on, one of which any differences within the budgets leave alone."""
+    halves = range(2 * (depth - 1))
+    sets: set[frozenset[int]] = set()
+    for damage in product(range(4), repeat=depth - 1):  # differences in the second segment, the third, ...
+        if any(sum(damage[: i + 1]) > i + 1 for i in range(depth - 1)):
+            continue
+        hit = [list(combinations((2 * i, 2 * i + 1), min(2, d))) for i, d in enumerate(damage)]
+        sets |= {frozenset(halves) - {h for pair in choice for h in pair} for choice in product(*hit)}
+    return sorted(tuple(sorted(s)) for s in sets if not any(t < s for t in sets))
+
+
+def _keys(depth: int) -> list[Column]:
+    """One key for each chain and set of halves: the number of both (7 bits), the chain's first segment, and those halves."""
     segments, out = _segments(), []
+    bits = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))
     for i, (shift, width) in enumerate(segments):
-        shift2, width2 = segments[(i + 1) % len(segments)]
-        low = width2 // 2
-        for half, (s, w) in enumerate(((shift2, low), (shift2 + low, width2 - low))):
-            bits = lambda s, w: F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1))
-            out.append(F.lit(2 * i + half) * F.lit(1 << 24) + bits(shift, width) * F.lit(1 << 7) + bits(s, w))
+        halves = []
+        for s, w in (segments[(i + j) % len(segments)] for j in range(1, depth)):
+            halves += [(s, w // 2), (s + w // 2, w - w // 2)]
+        for chosen in _intact(depth):
+            key = F.lit(len(out)).cast("long")
+            for s, w in [(shift, width), *(halves[h] for h in chosen)]:
+                key = F.shiftleft(key, w).bitwiseOR(bits(s, w))
+            out.append(F.struct(key.alias("key"), F.lit(i).alias("chain")))
     return out
 
 
@@ -172,16 +198,16 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(*held)
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, block: int = BLOCK, depth: int = 2) -> DataFrame:
     """(a, b): links that connect whatever fingerprints of fps (distinct, column fp) are within MAX_BITS of one another."""
-    keys = fps.select("fp", F.explode(F.array(*_keys())).alias("key"))
+    keys = fps.select("fp", F.explode(F.array(*_keys(depth))).alias("k")).select("fp", "k.key", "k.chain")
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(mine, other), F.greatest(mine, other)).cast("struct<lo:int,hi:int>"))
     dealt = (
         keys.join(hot, "key", "left")
-        .select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(F.array_distinct(pairs))).alias("pair"))
-        .select(F.xxhash64("key", "pair.lo", "pair.hi").alias("bucket"), F.shiftright("key", 25).cast("int").alias("chain"), "fp", "key")
+        .select("key", "chain", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(F.array_distinct(pairs))).alias("pair"))
+        .select(F.xxhash64("key", "pair.lo", "pair.hi").alias("bucket"), "chain", "fp", "key")
     )
     sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "key", "fp").select("bucket", "chain", "fp")
     return sorted_rows.mapInArrow(_bucket_links, "a long, b long").distinct()
@@ -189,15 +215,17 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _rooted(nodes: DataFrame, block: int) -> DataFrame:
     """nodes (distinct, column fp) with root, the same for all fingerprints of a group."""
-    stars = components(links(nodes.select("fp"), block))
+    stars = components(links(nodes.select("fp"), block, depth_for(nodes.count())))
     return nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     marked = materialise(fingerprints(docs, F.struct("doc_id")).select("row.doc_id", "fp"), "fingerprints")
-    roots = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), block)
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = materialise(_rooted(nodes, block), "roots")
+    # Written down, so that Spark can split a root with many fingerprints, and a fingerprint with many documents, in the joins.
+    ids = materialise(roots.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     by_fp = materialise(roots.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -209,8 +237,9 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     marked = materialise(fingerprints(docs, F.struct("doc_id", F.xxhash64("text").alias("h"))).select("row.doc_id", "row.h", "fp"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("head")
-    heads = _rooted(marked.groupBy("fp").agg(least), block).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.h").alias("head_h"))
+    nodes = materialise(marked.groupBy("fp").agg(least), "nodes")
+    heads = _rooted(nodes, block).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.h").alias("head_h"))
     named = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("h"))
-    kept = named.join(heads, named["doc_id"].eqNullSafe(heads["head"]) & (named["h"] == heads["head_h"]), "left_semi")
+    kept = named.join(materialise(heads, "heads"), named["doc_id"].eqNullSafe(F.col("head")) & (named["h"] == F.col("head_h")), "left_semi")
     order = Window.partitionBy("doc_id", "text").orderBy("h")
     return kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")

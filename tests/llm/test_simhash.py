@@ -54,9 +54,16 @@ def test_documents(make, texts):
     assert S.near_duplicates(make(rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [S.BLOCK, 7])
-def test_links_connect_what_is_near(spark, block):
-    rng = random.Random(block)
+def test_sets_of_halves_that_stay():
+    assert S._intact(2) == [(0,), (1,)]
+    assert S._intact(3) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
+    assert {len(x) for x in S._intact(4)} == {3} and len(S._intact(4)) == 14
+    assert [S.depth_for(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 29, 1 << 36)] == [2, 2, 3, 3, 4]
+
+
+@pytest.mark.parametrize("block, depth", [(S.BLOCK, 2), (7, 2), (S.BLOCK, 3), (7, 4)])
+def test_links_connect_what_is_near(spark, block, depth):
+    rng = random.Random(block + depth)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for centre in list(fps)[:3]:  # large groups, some members of which are over 4 bits apart
         for _ in range(150):
@@ -65,7 +72,7 @@ def test_links_connect_what_is_near(spark, block):
         fps.add(f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([4, 5]))))
     fps |= {0, 15, (1 << 64) - 1, (1 << 64) - 16}
     signed = [(int(np.uint64(f).view(np.int64)),) for f in fps]
-    found = components(S.links(spark.createDataFrame(signed, "fp long"), block)).collect()
+    found = components(S.links(spark.createDataFrame(signed, "fp long"), block, depth)).collect()
     un = lambda x: int(np.int64(x).view(np.uint64))
     groups, want = {}, {}
     for r in found:
