@@ -12,12 +12,15 @@ necessary prefix of a window is one shingle: its rarest, in an order by the shin
 4. bounds: the window, laid so that its shingle is on the document's, must begin and end in the document;
 5. verification: the words in that place must equal the window's.
 
-Both passes drop shingles by a bitmap of 2**BITMAP_BITS bits, whose size is fixed whatever the benchmark's; the
-join decides. The windows are never broadcast by this code: Spark does so where it has measured them small.
+Both passes drop shingles by a Bloom filter of the wanted ones, with at least BITS bits for each and PROBES probes, so
+that about one unwanted shingle in 400 gets through; its size is bounded by MOST_BITS (32 MB), which is reached at 16
+million shingles of benchmark text, and the join decides in any case. The windows are never broadcast by this code:
+Spark does so where it has measured them small.
 
 Defined results: a null text has no words, neither as a document nor as an item; items without words have no
 window; repeated items each count in n_items; null item_ids are left out; repeated rows give repeated results;
-an empty benchmark or table of documents is allowed; extra columns are ignored.
+an empty benchmark or table of documents is allowed; very long texts are read whole; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,11 +38,27 @@ from tesserae.session import materialise
 
 WINDOW = 10
 GRAM = 4
-BITMAP_BITS = 22
+BITS, PROBES = 16, 4
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Bits of the filter that one task builds at a time.
+PAGE = 1 << 16
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+_MULTIPLIERS = [np.uint64(1 + 2 * (0x9E3779B97F4A7C15 * i >> 3 & (1 << 62) - 1)) for i in range(PROBES)]
+
+
+def _slot(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The place of each hash in a filter of that many bits, a power of two."""
+    return ((h * _MULTIPLIERS[probe]) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def _in(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the filter."""
+    at = np.arange(len(h))
+    for probe in range(PROBES):
+        slot = _slot(h[at], probe, 8 * len(bitmap))
+        at = at[bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
+    return at
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +91,7 @@ def _hits(data: np.ndarray, offsets: np.ndarray, sizes: list[int], bitmap: np.nd
     places, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for g in sizes:
         at, h = W.runs(hashed, found.first, g)
-        slot = _slot(h)
-        ok = bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+        ok = _in(h, bitmap)
         places.append(at[ok])
         grams.append(h[ok])
     return data, found, np.concatenate(places), np.concatenate(grams)
@@ -107,12 +125,34 @@ def _candidates(batches: Iterator[pa.RecordBatch], sizes: list[int], bitmap: np.
         yield pa.RecordBatch.from_arrays([column(rows, "row"), pa.array(np.diff(found.first)), lists], ["row", "n_words", "found"])
 
 
+def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = column(batch, "gram").to_numpy().view(np.uint64)
+        slot = np.unique(np.concatenate([_slot(h, probe, bits) for probe in range(PROBES)]))
+        yield pa.RecordBatch.from_arrays([pa.array((slot // PAGE).astype(np.int32)), pa.array((slot % PAGE).astype(np.int32))], ["page", "slot"])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, slot), sorted by page; a page may be given in parts."""
+    for batch in batches:
+        page, slot = column(batch, "page").to_numpy(), column(batch, "slot").to_numpy()
+        names, blobs = np.unique(page), []
+        for p in names.tolist():
+            bits = np.zeros(PAGE, bool)
+            bits[slot[page == p]] = True
+            blobs.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["page", "bits"])
+
+
 def _bitmap(grams: DataFrame) -> np.ndarray:
-    """The fixed-size bitmap of the column gram; at most 2**BITMAP_BITS slot numbers come to the driver."""
-    slots = grams.select(F.shiftrightunsigned("gram", 64 - BITMAP_BITS).alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[slots] = True
-    return np.packbits(bits, bitorder="little")
+    """The filter of the column gram, built in pages by the tasks; only pages come to the driver."""
+    grams = grams.select("gram").distinct()
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS * grams.count()).bit_length()))
+    slots = grams.mapInArrow(lambda b: _slots(b, bits), "page int, slot int")
+    out = np.zeros(bits // 8, np.uint8)
+    for page, raw in slots.repartition("page").sortWithinPartitions("page").mapInArrow(_pages, "page int, bits binary").toLocalIterator():
+        out[page * PAGE // 8 : (page + 1) * PAGE // 8] |= np.frombuffer(raw, np.uint8)
+    return out
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:

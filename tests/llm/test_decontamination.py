@@ -44,10 +44,30 @@ def test_empty_tables(spark, make, texts):
     assert D.find(make(texts[:2]).limit(0), none).count() == 0
 
 
+def test_the_filter_grows_with_what_it_holds(spark):
+    import numpy as np
+
+    for n in (10, 30_000):
+        grams = spark.range(n).selectExpr("xxhash64(id) AS gram")
+        bitmap = D._bitmap(grams)
+        held = np.array([r.gram for r in grams.collect()]).view(np.uint64)
+        others = np.array([r.gram for r in spark.range(n, n + 40_000).selectExpr("xxhash64(id) AS gram").collect()]).view(np.uint64)
+        assert len(D._in(held, bitmap)) == n and len(D._in(others, bitmap)) < 400
+        assert 8 * len(bitmap) == max(D.LEAST_BITS, 1 << (D.BITS * n).bit_length())
+
+
+def test_clashing_names(spark, make, texts):
+    items = [(1, " ".join(words(texts[5][1])[3:30]), "x"), (2, "one two", "y")]
+    docs = make(texts).selectExpr("*", *[f"'z' AS {c}" for c in ("words", "gram", "h", "n", "place", "row", "found", "n_hit", "d", "k")])
+    bench = spark.createDataFrame(items, "item_id long, text string, words string")
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in D.find(docs, bench).collect()) == brute(texts, [i[:2] for i in items])
+    assert D.drop_contaminated(docs, bench).columns == docs.columns
+
+
 def test_a_bitmap_that_lets_everything_through(spark, make, texts, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(D, "_bitmap", lambda grams: np.full(1 << (D.BITMAP_BITS - 3), 255, np.uint8))
+    monkeypatch.setattr(D, "_bitmap", lambda grams: np.full(1 << 13, 255, np.uint8))
     items = [(1, " ".join(words(texts[5][1])[3:30])), (2, "one two")]
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.item_ids) for r in D.find(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect())
     assert got == brute(texts, items)
