@@ -25,8 +25,8 @@ def header(text: Column) -> Column:
 
 
 def code(text: Column) -> Column:
-    """Upper case, without zeros between letters and number."""
-    return F.upper(F.regexp_replace(F.trim(text), "^([A-Za-z]+)0+([0-9])", "$1$2"))
+    """A code of letters and a number, in upper case and without zeros between them; any other text in upper case."""
+    return F.upper(F.regexp_replace(text, "(?i)^([A-Z]+)0+([0-9]+)$", "$1$2"))
 
 
 def strip_noise(text: Column) -> Column:
@@ -54,7 +54,8 @@ def tokens(text: Column) -> Column:
 
 def distinct_tokens(text: Column, most: int = 100, separator: str = ",") -> Column:
     """Distinct tokens in their order, as many from the start as fit joined into so many code points."""
-    each = F.array_distinct(tokens(text))
+    # No token is empty, so no more than these can fit.
+    each = F.slice(F.array_distinct(tokens(text)), 1, most // 2 + 1)
     sized = F.transform(each, lambda x, i: F.struct(x.alias("t"), F.aggregate(F.slice(each, 1, i + 1), F.lit(-1), lambda n, y: n + 1 + F.char_length(y)).alias("n")))
     return F.array_join(F.transform(F.filter(sized, lambda s: s["n"] <= most), lambda s: s["t"]), separator)
 

@@ -101,18 +101,29 @@ def valid_items(composition: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def first_unused(components: DataFrame, composition: DataFrame) -> DataFrame:
-    """For each product, the smallest component id that it does not use: the one of its role first, else any.
+    """For each product (product, role, component_id), the smallest component id that it does not use: of its role (components' `type`), if there is one, else of any.
 
-    It is among the first n + 1 components, n being the most that any product uses, so only those are ranked.
+    An id is the first unused one if it follows, in the order of all ids of its type, as many as the product uses below it.
+    So only the ids that a product uses are compared, and the one after them.
     """
     pairs = composition.select("product", "component_id").distinct()
-    most = pairs.groupBy("product").count().agg(F.max("count")).first()[0] or 0
-    first = components.select("component_id").orderBy("component_id").limit(most + 1)
-    ranked = first.select("component_id", F.row_number().over(Window.orderBy("component_id")).alias("place"))
-    used = pairs.join(ranked, "component_id")
-    nth = F.row_number().over(Window.partitionBy("product").orderBy("place"))
-    gap = pairs.select("product").distinct().join(used.withColumn("nth", nth), "product", "left").groupBy("product").agg((F.coalesce(F.max(F.when(F.col("place") == F.col("nth"), F.col("nth"))), F.lit(0)) + 1).alias("place"))
-    return gap.join(ranked, "place").select("product", "component_id")
+    products = composition.groupBy("product").agg(F.min("role").alias("role"))
+
+    def unused(of: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+        """(product, name): of the components (component_id, type), the first that each product (product, type) does not use."""
+        most = pairs.groupBy("product").count().agg(F.max("count")).first()[0] or 0
+        order = Window.partitionBy("type").orderBy("component_id")
+        ranked = of.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most + 1)  # cut to so many in each task first
+        used = pairs.join(wanted, "product").join(ranked, ["type", "component_id"])
+        nth = F.row_number().over(Window.partitionBy("product").orderBy("place"))
+        gap = used.withColumn("nth", nth).groupBy("product").agg(F.max(F.when(F.col("place") == F.col("nth"), F.col("nth"))).alias("last"))
+        first = wanted.join(gap, "product", "left").withColumn("place", F.coalesce("last", F.lit(0)) + 1)
+        return first.join(ranked, ["type", "place"]).select("product", F.col("component_id").alias(name))
+
+    own = unused(components.select("component_id", "type"), products.select("product", F.col("role").alias("type")), "own")
+    every = unused(components.select("component_id", F.lit("").alias("type")), products.select("product", F.lit("").alias("type")), "any")
+    found = every.join(own, "product", "left")
+    return found.select("product", F.coalesce("own", "any").alias("component_id"))
 
 
 def totals(components: DataFrame) -> DataFrame:

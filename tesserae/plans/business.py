@@ -54,15 +54,17 @@ def price_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("product"), F.col("l_partkey").alias("component_id"), (F.floor("l_quantity") % 4).cast("double").alias("usage_qty"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("product"), F.col("l_partkey").alias("component_id"), (F.floor("l_quantity") % 4).cast("double").alias("usage_qty"))
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("component_id"), F.col("p_name").alias("name"), (F.col("p_size") * 3).cast("double").alias("stock"), F.col("p_retailprice").alias("unit_cost"))
+    """Every ninth part stands under another id, so that items name components which are not there."""
+    component = F.when(F.col("p_partkey") % 9 == 0, -F.col("p_partkey") - 1).otherwise(F.col("p_partkey"))
+    return table(spark, sf_dir, "part").select(component.alias("component_id"), F.col("p_name").alias("name"), (F.col("p_size") * 3).cast("double").alias("stock"), F.col("p_retailprice").alias("unit_cost"))
 
 
-_BOM = """c AS (SELECT l_orderkey AS product, l_partkey AS component_id, CAST(floor(l_quantity) % 4 AS DOUBLE) AS usage_qty FROM lineitem WHERE l_linenumber <= 3),
-    p AS (SELECT p_partkey AS component_id, p_name AS name, CAST(p_size * 3 AS DOUBLE) AS stock, p_retailprice AS unit_cost FROM part WHERE p_partkey % 9 <> 0),
+_BOM = """c AS (SELECT l_orderkey AS product, l_partkey AS component_id, CAST(floor(l_quantity) % 4 AS DOUBLE) AS usage_qty FROM lineitem),
+    p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN -p_partkey - 1 ELSE p_partkey END AS component_id, p_name AS name, CAST(p_size * 3 AS DOUBLE) AS stock, p_retailprice AS unit_cost FROM part),
     u AS (SELECT product, component_id, sum(CASE WHEN usage_qty > 0 THEN usage_qty ELSE 1 END) AS used FROM c GROUP BY ALL)"""
 
 
@@ -81,14 +83,19 @@ def valid_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.valid_items(_composition(spark, sf_dir), _components(spark, sf_dir)).select("product", "component_id", "usage_qty")
 
 
+_ROLES = "CASE WHEN component_id % 4 = 0 THEN 'main' ELSE 'accessory' END"
+
+
 @query(
-    f"""WITH {_BOM}, r AS (SELECT component_id, row_number() OVER (ORDER BY component_id) AS place FROM p WHERE component_id < 40), k AS (SELECT DISTINCT component_id % 50 AS product, CAST(component_id * 7 % 40 AS BIGINT) AS component_id FROM c),
-    d AS (SELECT DISTINCT product FROM k) SELECT product, (SELECT min(component_id) FROM r WHERE component_id NOT IN (SELECT component_id FROM k WHERE k.product = d.product)) AS component_id FROM d
-    WHERE (SELECT min(component_id) FROM r WHERE component_id NOT IN (SELECT component_id FROM k WHERE k.product = d.product)) IS NOT NULL"""
+    f"""WITH {_BOM}, k AS (SELECT DISTINCT component_id % 50 AS product, component_id FROM c), d AS (SELECT DISTINCT product, CASE WHEN product % 2 = 0 THEN 'main' ELSE 'accessory' END AS role FROM k),
+    o AS (SELECT product, component_id, {_ROLES} = role AS same FROM d, p WHERE (product, component_id) NOT IN (SELECT (product, component_id) FROM k))
+    SELECT product, coalesce(min(component_id) FILTER (same), min(component_id)) AS component_id FROM o GROUP BY 1"""
 )
 def first_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = _composition(spark, sf_dir).select((F.col("component_id") % 50).alias("product"), (F.col("component_id") * 7 % 40).alias("component_id")).distinct()
-    return P.first_unused(_components(spark, sf_dir).filter("component_id < 40"), used)
+    role = lambda n: F.when(n, "main").otherwise("accessory")
+    used = _composition(spark, sf_dir).select((F.col("component_id") % 50).alias("product"), "component_id").distinct()
+    components = _components(spark, sf_dir).withColumn("type", role(F.col("component_id") % 4 == 0))
+    return P.first_unused(components, used.withColumn("role", role(F.col("product") % 2 == 0)))
 
 
 @query(f"WITH {_BOM} SELECT count(*) AS n, sum(stock) AS quantity, sum(stock * unit_cost) AS purchase FROM p")
@@ -96,10 +103,11 @@ def stock_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.totals(_components(spark, sf_dir))
 
 
-@query("SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1")
+@query("SELECT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey - 1 ELSE c_custkey END FROM customer) GROUP BY 1")
 def unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
-    return table(spark, sf_dir, "orders").select("o_custkey").distinct().join(known, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    """Every third customer stands under another key."""
+    known = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 == 0, -F.col("c_custkey") - 1).otherwise(F.col("c_custkey")).alias("known"))
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().join(known, F.col("o_custkey") == F.col("known"), "left_anti")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, 'supplier' AS kind FROM supplier UNION ALL SELECT c_custkey, c_name, 'customer' FROM customer")
@@ -213,9 +221,9 @@ def desk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.desk_counts(_sessions(spark, sf_dir).select(S.region(F.col("desk")).alias("region"), status.alias("status")))
 
 
-@query("""SELECT d.id, coalesce(s.status, 'empty') AS status, coalesce(s.fee, 0) AS fee FROM (SELECT range AS id FROM range(1, 31)) d FULL JOIN (SELECT user_id AS id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS fee FROM events WHERE user_id < 40 GROUP BY 1) s ON d.id = s.id WHERE d.id IS NOT NULL
-    UNION ALL SELECT user_id, arg_max(event_type, event_id), arg_max(value, event_id) FROM events WHERE user_id < 40 AND (user_id < 1 OR user_id > 30) GROUP BY 1""")
+@query("""SELECT d.id, coalesce(s.status, 'empty') AS status, coalesce(s.fee, 0) AS fee FROM (SELECT range AS id FROM range(1, 31)) d FULL JOIN (SELECT user_id AS id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS fee FROM events GROUP BY 1) s ON d.id = s.id WHERE d.id IS NOT NULL
+    UNION ALL SELECT user_id, arg_max(event_type, event_id), arg_max(value, event_id) FROM events WHERE user_id < 1 OR user_id > 30 GROUP BY 1""")
 def saved_desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     defaults = spark.range(1, 31).select("id", F.lit("empty").alias("status"), F.lit(0.0).alias("fee"))
-    saved = table(spark, sf_dir, "events").filter("user_id < 40").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("value").alias("fee"), F.col("event_id").alias("seq"))
+    saved = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("value").alias("fee"), F.col("event_id").alias("seq"))
     return S.overlay_saved(defaults, saved, "id")

@@ -143,11 +143,13 @@ def replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.replace_code(grid(spark, sf_dir), "C1", "C9")
 
 
-@query(f"""WITH g AS ({GRID_SQL}), f AS (SELECT * FROM g WHERE "row" BETWEEN 6 AND 40 AND col BETWEEN 3 AND 44), b AS (SELECT grid_id, min("row") AS r, min(col) AS c FROM f WHERE code IS NOT NULL GROUP BY 1),
+@query(f"""WITH g AS ({GRID_SQL}), f AS (SELECT grid_id, "row", col, CASE WHEN "row" BETWEEN 6 AND 40 AND col BETWEEN 3 AND 44 THEN code END AS code FROM g), b AS (SELECT grid_id, min("row") AS r, min(col) AS c FROM f WHERE code IS NOT NULL GROUP BY 1),
     e AS (SELECT grid_id, max("row") AS r, max(col) AS c FROM f WHERE code IS NOT NULL GROUP BY 1)
     SELECT f.grid_id, f."row" - b.r AS "row", f.col - b.c AS col, code FROM f JOIN b USING (grid_id) JOIN e USING (grid_id) WHERE f."row" BETWEEN b.r AND e.r AND f.col BETWEEN b.c AND e.c""")
 def trim_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.trim(grid(spark, sf_dir).filter("row between 6 and 40 and col between 3 and 44"))
+    """Of grids whose margins are blank."""
+    inside = F.col("row").between(6, 40) & F.col("col").between(3, 44)
+    return G.trim(grid(spark, sf_dir).withColumn("code", F.when(inside, F.col("code"))))
 
 
 @query(f"""SELECT grid_id, "row", col, code, "row" BETWEEN 5 AND 20 AND col BETWEEN 8 AND 30 AS copied, CASE WHEN NOT ("row" BETWEEN 5 AND 20 AND col BETWEEN 8 AND 30) THEN code END AS rest FROM ({GRID_SQL})""")
@@ -259,13 +261,13 @@ def median_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH g AS ({GRID_SQL}), r AS (SELECT grid_id, "row" // 6 AS k, "row" AS y, string_agg(CASE WHEN code = 'C1' THEN 'x' ELSE '-' END, '' ORDER BY col) AS cells FROM g WHERE col < 2 GROUP BY ALL),
+    f"""WITH g AS ({GRID_SQL}), r AS (SELECT grid_id, "row" // 6 AS k, "row" AS y, string_agg(CASE WHEN code = 'C1' THEN 'x' ELSE '-' END, '' ORDER BY col) AS cells FROM g GROUP BY ALL),
     m AS (SELECT *, CASE WHEN lag(cells) OVER w = cells THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY grid_id ORDER BY y)), s AS (SELECT *, sum(new) OVER (PARTITION BY grid_id ORDER BY y) AS run FROM m)
     SELECT grid_id, min(y) AS y, count(*) AS times, min(cells) AS bytes FROM s GROUP BY grid_id, run"""
 )
 def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("code") == "C1", "x").otherwise("-")
-    rows = grid(spark, sf_dir).filter("col < 2").groupBy("grid_id", F.col("row").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", mark.alias("m")))), lambda s: s["m"]), "").alias("bytes"))
+    rows = grid(spark, sf_dir).groupBy("grid_id", F.col("row").alias("y")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", mark.alias("m")))), lambda s: s["m"]), "").alias("bytes"))
     return G.repeated_rows(rows)
 
 

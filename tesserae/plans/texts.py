@@ -74,25 +74,25 @@ def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, conv_id % 7 AS g, trim(text) AS t, list_filter(['thin', 'thou', 'ento', 'eder', 'tion', 'sche'], lambda w: contains(trim(text), w)) AS s FROM conversations WHERE length(text) < 120),
+    """WITH c AS (SELECT conv_id, turn, conv_id % 7 AS g, trim(text) AS t, list_filter(['thin', 'thou', 'ento', 'eder', 'tion', 'sche'], lambda w: contains(trim(text), w)) AS s FROM conversations),
     n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY conv_id, turn) AS k FROM c)
     SELECT a.conv_id, a.turn, a.t = '' OR coalesce(bool_or(b.t = a.t OR (len(a.s) > 0 AND len(list_intersect(a.s, b.s)) >= 2)), false) AS similar FROM n a LEFT JOIN n b ON a.g = b.g AND b.k BETWEEN a.k - 30 AND a.k - 1 GROUP BY a.conv_id, a.turn, a.t"""
 )
 def near_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("length(text) < 120").select("conv_id", "turn", (F.col("conv_id") % 7).alias("g"), "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 7).alias("g"), "text")
     return R.near_repeats(turns, ["g"], ["conv_id", "turn"], RULES).select("conv_id", "turn", "similar")
 
 
 @query(
-    """SELECT page_id, upper(regexp_replace(trim(u), '^([A-Za-z]+)0+([0-9])', '\\1\\2')) AS code, regexp_replace(lower(trim(u)), '[（）()【】\\[\\]\\s_\\-/:：,，.。]', '', 'g') AS header, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS ext, right(lpad(d, greatest(2, length(d))::INT, '0'), 2) AS digits,
-    regexp_replace(trim(url), '/+$', '') AS base, replace(replace(replace(substr(html, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, coalesce(nullif(substr(trim(u), 1, 20), ''), 'none') AS short FROM (SELECT *, 'AB00' || CAST(page_id AS VARCHAR) || ' (x)' AS u, regexp_replace(url, '[^0-9]', '', 'g') AS d FROM pages)"""
+    """SELECT page_id, upper(regexp_replace(c, '(?i)^([A-Z]+)0+([0-9]+)$', '\\1\\2')) AS code, regexp_replace(lower(trim(u)), '[（）()【】\\[\\]\\s_\\-/:：,，.。]', '', 'g') AS header, regexp_extract(lower(url), '\\.([a-z0-9]+)$', 1) AS ext, right(lpad(d, greatest(2, length(d))::INT, '0'), 2) AS digits,
+    regexp_replace(trim(url), '/+$', '') AS base, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped, coalesce(nullif(substr(trim(u), 1, 20), ''), 'none') AS short FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN 'ab00' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'Q0x' ELSE 'A0' || CAST(page_id AS VARCHAR) || 'x' END AS c, 'AB00' || CAST(page_id AS VARCHAR) || ' (x)' AS u, regexp_replace(url, '[^0-9]', '', 'g') AS d FROM pages)"""
 )
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.concat(F.lit("AB00"), F.col("page_id").cast("string"), F.lit(" (x)"))
-    head = F.regexp_replace(F.regexp_replace(F.substring("html", 1, 60), '"', '"'), "'", "'")
-    plain = F.replace(F.replace(F.replace(head, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    n = F.col("page_id").cast("string")
+    c = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("ab00"), n)).when(F.col("page_id") % 3 == 1, "Q0x").otherwise(F.concat(F.lit("A0"), n, F.lit("x")))
     return table(spark, sf_dir, "pages").select(
-        "page_id", text.code(u).alias("code"), text.header(u).alias("header"), text.extension(F.col("url")).alias("ext"), text.last_digits(F.col("url")).alias("digits"), text.base_url(F.col("url")).alias("base"), plain.alias("escaped"), text.clean(u, "none", 20).alias("short")
+        "page_id", text.code(c).alias("code"), text.header(u).alias("header"), text.extension(F.col("url")).alias("ext"), text.last_digits(F.col("url")).alias("digits"), text.base_url(F.col("url")).alias("base"), text.escape_html(F.col("html")).alias("escaped"), text.clean(u, "none", 20).alias("short")
     )
 
 
@@ -105,11 +105,12 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,，、;；|/\\r\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE length(text) < 2000),
-    u AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM d), s AS (SELECT doc_id, list_filter(l, lambda x, i: list_sum(list_transform(l[1:i], lambda y: length(y) + 1)) - 1 <= 100) AS l FROM u) SELECT doc_id, array_to_string(l, ',') AS tokens FROM s"""
+    """WITH d AS (SELECT doc_id, regexp_split_to_array(text, '[,，、;；|/\\r\\n]+') AS l FROM documents), t AS (SELECT doc_id, trim(unnest(l)) AS x, unnest(range(len(l))) AS i FROM d),
+    u AS (SELECT doc_id, x, min(i) AS i FROM t WHERE x <> '' GROUP BY 1, 2), s AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM u)
+    SELECT d.doc_id, coalesce(string_agg(x, ',' ORDER BY i) FILTER (n <= 100), '') AS tokens FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY 1"""
 )
 def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("length(text) < 2000").select("doc_id", text.distinct_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.distinct_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -197,10 +198,12 @@ def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT n_nationkey AS id, (ascii(substr(n_name, 1, 1)) - 64) * 26 + ascii(substr(n_name, 2, 1)) - 65 AS sheet_column FROM (SELECT n_nationkey, upper(regexp_replace(n_name, '[^A-Za-z]', 'A', 'g')) AS n_name FROM nation)""")
+@query("""SELECT o_orderkey AS id, CAST(o_orderkey % 700 AS INTEGER) AS sheet_column FROM orders""")
 def sheet_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.substring(F.upper(F.regexp_replace("n_name", "[^A-Za-z]", "A")), 1, 2)
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.column_index(letters).alias("sheet_column"))
+    """The headings A to ZX of numbers below 700, and the numbers back from them."""
+    n = F.col("o_orderkey") % 700
+    letters = F.concat(F.when(n >= 26, F.chr(F.floor(n / 26) + 64)).otherwise(""), F.chr(n % 26 + 65))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.column_index(letters).alias("sheet_column"))
 
 
 @query("""WITH v AS (SELECT label, vec_id, embedding FROM embeddings), m AS (SELECT label AS m_label, i, avg(embedding[i]::DOUBLE) AS x FROM v, range(1, 65) t(i) GROUP BY ALL), d AS (SELECT vec_id, m_label, sum((embedding[i]::DOUBLE - x) * (embedding[i]::DOUBLE - x)) AS d FROM v, m GROUP BY ALL) SELECT vec_id, arg_min(m_label, (d, m_label)) AS nearest FROM d GROUP BY 1""")
