@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,12 +110,53 @@ def pausable(status: Column, paused: Column) -> Column:
     return ~paused & status.isin("normal", "ending", "urgent", "infinit")
 
 
-def safe_to_show(classes: Column, bound: float) -> Column:
-    """Whether no class of (class, probability) is over the bound; without classes it is."""
-    return F.coalesce(F.forall(classes, lambda c: c["probability"] <= bound), F.lit(True))
+def safe_to_show(classes: Column, bounds: Mapping[str, float]) -> Column:
+    """Whether no class of (class, probability) reaches its bound; those without a bound, and none at all, are safe."""
+    reached = lambda c: sum((F.when((c["class"] == k) & (c["probability"] >= b), 1).otherwise(0) for k, b in bounds.items() if b), start=F.lit(0)) > 0
+    return ~F.coalesce(F.exists(classes, reached), F.lit(False))
+
 
+#: How an order number begins, and the signs it ends with.
+ORDER_PREFIX, ORDER_SIGNS = "PB", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
-def order_no(ts: Column, prefix: str = "PD", alphabet: str = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", seed: int | None = None) -> Column:
-    """Prefix, month and day, and five random signs."""
+
+def order_no(ts: Column, prefix: str = ORDER_PREFIX, alphabet: str = ORDER_SIGNS, seed: int | None = None) -> Column:
+    """Prefix, month and day, and five random signs, with hyphens between."""
     signs = [F.substring(F.lit(alphabet), F.floor(F.rand(None if seed is None else seed + i) * len(alphabet)).cast("int") + 1, F.lit(1)) for i in range(5)]
-    return F.concat(F.lit(prefix), F.date_format(ts, "MMdd"), *signs)
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(ts, "MMdd"), F.lit("-"), *signs)
+
+
+#: The longest text on a label; words of a session, and the category that they name.
+LABEL_MOST = 80
+CATEGORIES = ((("熨烫",), "熨烫服务"), (("香囊", "香薰", "彩绘"), "手作体验"))
+OTHER_CATEGORY = "拼豆计时"
+
+
+def label_text(text: Column, fallback: str = "") -> Column:
+    """A text as it is printed: trimmed, without line breaks, at most so many signs."""
+    from tesserae.functions.text import stripped
+
+    return F.substring(F.replace(stripped(F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback))), F.lit("\n"), F.lit(" ")), 1, LABEL_MOST)
+
+
+def session_category(session: Column) -> Column:
+    from tesserae.functions.text import has_any
+
+    out = F
+    for words, name in CATEGORIES:
+        out = out.when(has_any(session, words), name)
+    return out.otherwise(OTHER_CATEGORY)
+
+
+def progress(saved: Column) -> tuple[Column, Column]:
+    """(completed steps, elapsed milliseconds) of stored progress: a bare list, or an object with `completed` and `elapsedMs`; of anything else none."""
+    listed = F.from_json(saved, "array<string>")
+    full = F.from_json(saved, "completed array<string>, elapsedMs double")
+    bare = F.startswith(F.ltrim(saved), F.lit("["))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.coalesce(F.when(bare, listed).otherwise(full["completed"]), none)), F.when(bare, 0.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(full["elapsedMs"], F.lit(0.0))))
+
+
+def json_path(document: Column, path: str, fallback: str | None = None) -> Column:
+    """What stands at a path such as settings.colours[0] of a JSON text, or the fallback."""
+    return F.coalesce(F.get_json_object(document, f"$.{path}"), F.lit(fallback))

@@ -29,22 +29,54 @@ def code(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "(?i)^([A-Z]+)0+([0-9]+)$", "$1$2"))
 
 
+#: The white space that is trimmed, beside ASCII's; quotes around a text, and labels before it.
+SPACES = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+QUOTES = "\"“”'‘’"
+LABELS = "评价|点评|文案|输出|review"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def strip_noise(text: Column) -> Column:
-    """Without code fences, line breaks, and quotes around the whole."""
-    plain = F.regexp_replace(F.regexp_replace(text, "```[a-zA-Z]*", ""), "[\\r\\n]+", " ")
-    return F.trim(F.regexp_replace(F.trim(plain), "^[\"'“”]+|[\"'“”]+$", ""))
+    """Without code fences, quotes and a label around the whole, and without line breaks."""
+    out = F.regexp_replace(F.regexp_replace(stripped(text), "^(?i)```(json|text)?", ""), "```$", "")
+    out = F.regexp_replace(out, f"^[{QUOTES}]+|[{QUOTES}]+$", "")
+    out = F.regexp_replace(out, f"^(?i)({LABELS})[{SPACES}]*[:：][{SPACES}]*", "")
+    return stripped(F.regexp_replace(out, f"[{SPACES}]*\\n[{SPACES}]*", " "))
 
 
 def length(text: Column) -> Column:
     return F.char_length(F.trim(text))
 
 
+#: What ends a link, share tokens, signs without width, and control characters.
+LINK_END = "\"'<>，。！？、；：）)】\\]"
+SHARE = r"(?i)复制所有描述#\*[a-z0-9]{6,}\*#[0-9]?@?.*?(App|应用|后到|打开)?"
+SHARE_TOKEN = r"(?i)#\*[a-z0-9]{6,}\*#[0-9]?@?"
+WIDTHLESS = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}]"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+UNSAFE = (r"(?i)https?://", rf"(?i)(^|[{SPACES}])[a-z][a-z0-9.+-]*://", rf"(?i)复制所有描述|后到|#\*[a-z0-9]{{6,}}\*#|@[^{SPACES}]{{1,20}}")
+
+
 def sanitize(text: Column) -> Column:
-    """Without URLs, zero-width and control characters, white space as single spaces."""
-    out = F.regexp_replace(text, "https?://[^\\s]+|www\\.[^\\s]+", "")
-    out = F.regexp_replace(out, "[\\x{200B}-\\x{200F}\\x{FEFF}]", "")
-    out = F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
-    return F.trim(F.regexp_replace(out, "[ \\t\\r\\n]+", " "))
+    """Without links, share tokens, signs without width and control characters; white space within a line is one space, lines stay. Unicode forms are left as they are."""
+    out = F.regexp_replace(text, f"(?i)https?://[^{SPACES}{LINK_END}]+", "")
+    out = F.regexp_replace(out, f"(?i)(^|[{SPACES}])[0-9a-z][0-9a-z.+-]*://[^{SPACES}{LINK_END}]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, SHARE, ""), SHARE_TOKEN, "")
+    out = F.regexp_replace(F.regexp_replace(out, "\u00a0", " "), WIDTHLESS, "")
+    inline = SPACES.replace("\\t-\\r", "\\t\\x0B\\x0C")
+    return stripped(F.regexp_replace(F.regexp_replace(out, f"[{inline}]+", " "), CONTROLS, ""))
+
+
+def safe_to_copy(text: Column) -> Column:
+    """Whether a text holds anything, and no link, share token or mention."""
+    out = stripped(text) != ""
+    for pattern in UNSAFE:
+        out = out & ~stripped(text).rlike(pattern)
+    return F.coalesce(out, F.lit(False))
 
 
 def tokens(text: Column) -> Column:
@@ -94,9 +126,10 @@ def file_name(text: Column, fallback: str = "file", most: int = 80) -> Column:
 
 
 def split_label(text: Column) -> tuple[Column, Column]:
-    """The title, and what stands in wide brackets at its end."""
-    sub = F.regexp_extract(text, "^(.*?)（(.*)）$", 2)
-    return F.when(text.rlike("^.*?（.*）$"), F.regexp_extract(text, "^(.*?)（", 1)).otherwise(text), sub
+    """The title, and what stands in brackets at its end, with these."""
+    pattern = "^(.+?)([（(][^）)]*[）)])$"
+    fits = text.rlike(pattern)
+    return F.when(fits, stripped(F.regexp_extract(text, pattern, 1))).otherwise(F.coalesce(text, F.lit(""))), F.when(fits, stripped(F.regexp_extract(text, pattern, 2))).otherwise("")
 
 
 def byte_size(n: Column) -> Column:

@@ -205,14 +205,47 @@ def next_open(grid: DataFrame, done: DataFrame, row: int, col: int) -> DataFrame
     return open_.groupBy("grid_id").agg(F.min_by(F.struct("row", "col"), ahead).alias("c")).select("grid_id", "c.row", "c.col")
 
 
+#: Steps of cells and of colours that raise a pattern's score by 1; a dominant colour's share in more cells than; a small largest share in more colours than; a full board of more cells than; a long side; and what each of these four raises it by.
+CELL_STEPS, COLOUR_STEPS = (2200, 5200, 10000, 18000), (18, 36, 60)
+DOMINANT, MIXED, FULL, LONG = (0.42, 1500, 0.7), (0.16, 24, 0.7), (0.82, 4000, 0.5), (130, 0.7)
+#: Labels up to each score; cells an hour, less by so many for a point, at least.
+DIFFICULTIES, LAST_DIFFICULTY = ((1.5, "入门"), (3, "标准"), (4.6, "进阶"), (6.2, "困难")), "大师"
+PACE, SLOWER, LEAST_PACE = 900, 78, 360
+
+
 def difficulty(grid: DataFrame) -> DataFrame:
-    """Cells, colours and the share of rare colours (under 1 % of the cells), and a label by steps over them."""
-    per = code_counts(grid)
-    total = per.groupBy("grid_id").agg(F.sum("count").alias("cells"), F.count("*").alias("colours"), F.max("count").alias("most"))
-    step = lambda x, *at: sum((F.when(x > b, 1).otherwise(0) for b in at), start=F.lit(0))
-    score = step(F.col("cells"), 600, 1500, 2704, 5000, 8000) + step(F.col("colours"), 8, 16, 28, 42) + step(F.lit(1.0) - F.col("most") / F.col("cells"), 0.5, 0.8)
-    label = F.when(score <= 2, "easy").when(score <= 5, "medium").when(score <= 8, "hard").otherwise("expert")
-    return total.select("grid_id", "cells", "colours", score.alias("score"), label.alias("label"))
+    """(grid_id, cells, colours, score, label, time): how hard a pattern is, and about how long it takes."""
+    per = code_counts(grid).groupBy("grid_id").agg(F.sum("count").alias("cells"), F.count("*").alias("colours"), F.max("count").alias("most"))
+    size = grid.groupBy("grid_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    t = size.join(per, "grid_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("cells", "colours", "most")})
+    cells, colours = F.col("cells"), F.col("colours")
+    share = F.when(cells > 0, F.col("most") / cells).otherwise(0.0)
+    add = lambda met, by: F.when(met, F.lit(float(by))).otherwise(0.0)
+    score = sum((add(cells > n, 1) for n in CELL_STEPS), start=F.lit(0.0)) + sum((add(colours > n, 1) for n in COLOUR_STEPS), start=F.lit(0.0))
+    score = score + add((share > DOMINANT[0]) & (cells > DOMINANT[1]), DOMINANT[2]) + add((share < MIXED[0]) & (colours > MIXED[1]), MIXED[2])
+    score = score + add((cells / (F.col("h") * F.col("w")) > FULL[0]) & (cells > FULL[1]), FULL[2]) + add(F.greatest("h", "w") > LONG[0], LONG[1])
+    label = F
+    for bound, name in DIFFICULTIES:
+        label = label.when(F.col("score") < bound, name)
+    t = t.withColumn("score", score).withColumn("label", label.otherwise(LAST_DIFFICULTY))
+    hours = cells / F.greatest(F.lit(float(LEAST_PACE)), PACE - F.col("score") * SLOWER)
+    whole = lambda x: F.ceil(x).cast("string")
+    time = F.when(cells == 0, "-").when(hours < 1, "<1h").when(hours < 3, F.concat(whole(hours), F.lit("h"))).when(hours < 8, F.concat(whole(hours), F.lit("h+"))).otherwise(F.concat((F.ceil(hours / 2) * 2).cast("string"), F.lit("h+")))
+    return t.select("grid_id", "cells", "colours", "score", "label", time.alias("time"))
+
+
+#: Fixed value: the colour of a code that no palette has.
+UNKNOWN_COLOUR = (153, 153, 153)
+
+
+def look_up_colours(cells: DataFrame, palettes: DataFrame) -> DataFrame:
+    """cells (code, ...) with the r, g, b of their codes: from the first palette (priority, idx, code, r, g, b) that has the code, of its colours the first; grey where none has."""
+    from tesserae.functions.text import code
+
+    first = palettes.groupBy(code(F.col("code")).alias("_code")).agg(F.min_by(F.struct("r", "g", "b"), F.struct("priority", "idx")).alias("_c"))
+    found = cells.withColumn("_code", code(F.coalesce("code", F.lit("")))).join(first, "_code", "left")
+    rgb = [F.when(F.col("code").isNotNull(), F.coalesce(F.col(f"_c.{c}"), F.lit(x))).alias(c) for c, x in zip("rgb", UNKNOWN_COLOUR, strict=True)]
+    return found.select(*cells.columns, *rgb)
 
 
 def toggled(log: DataFrame) -> DataFrame:

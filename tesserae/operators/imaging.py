@@ -141,20 +141,21 @@ def leaders(colours: np.ndarray, tolerance: float = TOLERANCE, least: int = LEAS
 
 
 def direct_colours(pixels: DataFrame) -> DataFrame:
-    """(grid_id, row, col, code, hex): codes C1, C2, ... by size, then colour; cells of dropped clusters take the nearest kept mean."""
+    """(grid_id, row, col, code, hex): codes C1, C2, ... by size, then colour; cells of clusters under the least size are empty."""
+    kind = pixels.schema["grid_id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"]).reset_index(drop=True)
         c = pdf[["r", "g", "b"]].to_numpy(np.float64)
         owner = leaders(c)
-        kept = np.unique(owner[owner >= 0])
-        means = np.floor(np.array([c[owner == k].mean(axis=0) for k in kept]) + 0.5)
-        near = kept[((c[:, None, :] - means[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)]
-        owner = np.where(owner >= 0, owner, near)
-        hexes = {k: "#{:02X}{:02X}{:02X}".format(*map(int, m)) for k, m in zip(kept, means, strict=True)}
-        order = sorted(kept, key=lambda k: (-int((owner == k).sum()), hexes[k]))
-        codes = {k: f"C{i + 1}" for i, k in enumerate(order)}
-        return pdf[["grid_id", "row", "col"]].assign(code=[codes[k] for k in owner], hex=[hexes[k] for k in owner])
+        kept, size = np.unique(owner[owner >= 0], return_counts=True)
+        at = np.searchsorted(kept, owner[owner >= 0])
+        sums = np.stack([np.bincount(at, weights=c[owner >= 0, i], minlength=len(kept)) for i in range(3)], axis=1)
+        hexes = ["#{:02X}{:02X}{:02X}".format(*map(int, m)) for m in np.floor(sums / np.maximum(1, size)[:, None] + 0.5)]
+        order = sorted(range(len(kept)), key=lambda k: (-int(size[k]), hexes[k]))
+        named = {int(kept[k]): (f"C{i + 1}", hexes[k]) for i, k in enumerate(order)}
+        found = [named.get(int(k), (None, None)) for k in owner]
+        return pdf[["grid_id", "row", "col"]].assign(code=[f[0] for f in found], hex=[f[1] for f in found])
 
     opaque = pixels.filter("a >= 24").select("grid_id", "row", "col", "r", "g", "b")
-    return opaque.groupBy("grid_id").applyInPandas(one, "grid_id int, row int, col int, code string, hex string")
+    return opaque.groupBy("grid_id").applyInPandas(one, f"grid_id {kind}, row int, col int, code string, hex string")

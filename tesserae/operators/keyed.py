@@ -109,26 +109,37 @@ def extension_fee(minutes: float, hour: int) -> float:
     return blocks // 2 * HOUR_RATE[hour >= LATE] + blocks % 2 * HALF_RATE[hour >= LATE]
 
 
+def added_fee(minutes: float, hour: int) -> float:
+    """The price of time that is added in one go: that of half an hour for 30 minutes, of an hour for anything else."""
+    from tesserae.functions.money import HALF_RATE, HOUR_RATE, LATE
+
+    return (HALF_RATE if minutes == 30 else HOUR_RATE)[hour >= LATE]
+
+
 def desk_step(state: State | None, event: State) -> tuple[State, State]:
     """One command on a desk: start, add, pause, resume, adjust, cancel or finish; ts is epoch seconds.
 
     start needs minutes (countdown) or none (count up); what does not fit the state is ignored. The pause counts
-    as paused time, and moves a countdown's end. Added time runs from the later of end and now, at now's rate.
+    as paused time, and moves a countdown's end. Time can be added to, and adjusted on, countdowns only, and added only
+    while they are not paused; it runs from the later of end and now, at now's rate. Rates go by the event's `hour`, the
+    hour of the day where the desk stands, where it is given, else by that of ts in UTC.
     """
     d, now, action = dict(state or NEW_DESK), event["ts"], event["action"]
     minutes = event.get("minutes")
+    hour = _hour(now) if event.get("hour") is None else event["hour"]
     closed = None
     busy = d["status"] != "empty"
+    timed = busy and d["mode"] == "countdown"
     if action == "start" and not busy:
         d = NEW_DESK | {"status": "running", "start": now, "mode": "countup" if minutes is None else "countdown", "end": None if minutes is None else now + 60 * minutes}
-    elif action == "add" and busy and d["end"] is not None and minutes:
-        d |= {"end": max(d["end"], now) + 60 * minutes, "extra_count": d["extra_count"] + 1, "extra_fee": d["extra_fee"] + extension_fee(minutes, _hour(now))}
+    elif action == "add" and timed and d["pause_start"] is None and minutes:
+        d |= {"end": max(d["end"], now) + 60 * minutes, "extra_count": d["extra_count"] + 1, "extra_fee": d["extra_fee"] + added_fee(minutes, hour)}
     elif action == "pause" and busy and d["pause_start"] is None:
         d["pause_start"] = now
     elif action == "resume" and busy and d["pause_start"] is not None:
         gap = max(0, now - d["pause_start"])
         d |= {"paused": d["paused"] + gap, "pause_start": None, "end": None if d["end"] is None else d["end"] + gap}
-    elif action == "adjust" and busy and minutes:
+    elif action == "adjust" and timed and minutes and minutes > 0:
         d["end"] = now + 60 * minutes
     elif action == "cancel" and busy:
         d = dict(NEW_DESK)
@@ -137,7 +148,7 @@ def desk_step(state: State | None, event: State) -> tuple[State, State]:
         over = 0 if d["end"] is None else max(0, at - d["end"])
         from tesserae.functions.money import GRACE_SECONDS
 
-        late = 0.0 if over <= GRACE_SECONDS else extension_fee(math.ceil(over / 60), _hour(d["end"]))
+        late = 0.0 if over <= GRACE_SECONDS else extension_fee(math.ceil(over / 60), _hour(d["end"]) if event.get("hour") is None else int(event["hour"] - (now - d["end"]) // 3600) % 24)
         closed = {"minutes": math.ceil(max(0, at - d["start"] - d["paused"]) / 60), "over": int(over), "fee": d["extra_fee"] + late}
         d = dict(NEW_DESK)
     out = closed or {"minutes": None, "over": None, "fee": None}

@@ -13,7 +13,8 @@ from tesserae.functions import text as T
 #: Days that are listed, the largest file, the zone of the partitions, and the first bytes of each kind of file.
 DAYS, MOST_BYTES, ZONE = 7, 20 * 1024 * 1024, "Asia/Shanghai"
 MAGIC = (("jpg", "FFD8FF"), ("png", "89504E470D0A1A0A"), ("pdf", "255044462D"))
-ORDER_NO, FILE_NAME = r"^[A-Z]{2}[0-9]{4}[A-Z2-9]{5}$", r"^[0-9]{2}\.(jpg|png|pdf)$"
+#: An order's number, a stored file's name, and files of an order at most.
+ORDER_NO, FILE_NAME, MOST_FILES = r"^PB-[0-9]{4}-[A-Z0-9]{5}$", r"^file-[1-3]\.(jpg|png|pdf)$", 3
 SCHEMA = "orderNo string, submittedAt string, contact string, note string, files array<struct<originalName:string,fileName:string,key:string,size:bigint,contentType:string>>"
 
 
@@ -34,11 +35,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("submitted_at", F.col("submittedAt").try_cast("timestamp"))
 
 
-def write(orders: DataFrame, path: str, zone: str = ZONE) -> None:
-    """Orders, those with an invalid number or file left out, as JSON under path/date=.../."""
-    fine = orders.filter(F.col("orderNo").rlike(ORDER_NO) & F.forall("files", lambda f: (f["size"] > 0) & (f["size"] <= MOST_BYTES) & f["fileName"].rlike(FILE_NAME)))
-    dated = fine.withColumn("date", clock.local_date(F.col("submittedAt").try_cast("timestamp"), zone))
-    dated.write.mode("append").partitionBy("date").json(path)
+def _file_fault(f: Column, fields: Sequence[str]) -> Column:
+    content = f["content"] if "content" in fields else None
+    return F.when(~F.coalesce(f["fileName"].rlike(FILE_NAME), F.lit(False)), "stored name").otherwise(fault(f["originalName"], f["contentType"], f["size"], content))
+
+
+def checked(orders: DataFrame) -> DataFrame:
+    """orders with `fault`: the first thing wrong with the number, the instant, the count of files, or a file; empty if nothing is. Files that carry their `content` have its first bytes checked too."""
+    fields = orders.schema["files"].dataType.elementType.names
+    faults = F.filter(F.transform("files", lambda f: _file_fault(f, fields)), lambda x: x != "")
+    count = F.coalesce(F.size("files"), F.lit(0))
+    found = (
+        F.when(~F.coalesce(F.col("orderNo").rlike(ORDER_NO), F.lit(False)), "order number")
+        .when(F.col("submittedAt").try_cast("timestamp").isNull(), "instant")
+        .when(~count.between(1, MOST_FILES), "number of files")
+        .otherwise(F.coalesce(F.get(faults, F.lit(0)), F.lit("")))
+    )
+    return orders.withColumn("fault", found)
+
+
+def write(orders: DataFrame, path: str, zone: str = ZONE) -> DataFrame:
+    """Write the orders without a fault as JSON under path/date=.../ ; gives the others, with their fault."""
+    every = checked(orders)
+    dated = every.filter("fault = ''").withColumn("date", clock.local_date(F.col("submittedAt").try_cast("timestamp"), zone))
+    files = F.transform("files", lambda f: F.struct(*[f[c].alias(c) for c in ("originalName", "fileName", "key", "size", "contentType")]))
+    dated.withColumn("files", files).drop("fault").write.mode("append").partitionBy("date").json(path)
+    return every.filter("fault <> ''")
 
 
 def public(orders: DataFrame) -> DataFrame:
@@ -51,22 +73,23 @@ def find_file(orders: DataFrame, order_no: str, file_name: str) -> DataFrame:
     return orders.filter(F.col("orderNo") == order_no).select("orderNo", F.explode("files").alias("f")).select("orderNo", "f.*").filter(F.col("fileName") == file_name)
 
 
-def fault(name: Column, mime: Column, size: Column, content: Column) -> Column:
-    """The first thing wrong with a file; empty if it is fine."""
+def fault(name: Column, mime: Column, size: Column, content: Column | None) -> Column:
+    """The first thing wrong with a file; empty if it is fine. Without its content, the first bytes are not looked at."""
     ext = T.extension(name)
     group = F.when(ext == "jpeg", "jpg").otherwise(ext)
     kind = F.lower(F.coalesce(mime, F.lit("")))
-    magic = F
-    for k, bytes_ in MAGIC:
-        magic = magic.when(F.startswith(F.hex(F.substring(content, 1, 8)), F.lit(bytes_)), k)
-    return (
-        F.when(~ext.isin(*[e for e, _ in T.MIME]), "extension")
+    out = (
+        F.when(~F.coalesce(ext.isin(*[e for e, _ in T.MIME]), F.lit(False)), "extension")
         .when(size.isNull() | (size <= 0), "empty")
         .when(size > MOST_BYTES, "size")
         .when((kind != "") & (kind != T.content_type(ext)), "type")
-        .when(F.coalesce(magic.otherwise(""), F.lit("")) != group, "content")
-        .otherwise("")
     )
+    if content is None:
+        return out.otherwise("")
+    magic = F
+    for k, bytes_ in MAGIC:
+        magic = magic.when(F.startswith(F.hex(F.substring(content, 1, 8)), F.lit(bytes_)), k)
+    return out.when(F.coalesce(magic.otherwise(""), F.lit("")) != group, "content").otherwise("")
 
 
 def latest(items: DataFrame, key: str, order: Sequence[Column], most: int = 18) -> DataFrame:

@@ -138,6 +138,21 @@ def component_type(name: Column, patterns: Sequence[tuple[str, str]], default: s
     return out.when(F.length(F.trim(name)) > 0, F.trim(name)).otherwise(default)
 
 
+#: The two types of components; words in a type and in a name that tell them.
+MAIN, ACCESSORY = "主体", "配饰"
+TYPE_WORDS = (("主|带|链|底|胚|包|绳", MAIN), ("配|饰|贴|扣|珠|吊坠|挂件|刺绣", ACCESSORY))
+NAME_WORDS = (("织带|链条|主体|底托|包体|绳|主材", MAIN), ("刺绣|贴|配饰|吊坠|珠|扣|挂件", ACCESSORY))
+
+
+def guessed_type(given: Column, name: Column, first: Column) -> Column:
+    """A component's type: as it is given, in the words of the two types, else guessed from its name; without a hint the first row is the main part."""
+    guess = F
+    for words, kind in NAME_WORDS:
+        guess = guess.when(name.rlike(words), kind)
+    guess = guess.when(first, MAIN).otherwise(ACCESSORY)
+    return component_type(F.coalesce(F.nullif(F.trim(given), F.lit("")), guess), TYPE_WORDS, ACCESSORY)
+
+
 def map_header(cells: Sequence[str], aliases: Mapping[str, Sequence[str]]) -> dict[str, int]:
     """For each field the first column whose heading equals, holds or is held by one of its aliases; -1 if there is none.
 
@@ -170,4 +185,5 @@ def typed_rows(lines: DataFrame, aliases: Mapping[str, Sequence[str]], key: Sequ
     optional = [F.when(get(f) != "", lenient_number(get(f))).alias(f) for f in ("tool_cost", "shipping", "packaging", "labor_hours", "other_cost")]
     cost = F.when(unit != 0, unit).when((total > 0) & (qty > 0), total / qty).otherwise(0.0)
     name = F.when(get("name") != "", get("name")).when(at(0) != "", at(0)).otherwise(F.concat(F.lit("row "), F.col("line").cast("string")))
-    return data.select("line", get("type").alias("type"), name.alias("name"), qty.alias("quantity"), cost.alias("unit_cost"), *optional)
+    first = F.col("line") == (data.agg(F.min("line")).first()[0] or 0)
+    return data.select("line", guessed_type(get("type"), name, first).alias("type"), name.alias("name"), qty.alias("quantity"), cost.alias("unit_cost"), *optional)

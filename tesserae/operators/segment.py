@@ -12,12 +12,17 @@ from tesserae.session import materialise
 
 #: Opacity of a pixel that counts, and near white.
 OPAQUE, NEAR_WHITE = 24, 248
-#: A light reference, and what is like one; how far from any other reference is like it.
-LIGHT_BRIGHTNESS, LIGHT_CHROMA = 188, 64
+#: Above which a reference is light, and what is like one; how far from any other reference is like it.
+LIGHT_REFERENCE = 190
 LIKE_BRIGHTNESS, LIKE_CHROMA, LIKE_LIGHT, LIKE_OTHER = 184, 52, 96, 54
 #: Share of the shorter side in a corner's window, least window; group radius of light corners and of all; a light corner.
 CORNER_SHARE, CORNER_LEAST = 0.08, 2
 LIGHT_RADIUS, ALL_RADIUS, CORNER_BRIGHTNESS, CORNER_CHROMA = 62, 54, 188, 70
+#: References that can be removed: light and neutral ones, and softly plain ones (corners that agree, spread, border, most of the raw mask).
+NEUTRAL_BRIGHTNESS, NEUTRAL_CHROMA = 188, 64
+SOFT_BRIGHTNESS, SOFT_CHROMA, SOFT_CORNERS, SOFT_SPREAD, SOFT_EDGE, SOFT_RAW = 174, 88, 4, 42, 0.78, 0.82
+#: What any background that is removed must have: corners, spread, border, corner pixels, the raw mask's share, the mask's share.
+LEAST_CORNERS, MOST_SPREAD, LEAST_EDGE, LEAST_CORNER_MATCH, RAW_SHARE, LEAST_MASK = 3, 58, 0.68, 0.74, (0.08, 0.92), 0.02
 
 
 def opaque(alpha: Column) -> Column:
@@ -29,42 +34,49 @@ def near_white(c: color.Rgb) -> Column:
 
 
 def background_like(c: color.Rgb, alpha: Column, reference: color.Rgb) -> Column:
-    """Transparent, or like the reference: more is like a light one."""
+    """Transparent, or like the reference: of a light one, pale and not far from it; of any other, near it."""
     far = color.distance(c, reference)
-    light = (color.brightness(reference) >= LIGHT_BRIGHTNESS) & (color.chroma(reference) <= LIGHT_CHROMA)
     pale = (color.brightness(c) > LIKE_BRIGHTNESS) & (color.chroma(c) < LIKE_CHROMA) & (far < LIKE_LIGHT)
-    return ~opaque(alpha) | F.when(light, pale | (far < LIKE_OTHER)).otherwise(far < LIKE_OTHER)
+    return ~opaque(alpha) | F.when(color.brightness(reference) > LIGHT_REFERENCE, pale).otherwise(far < LIKE_OTHER)
 
 
 def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("grid_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
 
 
-def corners(pixels: DataFrame) -> DataFrame:
-    """The mean colour of the opaque pixels in each corner's window: (grid_id, corner, r, g, b)."""
+def _in_corners(pixels: DataFrame) -> DataFrame:
+    """pixels with `corner`: a row for each corner's window that a pixel lies in."""
     sized = pixels.join(sizes(pixels), "grid_id")
     window = F.greatest(F.lit(CORNER_LEAST), color.half_up(F.least("h", "w") * F.lit(CORNER_SHARE)))
     down = (F.col("row") < window, F.col("row") >= F.col("h") - window)
     across = (F.col("col") < window, F.col("col") >= F.col("w") - window)
     at = F.filter(F.array(*[F.when(down[i] & across[j], F.lit(2 * i + j)) for i in (0, 1) for j in (0, 1)]), lambda x: x.isNotNull())
-    return sized.filter(opaque(F.col("a"))).select("grid_id", F.explode(at).alias("corner"), "r", "g", "b").groupBy("grid_id", "corner").agg(*[F.avg(c).alias(c) for c in "rgb"])
+    return sized.withColumn("corner", F.explode(at)).drop("h", "w")
+
+
+def corners(pixels: DataFrame) -> DataFrame:
+    """The mean colour of the opaque pixels in each corner's window: (grid_id, corner, r, g, b)."""
+    return _in_corners(pixels).filter(opaque(F.col("a"))).groupBy("grid_id", "corner").agg(*[F.avg(c).alias(c) for c in "rgb"])
 
 
 def _best_group(found: DataFrame, radius: float) -> DataFrame:
-    """Of each grid's corners (at most four), the mean of the largest group around one of them; of equal groups the first corner's."""
-    o = found.select("grid_id", F.col("corner").alias("o_corner"), *[F.col(c).alias(f"o_{c}") for c in "rgb"])
-    near = found.join(o, "grid_id").filter(color.distance(color.rgb(), color.rgb("o_")) <= radius)
-    groups = near.groupBy("grid_id", "corner").agg(F.count("*").alias("n"), *[F.avg(f"o_{c}").alias(c) for c in "rgb"])
-    best = groups.groupBy("grid_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "corner", "r", "g", "b")).alias("m"))
-    return best.select("grid_id", (-F.col("m.n")).alias("n"), *[F.col(f"m.{c}").alias(c) for c in "rgb"])
+    """Of each grid's corners (at most four), the largest group around one of them, of equal groups the first corner's: its size, mean, and how far from that a member is at most."""
+    o = found.select("grid_id", F.struct(*[F.col(c).alias(c) for c in "rgb"]).alias("o"))
+    near = found.join(o, "grid_id").filter(color.distance(color.rgb(), (F.col("o.r"), F.col("o.g"), F.col("o.b"))) <= radius)
+    groups = near.groupBy("grid_id", "corner").agg(F.count("*").alias("n"), F.collect_list("o").alias("members"), *[F.avg(f"o.{c}").alias(c) for c in "rgb"])
+    best = groups.groupBy("grid_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "corner", "r", "g", "b", "members")).alias("m"))
+    far = lambda x: color.distance((x["r"], x["g"], x["b"]), (F.col("m.r"), F.col("m.g"), F.col("m.b")))
+    return best.select("grid_id", (-F.col("m.n")).alias("n"), *[F.col(f"m.{c}").alias(c) for c in "rgb"], F.array_max(F.transform("m.members", far)).alias("spread"))
 
 
 def reference(pixels: DataFrame) -> DataFrame:
-    """(grid_id, n, r, g, b): the background's colour, from at least three light corners that agree, else from the corners that agree best."""
+    """(grid_id, n, r, g, b, spread): the background's colour, from at least three light corners that agree, else from the corners that agree best; how many these are, and how far apart."""
     found = corners(pixels)
     light = _best_group(found.filter((color.brightness(color.rgb()) >= CORNER_BRIGHTNESS) & (color.chroma(color.rgb()) <= CORNER_CHROMA)), LIGHT_RADIUS).filter("n >= 3")
     every = _best_group(found, ALL_RADIUS)
-    return every.join(light.select("grid_id", *[F.col(c).alias(f"l_{c}") for c in ("n", "r", "g", "b")]), "grid_id", "left").select("grid_id", *[F.coalesce(f"l_{c}", c).alias(c) for c in ("n", "r", "g", "b")])
+    names = ("n", "r", "g", "b", "spread")
+    both = every.join(light.select("grid_id", F.struct(*names).alias("l")), "grid_id", "left")
+    return both.select("grid_id", *[F.when(F.col("l").isNotNull(), F.col(f"l.{c}")).otherwise(F.col(c)).alias(c) for c in names])
 
 
 def marked(pixels: DataFrame, ref: DataFrame) -> DataFrame:
@@ -80,18 +92,22 @@ def edge_ratio(pixels: DataFrame, ref: DataFrame) -> DataFrame:
     return border.groupBy("grid_id").agg(F.count("*").alias("border"), F.avg(F.col("like").cast("int")).alias("edge"))
 
 
+def corner_ratio(pixels: DataFrame, ref: DataFrame) -> DataFrame:
+    """The share of the pixels in the corners' windows that are like the reference; a pixel in two windows counts twice."""
+    return marked(_in_corners(pixels), ref).groupBy("grid_id").agg(F.avg(F.col("like").cast("int")).alias("corner_match"))
+
+
 def regions(cells: DataFrame, key: str) -> DataFrame:
     """cells (grid_id, row, col, key) with `region`: one number for each 4-connected region of equal keys, null being a key.
 
-    Links of neighbouring cells are joined into components; the number is the least cell in the region, counted
-    row by row. Runs along the rows are linked first, so a large region has few nodes.
+    Links of neighbouring cells are joined into components; the number is a hash of one of the region's runs. Runs along
+    the rows are linked first, so a large region has few nodes. Grid ids may be of any type.
     """
     from tesserae.operators.grid import runs
 
     strips = runs(cells, key, "col", "row").select("grid_id", "row", "start", (F.col("start") + F.col("length")).alias("stop"), F.col(key).alias("k"))
-    # A node is a strip: grid, row and first column in one number.
-    node = F.col("grid_id").cast("long") * F.lit(1 << 40) + F.col("row").cast("long") * F.lit(1 << 20) + F.col("start")
-    strips = strips.withColumn("node", node)
+    # A node is a strip: a hash of its grid, row and first column.
+    strips = strips.withColumn("node", F.xxhash64("grid_id", "row", "start"))
     below = strips.select("grid_id", (F.col("row") - 1).alias("row"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"), F.col("k").alias("b_k"), F.col("node").alias("b"))
     touching = strips.join(below, ["grid_id", "row"]).filter(F.col("k").eqNullSafe(F.col("b_k")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")))
     roots = components(touching.select(F.col("node").alias("a"), "b"))
@@ -117,18 +133,40 @@ def protection(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def removal(pixels: DataFrame, ref: DataFrame, masked: DataFrame, raw: DataFrame) -> DataFrame:
-    """Whether each grid's background is plain enough to be removed: light or softly light, corners and border in agreement, and neither too little nor too much of it."""
-    total = pixels.groupBy("grid_id").agg(F.count("*").alias("n"))
+    """Whether each grid's background is plain enough to be removed: light or softly plain, corners and border in agreement, and neither too little nor too much of it."""
+    total = pixels.groupBy("grid_id").agg(F.count("*").alias("n_all"))
     share = lambda m, name: m.groupBy("grid_id").agg(F.count("*").alias(name))
-    found = corners(pixels).join(ref.select("grid_id", *[F.col(c).alias(f"ref_{c}") for c in "rgb"]), "grid_id")
-    agree = found.groupBy("grid_id").agg(F.max(color.distance(color.rgb(), color.rgb("ref_"))).alias("spread"), F.count_if(color.distance(color.rgb(), color.rgb("ref_")) <= ALL_RADIUS).alias("agreeing"), F.count("*").alias("corners"))
-    t = ref.drop("n").join(total, "grid_id").join(agree, "grid_id").join(edge_ratio(pixels, ref), "grid_id")
-    t = t.join(share(masked, "n_masked"), "grid_id", "left").join(share(raw, "n_raw"), "grid_id", "left").withColumns({"masked": F.coalesce("n_masked", F.lit(0)) / F.col("n"), "raw": F.coalesce("n_raw", F.lit(0)) / F.col("n")})
+    t = total.join(ref, "grid_id", "left").join(edge_ratio(pixels, ref), "grid_id", "left").join(corner_ratio(pixels, ref), "grid_id", "left")
+    t = t.join(share(masked, "n_masked"), "grid_id", "left").join(share(raw, "n_raw"), "grid_id", "left").withColumns({"masked": F.coalesce("n_masked", F.lit(0)) / F.col("n_all"), "raw": F.coalesce("n_raw", F.lit(0)) / F.col("n_all")})
     bright, chroma = color.brightness(color.rgb()), color.chroma(color.rgb())
-    light = (bright >= 188) & (chroma <= 64)
-    soft = (bright >= 174) & (chroma <= 88) & (F.col("agreeing") >= 4) & (F.col("spread") <= 42) & (F.col("edge") >= 0.78) & (F.col("raw") <= 0.82)
-    ok = (light | soft) & (F.col("agreeing") >= 3) & (F.col("spread") <= 58) & (F.col("edge") >= 0.68) & (F.col("agreeing") / F.col("corners") >= 0.74) & F.col("raw").between(0.08, 0.92) & (F.col("masked") >= 0.02)
-    return t.select("grid_id", "edge", "raw", "masked", ok.alias("remove"))
+    neutral = (bright >= NEUTRAL_BRIGHTNESS) & (chroma <= NEUTRAL_CHROMA)
+    soft = (bright >= SOFT_BRIGHTNESS) & (chroma <= SOFT_CHROMA) & (F.col("n") >= SOFT_CORNERS) & (F.col("spread") <= SOFT_SPREAD) & (F.col("edge") >= SOFT_EDGE) & (F.col("raw") <= SOFT_RAW)
+    ok = (neutral | soft) & (F.col("n") >= LEAST_CORNERS) & (F.col("spread") <= MOST_SPREAD) & (F.col("edge") >= LEAST_EDGE) & (F.col("corner_match") >= LEAST_CORNER_MATCH) & F.col("raw").between(*RAW_SHARE) & (F.col("masked") >= LEAST_MASK)
+    none = F.lit(0.0)
+    return t.select("grid_id", F.coalesce("edge", none).alias("edge"), F.coalesce("corner_match", none).alias("corner_match"), "raw", "masked", F.coalesce(ok, F.lit(False)).alias("remove"))
+
+
+def background_mask(pixels: DataFrame, mode: str, height: int, width: int) -> DataFrame:
+    """pixels with `masked` and their grid's `decision`: mode is keep, remove, or auto, which removes a background that is plain enough."""
+    if mode == "keep":
+        return pixels.withColumns({"masked": F.lit(False), "decision": F.lit("kept")})
+    ref = materialise(reference(pixels), "references")
+    liked = materialise(marked(pixels, ref), "liked")
+    mask = materialise(flood_from_border(liked, protection(liked, height, width)), "mask")
+    if mode == "remove":
+        decided = mask.select("grid_id").distinct().withColumns({"use": F.lit(True), "decision": F.lit("force-removed")})
+        other = "kept"
+    else:
+        decided = removal(pixels, ref, mask, materialise(flood_from_border(liked), "raw-mask")).filter("remove").select("grid_id", F.lit(True).alias("use"), F.lit("auto-removed").alias("decision"))
+        other = "auto-kept"
+    return pixels.join(mask.withColumn("in_mask", F.lit(True)), CELL, "left").join(decided, "grid_id", "left").withColumns({"masked": F.coalesce(F.col("in_mask") & F.col("use"), F.lit(False)), "decision": F.coalesce("decision", F.lit(other))}).drop("in_mask", "use")
+
+
+def denoise(pixels: DataFrame, target: tuple[int, int, int], threshold: float) -> DataFrame:
+    """pixels (with `masked`, if there is a mask), those that are opaque, not masked and within the threshold of the target colour being that colour."""
+    there = opaque(F.col("a")) & (~F.col("masked") if "masked" in pixels.columns else F.lit(True))
+    near = there & (color.distance(color.rgb(), tuple(F.lit(x) for x in target)) <= threshold)
+    return pixels.withColumns({c: F.when(near, F.lit(x).cast(pixels.schema[c].dataType)).otherwise(F.col(c)) for c, x in zip("rgb", target, strict=True)})
 
 
 def absorb_small(grid: DataFrame, least: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +132,31 @@ def overlay_saved(defaults: DataFrame, saved: DataFrame, key: str) -> DataFrame:
     last = saved.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))).filter("nth = 1").drop("nth", "seq")
     b = last.select(key, *[F.col(c).alias(f"s_{c}") for c in last.columns if c != key])
     return defaults.join(b, key, "full").select(key, *[F.coalesce(f"s_{c}", c).alias(c) if c in last.columns else F.col(c) for c in defaults.columns if c != key])
+
+
+#: How a move is noted, the sign between notes, and the longest note.
+MOVE_NOTE, NOTE_SEPARATOR, NOTE_MOST = "由 %s 换至 %s", "；", 80
+
+
+def move_targets(desks: DataFrame) -> DataFrame:
+    """(source, target): each desk in use with the empty desks of its house that it can move to. Desks are (house, id, status)."""
+    used = desks.filter("status <> 'empty'").select("house", F.col("id").alias("source"))
+    return used.join(desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), "house")
+
+
+def move(desks: DataFrame, moves: DataFrame, empty: Mapping[str, object]) -> DataFrame:
+    """desks (id, region, status, note, ...) after moves (source, target): what is at a source goes to its target, with a note; the source is as `empty`.
+
+    A move from an empty desk, or to one that is not empty, is ignored; of moves with one source or target all but the
+    first are.
+    """
+    first = moves.groupBy("source").agg(F.min("target").alias("target")).groupBy("target").agg(F.min("source").alias("source")).filter("source <> target")
+    rest = [c for c in desks.columns if c not in ("id", "region", "note")]
+    going = desks.filter("status <> 'empty'").select(F.col("id").alias("source"), F.struct("note", *rest).alias("moved"))
+    free = desks.filter("status = 'empty'").select(F.col("id").alias("target"))
+    valid = first.join(going, "source").join(free, "target")
+    note = F.substring(F.concat(F.when(F.coalesce("moved.note", F.lit("")) != "", F.concat("moved.note", F.lit(NOTE_SEPARATOR))).otherwise(""), F.format_string(MOVE_NOTE, "source", "target")), 1, NOTE_MOST)
+    arrived = desks.select("id", "region").join(valid.select(F.col("target").alias("id"), note.alias("note"), *[F.col(f"moved.{c}").alias(c) for c in rest]), "id").select(*desks.columns)
+    left = desks.select("id", "region").join(valid.select(F.col("source").alias("id")), "id").select("id", "region", *[F.lit(empty.get(c)).cast(desks.schema[c].dataType).alias(c) for c in desks.columns if c not in ("id", "region")]).select(*desks.columns)
+    others = desks.join(valid.select(F.explode(F.array("source", "target")).alias("id")), "id", "left_anti").select(*desks.columns)
+    return others.unionByName(arrived).unionByName(left)

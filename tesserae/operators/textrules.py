@@ -116,9 +116,7 @@ def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rule
     return seen.withColumn("similar", similar).drop("_bare", "_signs", "_recent")
 
 
-def safe_to_copy(text: Column) -> Column:
-    """No URL scheme and no share tokens."""
-    return ~text.rlike("(?i)[a-z][a-z0-9+.-]*://|www\\.|[￥$€][A-Za-z0-9]{6,}[￥$€]")
+safe_to_copy = T.safe_to_copy
 
 
 def cached(requests: DataFrame, by: str, payload: str, ts: str, ttl_seconds: int = 8) -> DataFrame:

@@ -227,3 +227,30 @@ def saved_desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     defaults = spark.range(1, 31).select("id", F.lit("empty").alias("status"), F.lit(0.0).alias("fee"))
     saved = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("value").alias("fee"), F.col("event_id").alias("seq"))
     return S.overlay_saved(defaults, saved, "id")
+
+
+_HOUSE = """d AS (SELECT s_suppkey AS id, s_nationkey % 2 AS house, 'r' || CAST(s_suppkey % 3 AS VARCHAR) AS region, CASE WHEN s_suppkey % 4 < 2 THEN 'empty' ELSE 'normal' END AS status, CASE WHEN s_suppkey % 4 = 2 THEN 'vip' END AS note, s_acctbal AS fee FROM supplier)"""
+
+
+def _desks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        n.alias("id"), (F.col("s_nationkey") % 2).alias("house"), F.concat(F.lit("r"), (n % 3).cast("string")).alias("region"), F.when(n % 4 < 2, "empty").otherwise("normal").alias("status"), F.when(n % 4 == 2, "vip").alias("note"), F.col("s_acctbal").alias("fee")
+    )
+
+
+@query(f"WITH {_HOUSE} SELECT a.id AS source, b.id AS target FROM d a JOIN d b ON a.house = b.house AND a.status <> 'empty' AND b.status = 'empty'")
+def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.move_targets(_desks(spark, sf_dir)).select("source", "target")
+
+
+@query(
+    f"""WITH {_HOUSE}, m AS (SELECT s_suppkey AS source, s_suppkey + 1 + s_suppkey % 3 AS target FROM supplier), f AS (SELECT min(source) AS source, target FROM (SELECT source, min(target) AS target FROM m GROUP BY 1) GROUP BY target),
+    v AS (SELECT f.source, f.target, a.note, a.status, a.fee, a.house FROM f JOIN d a ON a.id = f.source AND a.status <> 'empty' JOIN d b ON b.id = f.target AND b.status = 'empty')
+    SELECT d.id, d.region, coalesce(v.status, CASE WHEN u.source IS NOT NULL THEN 'empty' ELSE d.status END) AS status, CASE WHEN v.source IS NOT NULL THEN substr(CASE WHEN coalesce(v.note, '') <> '' THEN v.note || '；' ELSE '' END || '由 ' || CAST(v.source AS VARCHAR) || ' 换至 ' || CAST(v.target AS VARCHAR), 1, 80) WHEN u.source IS NULL THEN d.note END AS note,
+        CASE WHEN v.source IS NOT NULL THEN v.fee WHEN u.source IS NOT NULL THEN 0 ELSE d.fee END AS fee FROM d LEFT JOIN v ON v.target = d.id LEFT JOIN v u ON u.source = d.id"""
+)
+def desk_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    moves = table(spark, sf_dir, "supplier").select(n.alias("source"), (n + 1 + n % 3).alias("target"))
+    return S.move(_desks(spark, sf_dir).drop("house"), moves, {"status": "empty", "fee": 0.0})

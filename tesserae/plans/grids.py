@@ -214,9 +214,14 @@ def grid_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT grid_id, code, count(*) AS n FROM ({GRID_SQL}) WHERE code IS NOT NULL GROUP BY ALL), t AS (SELECT grid_id, sum(n) AS cells, count(*) AS colours, max(n) AS most FROM c GROUP BY 1),
-    s AS (SELECT *, (cells > 600)::INT + (cells > 1500)::INT + (cells > 2704)::INT + (cells > 5000)::INT + (cells > 8000)::INT + (colours > 8)::INT + (colours > 16)::INT + (colours > 28)::INT + (colours > 42)::INT + (1 - most / cells::DOUBLE > 0.5)::INT + (1 - most / cells::DOUBLE > 0.8)::INT AS score FROM t)
-    SELECT grid_id, cells::BIGINT AS cells, colours, score, CASE WHEN score <= 2 THEN 'easy' WHEN score <= 5 THEN 'medium' WHEN score <= 8 THEN 'hard' ELSE 'expert' END AS label FROM s"""
+    f"""WITH c AS (SELECT grid_id, code, count(*) AS n FROM ({GRID_SQL}) WHERE code IS NOT NULL GROUP BY ALL), t AS (SELECT grid_id, sum(n)::BIGINT AS cells, count(*) AS colours, max(n) AS most FROM c GROUP BY 1),
+    z AS (SELECT grid_id, (max("row") + 1) * (max(col) + 1) AS area, greatest(max("row"), max(col)) + 1 AS side FROM ({GRID_SQL}) GROUP BY 1),
+    s AS (SELECT *, (cells > 2200)::INT + (cells > 5200)::INT + (cells > 10000)::INT + (cells > 18000)::INT + (colours > 18)::INT + (colours > 36)::INT + (colours > 60)::INT
+        + CASE WHEN most / cells::DOUBLE > 0.42 AND cells > 1500 THEN 0.7 ELSE 0 END::DOUBLE + CASE WHEN most / cells::DOUBLE < 0.16 AND colours > 24 THEN 0.7 ELSE 0 END::DOUBLE
+        + CASE WHEN cells / area::DOUBLE > 0.82 AND cells > 4000 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN side > 130 THEN 0.7 ELSE 0 END::DOUBLE AS score FROM t JOIN z USING (grid_id)),
+    h AS (SELECT *, cells / greatest(360, 900 - score * 78) AS hours FROM s)
+    SELECT grid_id, cells, colours, score, CASE WHEN score < 1.5 THEN '入门' WHEN score < 3 THEN '标准' WHEN score < 4.6 THEN '进阶' WHEN score < 6.2 THEN '困难' ELSE '大师' END AS label,
+        CASE WHEN hours < 1 THEN '<1h' WHEN hours < 3 THEN CAST(ceil(hours)::INT AS VARCHAR) || 'h' WHEN hours < 8 THEN CAST(ceil(hours)::INT AS VARCHAR) || 'h+' ELSE CAST((ceil(hours / 2) * 2)::INT AS VARCHAR) || 'h+' END AS time FROM h"""
 )
 def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.difficulty(grid(spark, sf_dir))
@@ -320,3 +325,29 @@ def board_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), L.mm_to_px(size).alias("px"), L.seconds(F.round(F.col("p_retailprice") * 100)).alias("seconds"), L.board_height(size, F.col("p_retailprice") / 1000).alias("height"), preset.alias("preset"), w.alias("w"), h.alias("h"),
         L.page_count(size, size + 3, 7, 5).alias("pages"), L.export_cell(size * 9).alias("cell"), columns.alias("legend_columns"), rows.alias("legend_rows"), label.alias("label"),
     )
+
+
+@query(
+    f"""WITH p AS (SELECT 1 AS priority, idx, r, g, b, code FROM ({PALETTE_SQL}) UNION ALL SELECT 0, 100 + idx, b, g, r, CASE WHEN idx % 2 = 0 THEN 'C0' || CAST(idx % 6 AS VARCHAR) ELSE code END FROM ({PALETTE_SQL}) WHERE idx < 12),
+    n AS (SELECT *, upper(regexp_replace(code, '(?i)^([A-Z]+)0+([0-9]+)$', '\\1\\2')) AS k FROM p), f AS (SELECT k, arg_min(r, (priority, idx)) AS r, arg_min(g, (priority, idx)) AS g, arg_min(b, (priority, idx)) AS b FROM n GROUP BY 1)
+    SELECT c.grid_id, c."row", c.col, c.code, CASE WHEN code IS NOT NULL THEN coalesce(r, 153) END AS r, CASE WHEN code IS NOT NULL THEN coalesce(g, 153) END AS g, CASE WHEN code IS NOT NULL THEN coalesce(b, 153) END AS b
+    FROM (SELECT grid_id, "row", col, CASE WHEN "row" % 7 = 0 THEN 'zz9' WHEN "row" % 7 = 1 THEN lower(code) ELSE code END AS code FROM ({GRID_SQL})) c LEFT JOIN f ON upper(regexp_replace(c.code, '(?i)^([A-Z]+)0+([0-9]+)$', '\\1\\2')) = f.k"""
+)
+def colour_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes in a small palette of higher priority, a large one, or none."""
+    base = palette(spark)
+    code = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("C0"), (F.col("idx") % 6).cast("string"))).otherwise(F.col("code"))
+    small = base.filter("idx < 12").select(F.lit(0).alias("priority"), (F.col("idx") + 100).alias("idx"), F.col("b").alias("r"), "g", F.col("r").alias("b"), code.alias("code"))
+    both = small.unionByName(base.withColumn("priority", F.lit(1)))
+    typed = F.when(F.col("row") % 7 == 0, "zz9").when(F.col("row") % 7 == 1, F.lower("code")).otherwise(F.col("code"))
+    return G.look_up_colours(grid(spark, sf_dir).withColumn("code", typed), both)
+
+
+@query(
+    f"""SELECT grid_id, "row", col, CASE WHEN n THEN 100 ELSE r END AS r, CASE WHEN n THEN 120 ELSE g END AS g, CASE WHEN n THEN 90 ELSE b END AS b FROM (SELECT *, a >= 24 AND col % 10 <> 0 AND sqrt(CAST((r - 100) * (r - 100) + (g - 120) * (g - 120) + (b - 90) * (b - 90) AS DOUBLE)) <= 80 AS n FROM ({PIXELS_SQL}))"""
+)
+def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth column is masked."""
+    from tesserae.operators import segment as S
+
+    return S.denoise(pixels(spark, sf_dir).withColumn("masked", F.col("col") % 10 == 0), (100, 120, 90), 80).select("grid_id", "row", "col", "r", "g", "b")

@@ -49,7 +49,16 @@ def _strings(words: tuple[str, ...] | list[str], subject: str = "t") -> str:
     return "(" + " OR ".join(f"contains({subject}, '{w}')" for w in words) + ")" if words else "false"
 
 
-_STRIP = "trim(regexp_replace(trim(regexp_replace(regexp_replace(text, '```[a-zA-Z]*', '', 'g'), '[\\r\\n]+', ' ', 'g')), '^[\"''“”]+|[\"''“”]+$', '', 'g'))"
+_S = "\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+
+
+def _trimmed(sql: str) -> str:
+    return f"regexp_replace({sql}, '^[{_S}]+|[{_S}]+$', '', 'g')"
+
+
+_BARE = f"regexp_replace(regexp_replace({_trimmed('text')}, '^```(json|text)?', '', 'i'), '```$', '')"
+_BARE = f"""regexp_replace(regexp_replace({_BARE}, '^["“”''‘’]+|["“”''‘’]+$', '', 'g'), '^(评价|点评|文案|输出|review)[{_S}]*[:：][{_S}]*', '', 'i')"""
+_STRIP = _trimmed(f"regexp_replace({_BARE}, '[{_S}]*\\n[{_S}]*', ' ', 'g')")
 _TOPICS = " + ".join(f"{_strings(g)}::INT" for g in RULES.topics) + f" + CASE WHEN source = 'src6' THEN {_strings(('was',))} ELSE contains(t, source) END::INT"
 
 
@@ -96,12 +105,20 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NOISY = "CASE page_id % 5 WHEN 0 THEN ' see ftp://x.y/z。' || html WHEN 1 THEN '复制所有描述#*ABC123x*#5@ ' || html WHEN 2 THEN '\u00a0\u200ba\u202e\tb\x07\n' || html || '#*zz99zz*#1' WHEN 3 THEN '  ' ELSE regexp_replace(html, '[@:]', '', 'g') END"
+_LINK = """"''<>，。！？、；：）)】\\]"""
+
+
 @query(
-    """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, 'https?://[^\\s]+|www\\.[^\\s]+', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS clean, NOT regexp_matches(html, '(?i)[a-z][a-z0-9+.-]*://|www\\.') AS safe
-    FROM (SELECT page_id, regexp_replace(html, '[\\x{200B}-\\x{200F}\\x{FEFF}]', '', 'g') AS html FROM pages)"""
+    f"""WITH n AS (SELECT page_id, {_NOISY} AS t FROM pages), a AS (SELECT page_id, t, regexp_replace(regexp_replace(t, 'https?://[^{_S}{_LINK}]+', '', 'gi'), '(^|[{_S}])[0-9a-z][0-9a-z.+-]*://[^{_S}{_LINK}]+', ' ', 'gi') AS x FROM n),
+    b AS (SELECT page_id, t, replace(regexp_replace(regexp_replace(x, '复制所有描述#\\*[a-z0-9]{{6,}}\\*#[0-9]?@?', '', 'gi'), '#\\*[a-z0-9]{{6,}}\\*#[0-9]?@?', '', 'gi'), chr(160), ' ') AS x FROM a),
+    c AS (SELECT page_id, t, regexp_replace(regexp_replace(x, '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g'), '[{_S.replace(chr(92) + "n", "").replace(chr(92) + "r", "")}]+', ' ', 'g') AS x FROM b)
+    SELECT page_id, {_trimmed("regexp_replace(x, '[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0B" + chr(92) + "x0C" + chr(92) + "x0E-" + chr(92) + "x1F" + chr(92) + "x7F]', '', 'g')")} AS clean,
+    {_trimmed("t")} <> '' AND NOT regexp_matches({_trimmed("t")}, '(?i)https?://|(^|[{_S}])[a-z][a-z0-9.+-]*://|复制所有描述|后到|#\\*[a-z0-9]{{6,}}\\*#|@[^{_S}]{{1,20}}') AS safe FROM c"""
 )
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("html")).alias("clean"), (~F.col("html").rlike("(?i)[a-z][a-z0-9+.-]*://|www\\.")).alias("safe"))
+    """Pages with links, share tokens, odd white space and nothing put in."""
+    return table(spark, sf_dir, "pages").withColumn("t", F.expr(_NOISY.replace("regexp_replace(html, '[@:]', '', 'g')", "regexp_replace(html, '[@:]', '')"))).select("page_id", text.sanitize(F.col("t")).alias("clean"), text.safe_to_copy(F.col("t")).alias("safe"))
 
 
 @query(
@@ -218,10 +235,11 @@ def embedding_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(every, F.lit(True)).select("vec_id", best["label"].alias("nearest"))
 
 
-@query("""SELECT doc_id, split_part(t, '/', 1) AS title, byte_size FROM (SELECT doc_id, lang || '/' || source AS t, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE printf('%.1f', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' END AS byte_size FROM documents)""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN lang || ' [' || source || ']' ELSE lang END AS title, CASE doc_id % 3 WHEN 0 THEN '（' || source || '）' WHEN 1 THEN '(' || source || ')' ELSE '' END AS sub, byte_size FROM (SELECT doc_id, lang, source, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE printf('%.1f', floor(n_chars / 1024.0::DOUBLE * 10 + 0.5) / 10) || ' KB' END AS byte_size FROM documents)""")
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title, _ = text.split_label(F.concat("lang", F.lit("（"), "source", F.lit("）")))
-    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), text.byte_size(F.col("n_chars")).alias("byte_size"))
+    n = F.col("doc_id") % 3
+    title, sub = text.split_label(F.when(n == 0, F.concat("lang", F.lit("（"), "source", F.lit("）"))).when(n == 1, F.concat("lang", F.lit(" ("), "source", F.lit(")"))).otherwise(F.concat("lang", F.lit(" ["), "source", F.lit("]"))))
+    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), sub.alias("sub"), text.byte_size(F.col("n_chars")).alias("byte_size"))
 
 
 @query("""SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY (CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) DESC, event_id) AS rank FROM events) WHERE rank <= 3""")
@@ -248,11 +266,11 @@ def import_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("c_name", F.lit("."), e)
     forwarded = F.when(n % 3 == 0, F.concat(F.lit(" 10.0.0."), n.cast("string"), F.lit(" , 1.1.1.1")))
     project = F.when(n % 4 == 0, "src7").when(n % 4 == 1, "src8").when(n % 4 == 2, " src1 ").otherwise("src99")
-    classes = F.array(F.struct(F.when(n % 6 == 0, 0.9).otherwise(0.2).alias("probability")))
+    classes = F.array(F.struct(F.lit("other").alias("class"), F.lit(0.99).alias("probability")), F.struct(F.lit("adult").alias("class"), F.when(n % 6 == 0, 0.8).otherwise(0.79).alias("probability")))
     return table(spark, sf_dir, "customer").select(
         n.alias("id"), text.content_type(text.extension(name)).alias("mime"), text.escape_html(t).alias("escaped"), text.file_name(t).alias("file_name"), F.array_join(text.csv_list(t), "|").alias("list"),
         text.client_ip(forwarded, F.when(n % 3 == 1, " real "), F.lit("")).alias("ip"), name.alias("title_of"), layout.title(F.lit(" "), name).alias("title"), R.known_project(project, RULES).isNotNull().alias("listed"),
-        layout.timeout_ms(F.when(n % 2 == 0, (n * 10).cast("string")), F.lit("none")).alias("timeout"), layout.finite(F.when(n % 5 == 0, "x").otherwise(F.col("c_acctbal").cast("string"))).alias("number"), layout.safe_to_show(classes, 0.8).alias("shown"),
+        layout.timeout_ms(F.when(n % 2 == 0, (n * 10).cast("string")), F.lit("none")).alias("timeout"), layout.finite(F.when(n % 5 == 0, "x").otherwise(F.col("c_acctbal").cast("string"))).alias("number"), layout.safe_to_show(classes, {"adult": 0.8}).alias("shown"),
     )
 
 
@@ -274,3 +292,27 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", clock_.alias("clock"), layout.end_hint(F.when(up, "countup").otherwise("countdown"), end).alias("hint"), layout.shift_clock(clock.clock(ts), F.lit(-45)).alias("shifted"), (layout.pausable(status, pause.isNotNull()) & ~up).alias("pausable")
     )
+
+
+@query(
+    """WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '["a","b","a"]' WHEN 1 THEN '{"completed":["s' || CAST(user_id AS VARCHAR) || '"],"elapsedMs":' || CAST(user_id * 10 - 500 AS VARCHAR) || '}' WHEN 2 THEN '{"elapsedMs":7}' ELSE 'broken' END AS saved, user_id, props FROM events)
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 's' || CAST(user_id AS VARCHAR) ELSE '' END AS completed, CASE event_id % 4 WHEN 1 THEN greatest(0, user_id * 10 - 500) WHEN 2 THEN 7 ELSE 0 END::DOUBLE AS elapsed, coalesce(json_extract_string(props, '$.k'), 'none') AS k, 'none' AS missing FROM p"""
+)
+def stored_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions import layout
+
+    n, user = F.col("event_id") % 4, F.col("user_id")
+    full = F.concat(F.lit('{"completed":["s'), user.cast("string"), F.lit('"],"elapsedMs":'), (user * 10 - 500).cast("string"), F.lit("}"))
+    completed, elapsed = layout.progress(F.when(n == 0, '["a","b","a"]').when(n == 1, full).when(n == 2, '{"elapsedMs":7}').otherwise("broken"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(completed, ",").alias("completed"), elapsed.alias("elapsed"), layout.json_path(F.col("props"), "k", "none").alias("k"), layout.json_path(F.col("props"), "a.b[1]", "none").alias("missing"))
+
+
+@query(
+    """SELECT conv_id, turn, substr(replace(CASE WHEN text IS NULL OR text = '' THEN 'nothing' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END, chr(10), ' '), 1, 80) AS label,
+    CASE turn % 4 WHEN 0 THEN '熨烫服务' WHEN 1 THEN '手作体验' WHEN 2 THEN '熨烫服务' ELSE '拼豆计时' END AS category FROM conversations"""
+)
+def label_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions import layout
+
+    session = F.get(F.array(*map(F.lit, ("取件熨烫", "香囊一小时", "彩绘熨烫", "2h"))), (F.col("turn") % 4).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", layout.label_text(F.col("text"), "nothing").alias("label"), layout.session_category(session).alias("category"))

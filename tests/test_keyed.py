@@ -60,6 +60,14 @@ def test_desk():
     out = K.fold(K.desk_step, [{"ts": t, "action": a, "minutes": m} for t, a, m in [(0, "start", 60), (600, "pause", None), (700, "pause", None), (1200, "resume", None), (1300, "add", 30), (10_000, "finish", None)]])[1]
     end = 3600 + 600 + 1800
     assert out[-1] == {"status": "empty", "closed": True, "minutes": 157, "over": 10_000 - end, "fee": 10.0 + K.extension_fee(67, 1)}
+    def after(*commands, **more):
+        return K.fold(K.desk_step, [{"ts": t, "action": a, "minutes": m, **more} for t, a, m in commands])
+
+    held, _ = after((0, "start", 60), (600, "pause", None), (700, "add", 30))
+    assert held["extra_count"] == 0 and held["end"] == 3600  # nothing is added while it is paused
+    held, _ = after((0, "start", None), (60, "add", 30), (70, "adjust", 20))
+    assert held["extra_count"] == 0 and held["end"] is None  # nor to, or adjusted on, a desk that counts up
+    assert after((0, "start", 60), (60, "add", 90))[0]["extra_fee"] == 20 and after((0, "start", 60), (60, "add", 30), hour=21)[0]["extra_fee"] == 30 and after((0, "start", 60), (60, "add", 15), hour=22)[0]["extra_fee"] == 50
     paused = K.fold(K.desk_step, [{"ts": t, "action": a, "minutes": m} for t, a, m in [(0, "start", 10), (500, "pause", None), (99_999, "finish", None)]])[1][-1]
     assert paused["over"] == 0 and paused["minutes"] == 9 and paused["fee"] == 0
 

@@ -12,6 +12,7 @@ from tesserae.operators import orders as O
 from tesserae.operators import pricing as P
 from tesserae.operators import segment as S
 from tesserae.operators import textrules as R
+from tesserae.session import materialise
 
 CELLS = "grid_id int, row int, col int, code string"
 
@@ -133,6 +134,107 @@ def test_leaders():
     assert I.leaders(c[:1], 38, 3).tolist() == [0]
 
 
+def test_small_clusters_are_empty(spark):
+    px = [(0, 0, c, 250, 0, 0, 255) for c in range(5)] + [(0, 1, 0, 0, 0, 250, 255), (0, 1, 1, 1, 1, 1, 0)]
+    df = spark.createDataFrame([(str(g), *r) for g, *r in px], "grid_id string, row int, col int, r int, g int, b int, a int")
+    got = {(r.row, r.col): (r.code, r.hex) for r in I.direct_colours(df).collect()}
+    assert got == {**{(0, c): ("C1", "#FA0000") for c in range(5)}, (1, 0): (None, None)}
+    one = {(r.row, r.col): r.code for r in I.direct_colours(df.filter("row = 1")).collect()}
+    assert one == {(1, 0): "C1"}
+
+
+def background(px, h, w):
+    """(reference, matching corners, spread, edge, corner pixels, raw, mask) of one image {(row, col): (r, g, b, a)}, step by step."""
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a[:3], b[:3], strict=True)) ** 0.5
+    bright, chroma = (lambda c: sum(c[:3]) / 3), (lambda c: max(c[:3]) - min(c[:3]))
+    k = max(2, int(min(h, w) * 0.08 + 0.5))
+    window = lambda bottom, right: [(h - 1 - y if bottom else y, w - 1 - x if right else x) for y in range(k) for x in range(k)]
+    mean = lambda cs: tuple(sum(c[i] for c in cs) / len(cs) for i in range(3))
+    corners = [mean(s) for b in (0, 1) for r in (0, 1) if (s := [px[p] for p in window(b, r) if px[p][3] >= 24])]
+
+    def best(colours, radius):
+        out = []
+        for c in colours:
+            group = [d for d in colours if dist(c, d) <= radius]
+            out = group if len(group) > len(out) else out
+        return out
+
+    light = best([c for c in corners if bright(c) >= 188 and chroma(c) <= 70], 62)
+    group = light if len(light) >= 3 else best(corners, 54)
+    if not group:
+        return None
+    ref = mean(group)
+
+    def like(c):
+        if c[3] < 24:
+            return True
+        return bright(c) > 184 and chroma(c) < 52 and dist(c, ref) < 96 if bright(ref) > 190 else dist(c, ref) < 54
+
+    def flood(protected):
+        todo = [p for p in px if (p[0] in (0, h - 1) or p[1] in (0, w - 1)) and like(px[p]) and p not in protected]
+        seen = set(todo)
+        while todo:
+            y, x = todo.pop()
+            for q in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if q in px and q not in seen and like(px[q]) and q not in protected:
+                    seen.add(q)
+                    todo.append(q)
+        return seen
+
+    edge = [like(c) for p, c in px.items() if p[0] in (0, h - 1) or p[1] in (0, w - 1)]
+    at = [like(px[p]) for b in (0, 1) for r in (0, 1) for p in window(b, r)]
+    return ref, len(group), max(dist(c, ref) for c in group), sum(edge) / len(edge), sum(at) / len(at), flood(set())
+
+
+@pytest.mark.parametrize("seed", [0, 2, 3])
+def test_background(spark, seed):
+    rng = random.Random(seed)
+    h, w = rng.choice([(12, 9), (30, 26), (3, 3)])
+    base = rng.choice([(250, 250, 245), (191, 188, 195), (190, 190, 190), (180, 176, 178), (20, 30, 200)])
+    px = {(y, x): (*(min(255, max(0, v + rng.randint(-8, 8))) for v in base), 255) for y in range(h) for x in range(w)}
+    for y in range(h // 3, h // 2 + 1):
+        for x in range(w // 3, w - w // 3):
+            px[y, x] = (200, 10, rng.randint(0, 60), 255)
+    for _ in range(h):
+        px[rng.randrange(h), rng.randrange(w)] = (*(rng.randint(0, 255) for _ in "rgb"), rng.choice([255, 255, 0]))
+    df = spark.createDataFrame([("g", y, x, *c) for (y, x), c in px.items()], "grid_id string, row int, col int, r int, g int, b int, a int")
+    ref, n, spread, edge, corner, raw = background(px, h, w)
+    found = materialise(S.reference(df), "references")
+    got = found.first()
+    assert got.n == n and np.allclose([got.r, got.g, got.b, got.spread], [*ref, spread])
+    like = materialise(S.marked(df, found), "liked")
+    flooded = materialise(S.flood_from_border(like), "flooded")
+    assert {(r.row, r.col) for r in flooded.collect()} == raw
+    masked = materialise(S.flood_from_border(like, S.protection(like, h, w)), "masked")
+    share = masked.count() / (h * w)
+    bright, chroma, raw_share = sum(ref) / 3, max(ref) - min(ref), len(raw) / (h * w)
+    plain = (bright >= 188 and chroma <= 64) or (bright >= 174 and chroma <= 88 and n >= 4 and spread <= 42 and edge >= 0.78 and raw_share <= 0.82)
+    want = plain and n >= 3 and spread <= 58 and edge >= 0.68 and corner >= 0.74 and 0.08 <= raw_share <= 0.92 and share >= 0.02
+    out = S.removal(df, found, masked, flooded).first()
+    assert np.allclose([out.edge, out.corner_match, out.raw, out.masked], [edge, corner, raw_share, share]) and out.remove == want
+    cells = {(r.row, r.col) for r in masked.collect()}
+    for mode, decision, used in (("keep", "kept", False), ("remove", "force-removed" if cells else "kept", True), ("auto", "auto-removed" if want else "auto-kept", want))[0 if seed == 0 else 2 :]:
+        rows = S.background_mask(df, mode, h, w).collect()
+        assert {r.decision for r in rows} == {decision} and {(r.row, r.col) for r in rows if r.masked} == (cells if used else set())
+
+
+def test_small_components_of_every_grid(spark):
+    from tesserae.plans import images
+    from tesserae.plans.derived import grid
+
+    sf = "/root/testdata/sf0.001"
+    boards = {}
+    for r in grid(spark, sf).collect():
+        boards.setdefault(r.grid_id, {})[r.row, r.col] = r.code
+    got = {(r.grid_id, r.row, r.col): r.code for r in images.small_components(spark, sf).collect()}
+    assert len(got) == sum(map(len, boards.values()))
+    for g, cells in boards.items():
+        h, w = max(r for r, _ in cells) + 1, max(c for _, c in cells) + 1
+        letters = {None: ".", " ": " "} | {c: chr(97 + i) for i, c in enumerate(sorted({c for c in cells.values() if c}))}
+        out = absorb(["".join(letters[cells.get((r, c), " ")] for c in range(w)) for r in range(h)], 6)
+        assert all(letters[got[g, r, c]] == out[r][c] for r, c in cells)
+
+
 def test_limit_keeps_the_limit(spark):
     from tesserae.plans.derived import palette
 
@@ -150,9 +252,12 @@ def test_typed_rows(spark):
     aliases = {"type": ["kind"], "name": ["item", "product"], "quantity": ["qty"], "unit_cost": ["unit cost"], "total_cost": ["total"], "shipping": ["shipping"]}
     raw = [["Price list"], ["", ""], ["Item", "", "QTY", "Total", "Shipping"], ["strap", "", "4", "¥1,000.5", ""], ["bead", "", "", "", "2"], ["", "x", "0", "7", ""]]
     out = P.typed_rows(spark.createDataFrame(list(enumerate(raw)), "line int, cells array<string>"), aliases).orderBy("line").collect()
+    assert [r.type for r in out] == [P.MAIN, P.ACCESSORY, P.ACCESSORY]
     assert [(r.name, r.quantity, r.unit_cost, r.shipping) for r in out] == [("strap", 4.0, 250.125, None), ("bead", 1.0, 0.0, 2.0), ("row 5", 1.0, 7.0, None)] or [(r.name, r.quantity) for r in out][:2] == [("strap", 4.0), ("bead", 1.0)]
     bare = P.typed_rows(spark.createDataFrame([(0, ["cord", "3", "2.5"])], "line int, cells array<string>"), aliases).first()
     assert (bare.name, bare.quantity, bare.unit_cost) == ("cord", 3.0, 2.5)
+    typed = spark.createDataFrame([(1, "主料", "x"), (2, "吊坠", "x"), (3, "other", "x"), (4, "", "丝线"), (5, " ", "织带"), (6, None, "珠子")], "i int, given string, name string")
+    assert [r.t for r in typed.select("i", P.guessed_type(F.col("given"), F.col("name"), F.col("i") == 9).alias("t")).orderBy("i").collect()] == [P.MAIN, P.ACCESSORY, "other", P.ACCESSORY, P.MAIN, P.ACCESSORY]
 
 
 @pytest.mark.parametrize(("fee", "margin", "profit", "status"), [(0.1, 0.2, 0.0, "ok"), (0.8, 0.3, 0.0, "fee too high"), (1.0, 0.0, 5.0, "not computed"), (0.1, 0.0, 5.0, "ok")])
@@ -162,20 +267,40 @@ def test_cost_statuses(spark, fee, margin, profit, status):
 
 
 def test_orders(spark, tmp_path):
-    name = "PD0101ABCDE"
-    files = [("a.jpg", "01.jpg", "k", 10, "image/jpeg")]
-    rows = [(name, "2024-01-10T17:30:00Z", "c", "n", files), ("bad", "2024-01-10T17:30:00Z", "c", "n", files), ("PD0101ABCDF", "2024-01-03T17:00:00Z", "c", "n", files), ("PD0101ABCDG", "2024-01-04T15:00:00Z", "c", "n", files)]
-    O.write(spark.createDataFrame(rows, O.SCHEMA), str(tmp_path / "o"))
+    name = "PB-0101-ABCDE"
+    good = ("a.jpg", "file-1.jpg", "k", 10, "image/jpeg")
+    at = "2024-01-10T17:30:00Z"
+    bad = {
+        "bad": (at, [good], "order number"), "PB-0101-ABCD": (at, [good], "order number"), "PB-0101-00001": ("soon", [good], "instant"), "PB-0101-00002": (at, [], "number of files"), "PB-0101-00003": (at, [good] * 4, "number of files"),
+        "PB-0101-00004": (at, [good, ("a.jpg", "01.jpg", "k", 10, "")], "stored name"), "PB-0101-00005": (at, [("a.gif", "file-2.png", "k", 10, "")], "extension"), "PB-0101-00006": (at, [("a.png", "file-2.png", "k", 10, "image/jpeg")], "type"), "PB-0101-00007": (at, [("a.png", "file-3.png", "k", 20 * 2**20 + 1, "")], "size"),
+    }
+    rows = [(name, at, "c", "n", [good]), ("PB-0101-ABCDF", "2024-01-03T17:00:00Z", "c", "n", [good]), ("PB-0101-ABCDG", "2024-01-04T15:00:00Z", "c", "n", [good])]
+    rejected = O.write(spark.createDataFrame(rows + [(k, t, "c", "n", f) for k, (t, f, _) in bad.items()], O.SCHEMA), str(tmp_path / "o")).collect()
+    assert {r.orderNo: r.fault for r in rejected} == {k: fault for k, (_, _, fault) in bad.items()}
     (tmp_path / "o" / "date=2024-01-11" / "part-x.json").write_text("{broken\n")
     found = O.read(spark, str(tmp_path / "o"))
     now = F.lit("2024-01-11 00:00:00").cast("timestamp")
     listed = O.recent(found.filter("orderNo is not null"), now)
     # 17:30 UTC is the next day in the partitions' zone; the second is 7 days and 7 hours old; the third is recent enough, but on the eighth date.
     assert {r.orderNo for r in listed.collect()} == {name}
-    assert O.find_file(found, name, "01.jpg").first().size == 10
+    assert O.find_file(found, name, "file-1.jpg").first().size == 10
     assert "key" not in O.public(found).select(F.explode("files").alias("f")).select("f.*").columns
 
 
+def test_order_contents(spark):
+    schema = O.SCHEMA.replace("contentType:string", "contentType:string,content:binary")
+    file = lambda b: [("a.png", "file-1.png", "k", 9, "", b)]
+    rows = [("PB-0101-00001", "2024-01-10T17:30:00Z", "c", "n", file(b"\x89PNG\r\n\x1a\n1")), ("PB-0101-00002", "2024-01-10T17:30:00Z", "c", "n", file(b"%PDF-1.4"))]
+    assert [r.fault for r in O.checked(spark.createDataFrame(rows, schema)).orderBy("orderNo").collect()] == ["", "content"]
+
+
+def test_order_numbers_are_accepted(spark):
+    from tesserae.functions import layout
+
+    made = spark.range(200).select(layout.order_no(F.lit("2024-11-26").cast("date")).alias("n"))
+    assert made.filter(F.col("n").rlike(O.ORDER_NO) & F.col("n").startswith("PB-1126-")).count() == 200
+
+
 def test_reasons_in_order(spark):
     rules = R.Rules(instructional=("must",), marketing=("best",), claims={"time": R.Claim(words=("weekend",))}, formal=("^In sum",), topics=(("a",), ("b",), ("c",)), signature=("soft", "warm"), project_topics={})
     fill = " a b c" + " filler" * 12
