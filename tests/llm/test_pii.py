@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
@@ -45,3 +46,18 @@ def test_whole_texts(make, texts):
     for r in pii.find(make(docs)).collect():
         want = base(r.row.text or "")
         assert [(pii.KINDS.index(s.kind), s.start, s.end) for s in r.spans if pii.KINDS.index(s.kind) < pii.BASE] == want
+
+
+def test_query(spark):
+    from tesserae.llm import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in catalogue.op9_pii(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        spans, r = base(text or ""), got[doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in spans) for i in range(4)]
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert r.spans == line or set(r.spans.split(",")) > set(filter(None, line.split(",")))
