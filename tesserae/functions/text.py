@@ -35,15 +35,18 @@ QUOTES = "\"“”'‘’"
 LABELS = "评价|点评|文案|输出|review"
 
 
+_SPACE_SIGNS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind around it."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.trim(text, F.lit(_SPACE_SIGNS))
 
 
 def strip_noise(text: Column) -> Column:
     """Without code fences, quotes and a label around the whole, and without line breaks."""
     out = F.regexp_replace(F.regexp_replace(stripped(text), "^(?i)```(json|text)?", ""), "```$", "")
-    out = F.regexp_replace(out, f"^[{QUOTES}]+|[{QUOTES}]+$", "")
+    out = F.trim(out, F.lit(QUOTES))
     out = F.regexp_replace(out, f"^(?i)({LABELS})[{SPACES}]*[:：][{SPACES}]*", "")
     return stripped(F.regexp_replace(out, f"[{SPACES}]*\\n[{SPACES}]*", " "))
 
@@ -88,8 +91,13 @@ def distinct_tokens(text: Column, most: int = 100, separator: str = ",") -> Colu
     """Distinct tokens in their order, as many from the start as fit joined into so many code points."""
     # No token is empty, so no more than these can fit.
     each = F.slice(F.array_distinct(tokens(text)), 1, most // 2 + 1)
-    sized = F.transform(each, lambda x, i: F.struct(x.alias("t"), F.aggregate(F.slice(each, 1, i + 1), F.lit(-1), lambda n, y: n + 1 + F.char_length(y)).alias("n")))
-    return F.array_join(F.transform(F.filter(sized, lambda s: s["n"] <= most), lambda s: s["t"]), separator)
+    start = F.struct(F.lit(-1).alias("n"), F.array().cast("array<string>").alias("kept"))
+
+    def more(got: Column, x: Column) -> Column:
+        n = got["n"] + 1 + F.char_length(x)
+        return F.struct(n.alias("n"), F.when(n <= most, F.concat(got["kept"], F.array(x))).otherwise(got["kept"]).alias("kept"))
+
+    return F.array_join(F.aggregate(each, start, more, lambda got: got["kept"]), separator)
 
 
 def extension(name: Column) -> Column:

@@ -89,7 +89,12 @@ def known_project(project: Column, rules: Rules) -> Column:
 
 def first_reason(text: Column, project: Column, keywords: Column, rules: Rules, similar: Column | None = None) -> Column:
     """The first rule that the text breaks, in the order of the rules; empty if none."""
-    plain, words = T.strip_noise(text), F.coalesce(keywords, F.lit(""))
+    # Bound to a name, so that each text is stripped once and not for every rule.
+    return F.transform(F.array(T.strip_noise(text)), lambda plain: _first_reason(plain, project, keywords, rules, similar))[0]
+
+
+def _first_reason(plain: Column, project: Column, keywords: Column, rules: Rules, similar: Column | None) -> Column:
+    words = F.coalesce(keywords, F.lit(""))
     size = T.length(plain)
     out = F.when(plain.isNull() | (plain == ""), "empty").when((size < LEAST_LENGTH) | (size > MOST_LENGTH), "length")
     out = out.when(T.has_any(plain, rules.instructional), "instructional").when(bad_words(plain, project, rules), "bad_words")

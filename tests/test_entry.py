@@ -28,6 +28,32 @@ def test_the_comparison_sees_differences(spark):
     assert differences(spark, "x", query, "SELECT o_orderkey AS id FROM orders")
 
 
+def test_scratch_is_removed(tmp_path):
+    """In a process of its own: it would remove what other tests read."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from tesserae.session import clear_scratch, materialise
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+assert materialise(spark.range(5), "x").count() == 5
+import os
+assert os.listdir({str(tmp_path / "tesserae")!r})
+clear_scratch(spark)
+assert not os.listdir({str(tmp_path / "tesserae")!r})
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
+def test_checksums(spark):
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.crc for r in catalogue.queries()["crc_hash"](spark, SF).collect()}
+    assert got == {i: zlib.crc32(t.encode()) for i, t in texts.items()}
+
+
 def test_windows_on_a_stream(spark, tmp_path):
     from datetime import datetime, timedelta
 
