@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, bpe, decontamination, language_id, oracles, pii, resampling, simhash, substring_dedup, token_files, tool_calls
+from tesserae.llm import ann, bpe, decontamination, exact_dedup, language_id, oracles, pii, resampling, simhash, substring_dedup, token_files, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,8 +106,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    found = exact_dedup.find(_table(spark, sf_dir, "documents"), F.struct("doc_id", digest))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_tool_calls, op2_language_id, op3_importance_resampling, op4_substring_dedup, op5_nearest_vectors, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination)
+    found = (op1_tool_calls, op2_language_id, op3_importance_resampling, op4_substring_dedup, op5_nearest_vectors, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination, op13_exact_dedup)
     return {f.__name__: f for f in found}
 
 

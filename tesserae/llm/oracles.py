@@ -24,4 +24,9 @@ y AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), '
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
-ORACLES = {"op4_substring_dedup": OP4, "op10_decontamination": OP10}
+OP13 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES = {"op4_substring_dedup": OP4, "op10_decontamination": OP10, "op13_exact_dedup": OP13}
