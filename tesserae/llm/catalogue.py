@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import ann, bpe, decontamination, exact_dedup, language_id, oracles, pii, resampling, simhash, substring_dedup, token_files, tool_calls
+from tesserae.llm import ann, bpe, centroids, decontamination, exact_dedup, language_id, oracles, pii, resampling, simhash, substring_dedup, token_files, tool_calls, vector_codes
+from tesserae.session import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +107,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.encode(vectors, books, F.struct("vec_id", "label"))
+    coded = materialise(coded.select("row.vec_id", "row.label", vector_codes.code_text(F.col("codes")).alias("code"), "error"), "codes")
+    summed = vector_codes.with_label_errors(coded)
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"), F.struct("vec_id"))
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     found = exact_dedup.find(_table(spark, sf_dir, "documents"), F.struct("doc_id", digest))
@@ -113,7 +128,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_tool_calls, op2_language_id, op3_importance_resampling, op4_substring_dedup, op5_nearest_vectors, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination, op13_exact_dedup)
+    found = (op1_tool_calls, op2_language_id, op3_importance_resampling, op4_substring_dedup, op5_nearest_vectors, op6_token_files, op7_bpe, op8_simhash_near_dedup, op9_pii, op10_decontamination, op11_vector_codes, op12_centroids, op13_exact_dedup)
     return {f.__name__: f for f in found}
 
 
