@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tesserae.llm import resampling as R
@@ -29,24 +30,24 @@ def test_linking(spark):
     got = sorted(T.link(df, TOOLS).collect(), key=lambda r: (str(r.conv_id), r.position))
     assert len(got) == len(rows)
     one = [(r.turn, r.kind, r.status, r.level) for r in got if r.conv_id == 1]
-    assert one == [(0, "message", "plain", None), (2, "call", "linked", 0), (3, "result", "linked", 0), (5, "result", "orphan", None), (6, "call", "open", 0), (7, "call", "repeated", 0), (1, "call", "linked", 1), (4, "result", "linked", 1)]
+    assert one == [(0, "message", "plain", None), (2, "call", "linked", 0), (1, "call", "linked", 1), (3, "result", "linked", 0), (4, "result", "linked", 1), (5, "result", "orphan", None), (6, "call", "open", 0), (7, "call", "repeated", 0)]
     two = {r.turn: r.status for r in got if r.conv_id == 2}
     assert two == {0: "cyclic", 1: "cyclic", 2: "invalid $.a: no integer", 3: "invalid $.z: unknown", 4: "invalid unknown tool", 5: "plain", 6: "plain"}
     assert [r.json for r in got if r.turn == 2 and r.conv_id == 1] == ['{"arguments":{"a":3,"b":[1,2.5]},"id":"early","name":"add","role":"assistant"}']
     assert T.link(df.limit(0), TOOLS).count() == 0
 
 
-def brute(rows, schemas):
-    """(conv_id, position, turn, kind, status, level, json) of every message, one conversation after the other."""
+def facts(rows, schemas):
+    """(conv_id, turn, kind, status, level, json) of every message, one conversation after the other, by following links one by one."""
     by_conv, out = {}, []
     for conv, turn, role, text in rows:
         by_conv.setdefault(conv, []).append((turn, *T._parse(text, role, schemas)))
-    order = lambda x: (x is not None, x if x is not None else 0)
     for conv, messages in by_conv.items():
-        messages.sort(key=lambda m: (order(m[0]), m[5]))
         first = {}
-        for k, (_, kind, i, *_) in enumerate(messages):
-            first.setdefault((kind, i), k)
+        for k, (turn, kind, i, _, _, body, _) in enumerate(messages):
+            hashed = xxhash.xxh64_intdigest(body, 42)
+            first[kind, i] = min(first.get((kind, i), ((2,),)), ((turn is not None, turn or 0), hashed - (hashed >> 63 << 64), k))
+        first = {key: k for key, (*_, k) in first.items()}
         after = {m[2]: m[4] for k, m in enumerate(messages) if m[1] == "call" and first["call", m[2]] == k}
 
         def level(i, path=()):
@@ -56,18 +57,44 @@ def brute(rows, schemas):
             return None if None in below else max(below, default=-1) + 1
 
         levels = {i: level(i) for i in after}
-        made = []
         for k, (turn, kind, i, _, _, body, fault) in enumerate(messages):
             if kind == "message":
-                made.append((conv, turn, kind, "plain", None, i, body))
+                out.append((conv, turn, kind, "plain", None, body))
                 continue
             status = "repeated" if first[kind, i] != k else "orphan" if i not in after else "cyclic" if levels[i] is None else f"invalid {fault}" if fault else "open" if ("result", i) not in first else "linked"
-            made.append((conv, turn, kind, status, levels.get(i), i, body))
-        made.sort(key=lambda m: (m[4] or 0, order(m[1]), m[2], (m[5] is not None, m[5] or ""), m[6]))
-        out += [(c, p, turn, kind, status, lv, body) for p, (c, turn, kind, status, lv, _, body) in enumerate(made)]
+            out.append((conv, turn, kind, status, levels.get(i), body))
     return sorted(out, key=str)
 
 
+def check_order(got, rows, schemas):
+    """Positions are 0, 1, ... in a conversation; calls stand after those they come after, and results after their call; else by turn."""
+    links = {}
+    for conv, _, role, text in rows:
+        kind, i, _, after, body, _ = T._parse(text, role, schemas)
+        links[conv, kind, body] = (i, after)
+    by_conv = {}
+    for r in got:
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for conv, found in by_conv.items():
+        found.sort(key=lambda r: r.position)
+        assert [r.position for r in found] == list(range(len(found)))
+        turn = lambda r: -1 if r.turn is None else r.turn
+        at = {links[conv, "call", r.json][0]: r for r in found if r.kind == "call" and r.status not in ("repeated", "cyclic")}
+        after = {i: [b for b in links[conv, "call", r.json][1] if b in at] for i, r in at.items()}
+        assert all(at[b].position < at[i].position for i in at for b in after[i])
+        for r in found:
+            if r.kind == "result" and r.status != "repeated" and (i := links[conv, "result", r.json][0]) in at:
+                assert r.position > at[i].position
+        latest = -1  # of messages that no link moves, none stands before a call of a smaller turn
+        for r in found:
+            if r.kind == "call":
+                assert turn(r) >= latest
+            elif r.kind == "message":
+                latest = max(latest, turn(r))
+        if all(turn(at[b]) < turn(at[i]) for i in at for b in after[i]) and all(turn(r) > turn(at[i]) for r in found if r.kind == "result" and (i := links[conv, "result", r.json][0]) in at):
+            assert [turn(r) for r in found] == sorted(map(turn, found))  # nothing to mend: turns alone
+
+
 @pytest.mark.parametrize("small", [T.SMALL, 3])
 def test_any_conversations(spark, small):
     rng = np.random.default_rng(small)
@@ -75,11 +102,27 @@ def test_any_conversations(spark, small):
     for conv in [None, "", *map(str, range(12))]:
         for turn in range(rng.integers(1, 30)):
             i = f"c{rng.integers(0, 12)}"
-            text = call(i, ["add", "none"][rng.random() < 0.1], {"a": [1, "1"][rng.random() < 0.2]}, [f"c{x}" for x in rng.integers(0, 14, rng.integers(0, 3)) if f"c{x}" < i or rng.random() < 0.1]) if rng.random() < 0.6 else result(i, f"r{turn}")
+            text = call(i, ["add", "none"][rng.random() < 0.1], {"a": [turn, str(turn)][rng.random() < 0.2]}, [f"c{x}" for x in rng.integers(0, 14, rng.integers(0, 3)) if f"c{x}" < i or rng.random() < 0.1]) if rng.random() < 0.6 else result(i, f"r{turn}")
             rows += [(conv, None if rng.random() < 0.05 else turn, "assistant" if '"call"' in text else "tool", text)] * (1 + (rng.random() < 0.1))
     rows += [("long", t, "assistant", call(f"c{t:03}", after=[f"c{t - 1:03}"])) for t in range(12)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id string, turn long, role string, text string, conv string, tie int").repartition(5)
-    assert sorted(map(tuple, T.link(df, TOOLS, small).collect()), key=str) == brute(rows, TOOLS)
+    got = T.link(df, TOOLS, small).collect()
+    assert sorted(((r.conv_id, r.turn, r.kind, r.status, r.level, r.json) for r in got), key=str) == facts(rows, TOOLS)
+    check_order(got, rows, TOOLS)
+    assert [tuple(r) for r in sorted(got, key=str)] == [tuple(r) for r in sorted(T.link(df.repartition(2), TOOLS, 1000 + small).collect(), key=str)]
+
+
+def test_turns_keep_their_order(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", call("c1")), (1, 2, "tool", result("c1")), (1, 3, "assistant", call("c2", after=["c1"])), (1, 4, "tool", result("c2")), (1, 5, "assistant", "done")]
+    got = sorted(T.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect(), key=lambda r: r.position)
+    assert [(r.turn, r.level) for r in got] == [(0, None), (1, 0), (2, 0), (3, 1), (4, 1), (5, None)]
+
+
+def test_long_chain_in_blocks(spark):
+    rows = [(1, t, "assistant", call(f"c{t}", after=[f"c{t - 1}", f"c{t - 7}"])) for t in range(2000)] + [(1, 2000, "assistant", call("loop", after=["loop", "c3"])), (1, 2001, "assistant", call("behind", after=["loop", "c9"]))]
+    got = T.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), TOOLS, 300).collect()
+    assert sorted((r.turn, r.position, r.level) for r in got if r.turn < 2000) == [(t, t, t) for t in range(2000)]
+    assert {r.turn: r.status for r in got if r.turn >= 2000} == {2000: "cyclic", 2001: "cyclic"}
 
 
 def test_one_conversation_in_many_parts(spark):
@@ -89,7 +132,8 @@ def test_one_conversation_in_many_parts(spark):
         got = T.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), {}).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert sorted(map(tuple, got), key=str) == brute(rows, {})
+    assert sorted(((r.conv_id, r.turn, r.kind, r.status, r.level, r.json) for r in got), key=str) == facts(rows, {})
+    check_order(got, rows, {})
 
 
 def test_bad_json_is_plain(spark):
@@ -111,7 +155,9 @@ def test_schema_faults():
 
 def test_levels_of_a_long_chain():
     n = 20_000
-    assert T.levels_of({str(i): [str(i - 1), "none"] for i in range(n)}) == {str(i): i for i in range(n)}
+    assert T.levels_and_places({str(i): (i, [str(i - 1), "none"]) for i in range(n)}) == {str(i): (i, i) for i in range(n)}
+    turned = {str(i): (n - i, [str(i - 1)]) for i in range(n)}  # each call waits for a later one: all stand at the turn of the last
+    assert T.levels_and_places(turned) == {str(i): (i, 1) for i in range(n)}
 
 
 def test_resampling(spark):
@@ -147,8 +193,9 @@ def test_queries_run(spark):
     from tesserae.llm import catalogue
 
     sf = "/root/testdata/sf0.001"
-    turns = catalogue._with_calls(catalogue._table(spark, sf, "conversations")).collect()
-    found = sorted(map(tuple, catalogue.op1_tool_calls(spark, sf).collect()), key=str)
-    assert found == brute([tuple(r) for r in turns], catalogue.TOOLS)
-    assert {r[4].split(" ")[0] for r in found} >= {"plain", "linked", "open"} and max(r[5] or 0 for r in found) >= 2
+    rows = [tuple(r) for r in catalogue._with_calls(catalogue._table(spark, sf, "conversations")).collect()]
+    found = catalogue.op1_tool_calls(spark, sf).collect()
+    assert sorted(((r.conv_id, r.turn, r.kind, r.status, r.level, r.json) for r in found), key=str) == facts(rows, catalogue.TOOLS)
+    check_order(found, rows, catalogue.TOOLS)
+    assert {r.status.split(" ")[0] for r in found} >= {"plain", "linked", "open"} and max(r.level or 0 for r in found) >= 2
     assert catalogue.op3_importance_resampling(spark, sf).filter("selected").count() == 100
