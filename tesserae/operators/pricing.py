@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.money import round_price
 from tesserae.functions.text import lenient_number
+from tesserae.session import materialise
 
 
 @dataclass(frozen=True)
@@ -153,37 +154,76 @@ def guessed_type(given: Column, name: Column, first: Column) -> Column:
     return component_type(F.coalesce(F.nullif(F.trim(given), F.lit("")), guess), TYPE_WORDS, ACCESSORY)
 
 
+#: Signs that headings are compared without.
+_LOOSE = "（）()【】[] \t_-/:：,，.。"
+#: Lines of a sheet, blank ones not counted, among which a heading is looked for; and how many of the key fields it must name.
+HEADING_LINES, HEADING_FIELDS = 12, 2
+
+
+def _tidy(text: str) -> str:
+    return "".join(c for c in text.strip().lower() if c not in _LOOSE)
+
+
 def map_header(cells: Sequence[str], aliases: Mapping[str, Sequence[str]]) -> dict[str, int]:
     """For each field the first column whose heading equals, holds or is held by one of its aliases; -1 if there is none.
 
     An empty heading matches nothing.
     """
-    tidy = lambda s: "".join(c for c in s.strip().lower() if c not in "（）()【】[] \t_-/:：,，.。")
-    heads = [tidy(c or "") for c in cells]
+    heads = [_tidy(c or "") for c in cells]
     out = {}
     for field, names in aliases.items():
-        wanted = [tidy(n) for n in names]
+        wanted = [_tidy(n) for n in names]
         out[field] = next((i for i, h in enumerate(heads) if h and any(h == w or w in h or h in w for w in wanted)), -1)
     return out
 
 
-def typed_rows(lines: DataFrame, aliases: Mapping[str, Sequence[str]], key: Sequence[str] = ("type", "name", "quantity", "unit_cost", "total_cost")) -> DataFrame:
-    """Ragged lines (line, cells) as records: a heading is looked for in the first 12 lines that are not blank; without one, columns 0, 1, 2 are name, quantity, unit cost."""
-    tidy = lines.select("line", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
-    head, header = {}, None
-    for row in tidy.orderBy("line").limit(12).collect():  # 12 lines
-        found = map_header(row.cells, aliases)
-        if sum(found.get(k, -1) >= 0 for k in key) >= 2:
-            head, header = found, row.line
-            break
-    get = lambda f: F.coalesce(F.get("cells", F.lit(head[f])), F.lit("")) if head.get(f, -1) >= 0 else F.lit("")
-    at = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-    pick = lambda f, i: F.when(get(f) != "", get(f)).otherwise(at(i))
-    data = tidy if header is None else tidy.filter(F.col("line") > header)
+def heading_places(cells: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
+    """As map_header, as a struct with the place of each field in an array of cells."""
+    heads = F.transform(cells, lambda c: F.translate(F.lower(F.trim(c)), _LOOSE, ""))
+    names = {field: [_tidy(n) for n in of] for field, of in aliases.items()}
+
+    def place(wanted: list[str]) -> Column:
+        names = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+        hits = F.transform(heads, lambda h: (h != "") & F.exists(names, lambda w: F.contains(h, w) | F.contains(w, h)))
+        return (F.array_position(hits, True) - 1).cast("int")
+
+    return F.struct(*[place(wanted).alias(field) for field, wanted in names.items()])
+
+
+def headings(lines: DataFrame, aliases: Mapping[str, Sequence[str]], key: Sequence[str], by: Sequence[str] = ("path",)) -> DataFrame:
+    """(by, heading, places, first): of each sheet, the line of its heading with the place of each field, both null if it has none, and its first data line.
+
+    Lines are (by, line, cells), blank ones left out. Only the first few of each sheet are looked at, and each task cuts its own
+    to so many before they meet.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("line"))
+    top = lines.withColumn("nth", nth).filter(F.col("nth") <= HEADING_LINES + 1).withColumn("places", heading_places(F.col("cells"), aliases))
+    named = sum(((F.col(f"places.{k}") >= 0).cast("int") for k in key if k in aliases), F.lit(0))
+    found = F.min(F.when((F.col("nth") <= HEADING_LINES) & (named >= HEADING_FIELDS), F.struct("nth", "line", "places")))
+    each = top.groupBy(*by).agg(found.alias("found"), F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("top"))
+    return each.select(*by, F.col("found.line").alias("heading"), "found.places", F.get("top", F.coalesce("found.nth", F.lit(0)))["line"].alias("first"))
+
+
+def typed_rows(lines: DataFrame, aliases: Mapping[str, Sequence[str]], key: Sequence[str] = ("type", "name", "quantity", "unit_cost", "total_cost"), by: Sequence[str] = ("path",)) -> DataFrame:
+    """Ragged lines (by, line, cells) of any number of sheets as records (by, line, type, name, quantity, unit_cost, ...).
+
+    Each sheet has its own heading, looked for in its first 12 lines that are not blank, and its own columns; in a sheet without one,
+    columns 0, 1, 2 are name, quantity, unit cost. Lines of a table without the columns `by` are one sheet.
+    """
+    by = [c for c in by if c in lines.columns]
+    tidy = lines.select(*by, "line", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    sheet = by or [F.lit(0).alias("sheet")]
+    tidy = tidy.select(*sheet, "line", "cells")
+    sheet = by or ["sheet"]
+    found = materialise(headings(tidy, aliases, key, sheet), "headings")
+    data = tidy.join(found, sheet).filter(F.col("heading").isNull() | (F.col("line") > F.col("heading")))
+    at = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
+    get = lambda f: F.coalesce(F.when(F.col(f"places.{f}") >= 0, at(F.col(f"places.{f}"))), F.lit("")) if f in aliases else F.lit("")
+    pick = lambda f, i: F.when(get(f) != "", get(f)).otherwise(at(F.lit(i)))
     qty = F.coalesce(F.nullif(lenient_number(pick("quantity", 1)), F.lit(0.0)), F.lit(1.0))
     unit, total = lenient_number(pick("unit_cost", 2)), lenient_number(get("total_cost"))
     optional = [F.when(get(f) != "", lenient_number(get(f))).alias(f) for f in ("tool_cost", "shipping", "packaging", "labor_hours", "other_cost")]
     cost = F.when(unit != 0, unit).when((total > 0) & (qty > 0), total / qty).otherwise(0.0)
-    name = F.when(get("name") != "", get("name")).when(at(0) != "", at(0)).otherwise(F.concat(F.lit("row "), F.col("line").cast("string")))
-    first = F.col("line") == (data.agg(F.min("line")).first()[0] or 0)
-    return data.select("line", guessed_type(get("type"), name, first).alias("type"), name.alias("name"), qty.alias("quantity"), cost.alias("unit_cost"), *optional)
+    name = F.when(pick("name", 0) != "", pick("name", 0)).otherwise(F.concat(F.lit("row "), F.col("line").cast("string")))
+    kind = guessed_type(get("type"), name, F.col("line") == F.col("first"))
+    return data.select(*by, "line", kind.alias("type"), name.alias("name"), qty.alias("quantity"), cost.alias("unit_cost"), *optional)

@@ -9,6 +9,8 @@ from tesserae.functions import clock, money, text
 from tesserae.operators import pricing as P
 from tesserae.operators import sessions as S
 from tesserae.plans.derived import NOW, table
+from tesserae.session import scratch
+from tesserae.sources import sheets
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,6 +123,38 @@ def component_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), P.component_type(F.col("p_name"), [("1|2|3", "main"), ("4|5", "accessory")], "accessory").alias("type"))
 
 
+_ALIASES = {"type": ["kind"], "name": ["item", "product"], "quantity": ["qty"], "unit_cost": ["unit cost"], "total_cost": ["total"]}
+
+
+@query(
+    f"""WITH p AS (SELECT *, CAST(substr(p_brand, 7) AS INTEGER) % 3 AS form, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS first, CAST(floor(p_retailprice) AS DOUBLE) AS price FROM part)
+    SELECT p_brand AS path, p_partkey + 10 AS line, CASE WHEN form = 1 THEN p_type WHEN first THEN '{P.MAIN}' ELSE '{P.ACCESSORY}' END AS type, p_name AS name, CAST(CASE WHEN p_size = 0 THEN 1 ELSE p_size END AS DOUBLE) AS quantity,
+        CASE WHEN form = 1 THEN price / CASE WHEN p_size = 0 THEN 1 ELSE p_size END ELSE price END AS unit_cost FROM p"""
+)
+def sheet_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each brand: a title, a blank line, a heading in one of two orders or none, and a line for each part."""
+    part = table(spark, sf_dir, "part").withColumn("form", F.substring("p_brand", 7, 9).cast("int") % 3)
+    text = lambda c: F.col(c).cast("string")
+    price = F.concat(F.lit("¥ "), F.floor("p_retailprice").cast("string"))
+    line = F.when(F.col("form") == 1, F.array(text("p_size"), "p_name", "p_type", price)).otherwise(F.array("p_name", text("p_size"), price))
+    data = part.select(F.col("p_brand").alias("path"), (F.col("p_partkey") + 10).alias("line"), line.alias("cells"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    heading = F.when(F.col("form") == 1, words("QTY (pcs)", "Product-name", "Kind", "Total")).otherwise(words("Item", "Qty", "Unit cost"))
+    tops = F.array(F.struct(F.lit(1).alias("line"), words(" ", "").alias("cells")), F.struct(F.lit(2).alias("line"), heading.alias("cells")))
+    # Sheets of the third form begin at once.
+    top = part.filter("form < 2").select(F.col("p_brand").alias("path"), "form").distinct().select("path", F.explode(tops).alias("top")).select("path", F.col("top.line").cast("long").alias("line"), "top.cells")
+    return P.typed_rows(top.unionByName(data), _ALIASES).select("path", "line", "type", "name", "quantity", "unit_cost")
+
+
+@query("SELECT doc_id, lang, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as delimited text, texts with their line breaks in quotes, written and read back in blocks."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "sheets")
+    sheets.with_mark(docs.select("doc_id", "text", "lang")).write.text(path)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return sheets.read_delimited(spark, path, ",").select(cell(0).cast("long").alias("doc_id"), F.nullif(cell(2), F.lit("")).alias("lang"), F.length(cell(1)).cast("long").alias("n_chars"), F.sha2(cell(1), 256).alias("text_sha256"))
+
+
 @query("""SELECT event_id, coalesce(TRY_CAST(nullif(regexp_extract(regexp_replace(t, '[%￥¥,\\s]', '', 'g'), '-?\\d+(\\.\\d+)?', 0), '') AS DOUBLE), 0) AS number FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props ELSE '¥ ' || CAST(event_id AS VARCHAR) || ',5' || CAST(event_id % 7 AS VARCHAR) || '.25 %' END AS t FROM events)""")
 def lenient_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")

@@ -253,13 +253,41 @@ def test_typed_rows(spark):
     raw = [["Price list"], ["", ""], ["Item", "", "QTY", "Total", "Shipping"], ["strap", "", "4", "¥1,000.5", ""], ["bead", "", "", "", "2"], ["", "x", "0", "7", ""]]
     out = P.typed_rows(spark.createDataFrame(list(enumerate(raw)), "line int, cells array<string>"), aliases).orderBy("line").collect()
     assert [r.type for r in out] == [P.MAIN, P.ACCESSORY, P.ACCESSORY]
-    assert [(r.name, r.quantity, r.unit_cost, r.shipping) for r in out] == [("strap", 4.0, 250.125, None), ("bead", 1.0, 0.0, 2.0), ("row 5", 1.0, 7.0, None)] or [(r.name, r.quantity) for r in out][:2] == [("strap", 4.0), ("bead", 1.0)]
+    assert [(r.name, r.quantity, r.unit_cost, r.shipping) for r in out] == [("strap", 4.0, 4.0, None), ("bead", 1.0, 0.0, 2.0), ("row 5", 1.0, 7.0, None)]  # without a unit cost the third cell is taken, then the total
     bare = P.typed_rows(spark.createDataFrame([(0, ["cord", "3", "2.5"])], "line int, cells array<string>"), aliases).first()
     assert (bare.name, bare.quantity, bare.unit_cost) == ("cord", 3.0, 2.5)
     typed = spark.createDataFrame([(1, "主料", "x"), (2, "吊坠", "x"), (3, "other", "x"), (4, "", "丝线"), (5, " ", "织带"), (6, None, "珠子")], "i int, given string, name string")
     assert [r.t for r in typed.select("i", P.guessed_type(F.col("given"), F.col("name"), F.col("i") == 9).alias("t")).orderBy("i").collect()] == [P.MAIN, P.ACCESSORY, "other", P.ACCESSORY, P.MAIN, P.ACCESSORY]
 
 
+def test_each_sheet_has_its_own_heading(spark):
+    aliases = {"type": ["kind"], "name": ["item", "product"], "quantity": ["qty"], "unit_cost": ["unit cost"], "total_cost": ["total"], "shipping": ["shipping"]}
+    sheets = {
+        "a": [["Item", "Qty", "Unit cost"], ["x", "2", "3"]],
+        "b": [["list"], ["", " "], ["QTY (pcs)", "Unit-Cost", "kind", "Product name"], ["5", "4", "绳", "y"], ["", "", "", ""], ["6", "7", "", "z"]],
+        "c": [["plain", "9", "1.5"], ["more", "0", "2"]],
+        "late": [[f"note {i}"] for i in range(11)] + [["item", "qty"], ["k", "3"]],
+        "too late": [[f"note {i}"] for i in range(12)] + [["item", "qty"], ["k", "3"]],
+        "only heading": [["item", "qty"]],
+        "blank": [["", ""], [" "]],
+        "one name": [["item", "what"], ["v", "8"]],
+        "none": [],
+    }
+    rows = [(name, i, cells) for name, lines in sheets.items() for i, cells in enumerate(lines)]
+    got = {}
+    for r in P.typed_rows(spark.createDataFrame(rows, "path string, line int, cells array<string>").repartition(5), aliases).orderBy("path", "line").collect():
+        got.setdefault(r.path, []).append((r.line, r.type, r.name, r.quantity, r.unit_cost))
+    for name, lines in sheets.items():  # one by one, as the rules say
+        filled = [(i, c) for i, c in enumerate(lines) if any(x.strip() for x in c)]
+        maps = [P.map_header(c, aliases) for _, c in filled[:12]]
+        at = next((k for k, m in enumerate(maps) if sum(m[f] >= 0 for f in ("type", "name", "quantity", "unit_cost", "total_cost")) >= 2), None)
+        head, data = ({}, filled) if at is None else (maps[at], filled[at + 1 :])
+        cell = lambda c, f, i=None: (c[head[f]] if 0 <= head.get(f, -1) < len(c) else "") or (c[i] if i is not None and i < len(c) else "")
+        want = [(i, cell(c, "name", 0), float(cell(c, "quantity", 1) or 0) if cell(c, "quantity", 1).isdigit() else 0.0) for i, c in data]
+        assert [(i, n, q) for i, _, n, q, _ in got.get(name, [])] == [(i, n, q or 1.0) for i, n, q in want]
+    assert got["b"] == [(3, P.MAIN, "y", 5.0, 4.0), (5, P.ACCESSORY, "z", 6.0, 7.0)] and got["a"] == [(1, P.MAIN, "x", 2.0, 3.0)] and [r[1] for r in got["c"]] == [P.MAIN, P.ACCESSORY]
+
+
 @pytest.mark.parametrize(("fee", "margin", "profit", "status"), [(0.1, 0.2, 0.0, "ok"), (0.8, 0.3, 0.0, "fee too high"), (1.0, 0.0, 5.0, "not computed"), (0.1, 0.0, 5.0, "ok")])
 def test_cost_statuses(spark, fee, margin, profit, status):
     rows = spark.createDataFrame([(1.0, 10.0, None, None, None, None, None)], "quantity double, unit_cost double, tool_cost double, shipping double, packaging double, labor_hours double, other_cost double")

@@ -1,4 +1,5 @@
 import io
+import random
 import struct
 import zipfile
 import zlib
@@ -37,6 +38,51 @@ def test_read_sheets(spark, tmp_path):
     assert got["a.csv", 1] == ["1", "2"] and got["b.xlsx", 0] == ["name", "", "2.5"] and len(got) == 4
 
 
+ODD_SHEETS = {
+    "quotes": '\ufeff \r\n\n name,"a ""q"" b\r\n,c"x,\r\n\n"é\n\n,",2\r"r\r""",3\nplain,4\n"",5,""""\n\n \t\n',
+    "open": 'a;b\n1;2 ";\n3;4\n  \n',
+    "tabs": "\n\nx\ty,z\t\t\n",
+    "one": "a,b\t",
+    "blank": " \n\r\n\t",
+    "empty": "",
+    "old": 'a,b\r"c\rd",e\r',
+    "lines": "".join(f'{i},"{i}\n"\n' if i % 3 else f"{i},x\r\n" for i in range(12)),
+}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 17, 1000])
+def test_delimited_texts_cut_anywhere(spark, tmp_path, monkeypatch, size):
+    """Blocks of `size` bytes; of 1: every place is a cut."""
+    for name, text in ODD_SHEETS.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    write, names = sheets.materialise, ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+    def in_blocks(df, name):
+        old = [spark.conf.get(n) for n in names]
+        for n in names if name == "pieces" else ():
+            spark.conf.set(n, size)
+        out = write(df, name)
+        for n, value in zip(names, old, strict=True):
+            spark.conf.set(n, value)
+        return out
+
+    monkeypatch.setattr(sheets, "materialise", in_blocks)
+    found = sheets.read_delimited(spark, str(tmp_path)).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r.line):
+        name = r.path.rsplit("/", 1)[-1].removesuffix(".csv")
+        assert r.line == len(got.setdefault(name, []))
+        got[name].append(r.cells)
+    assert got == {name: rows for name, text in ODD_SHEETS.items() if (rows := sheets.parse_delimited(text))}
+
+
+def test_cells_are_those_of_the_whole_parser():
+    rng = random.Random(3)
+    for _ in range(3000):
+        record = "".join(rng.choice('",,a"x') for _ in range(rng.randint(1, 12)))
+        assert sheets.cells_of(record, ",") == sheets.parse_delimited(record, ",")[0]
+
+
 @pytest.mark.parametrize("separator", [",", "\t"])
 def test_sheet_round_trip(spark, tmp_path, separator):
     df = spark.createDataFrame([("a,\tb", 'q"x"', "1"), ("plain", "two", "3")], "a string, b string, c string")
