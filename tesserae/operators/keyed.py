@@ -121,12 +121,16 @@ def desk_step(state: State | None, event: State) -> tuple[State, State]:
 
     start needs minutes (countdown) or none (count up); what does not fit the state is ignored. The pause counts
     as paused time, and moves a countdown's end. Time can be added to, and adjusted on, countdowns only, and added only
-    while they are not paused; it runs from the later of end and now, at now's rate. Rates go by the event's `hour`, the
-    hour of the day where the desk stands, where it is given, else by that of ts in UTC.
+    while they are not paused; it runs from the later of end and now, at now's rate. Overtime goes by the rate at the
+    session's end. Rates are those of the hour where the desk stands: the event's `offset` is that of its clock from UTC in
+    seconds; without it the event's `hour`, that of ts on the clock, tells it in whole hours; without both it is 0.
     """
     d, now, action = dict(state or NEW_DESK), event["ts"], event["action"]
     minutes = event.get("minutes")
-    hour = _hour(now) if event.get("hour") is None else event["hour"]
+    offset = event.get("offset")
+    if offset is None:
+        offset = 0 if event.get("hour") is None else (event["hour"] - _hour(now)) % 24 * 3600
+    hour = _hour(now + offset)
     closed = None
     busy = d["status"] != "empty"
     timed = busy and d["mode"] == "countdown"
@@ -148,7 +152,7 @@ def desk_step(state: State | None, event: State) -> tuple[State, State]:
         over = 0 if d["end"] is None else max(0, at - d["end"])
         from tesserae.functions.money import GRACE_SECONDS
 
-        late = 0.0 if over <= GRACE_SECONDS else extension_fee(math.ceil(over / 60), _hour(d["end"]) if event.get("hour") is None else int(event["hour"] - (now - d["end"]) // 3600) % 24)
+        late = 0.0 if over <= GRACE_SECONDS else extension_fee(math.ceil(over / 60), _hour(d["end"] + offset))
         closed = {"minutes": math.ceil(max(0, at - d["start"] - d["paused"]) / 60), "over": int(over), "fee": d["extra_fee"] + late}
         d = dict(NEW_DESK)
     out = closed or {"minutes": None, "over": None, "fee": None}

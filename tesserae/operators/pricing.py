@@ -216,7 +216,9 @@ def typed_rows(lines: DataFrame, aliases: Mapping[str, Sequence[str]], key: Sequ
     tidy = tidy.select(*sheet, "line", "cells")
     sheet = by or ["sheet"]
     found = materialise(headings(tidy, aliases, key, sheet), "headings")
-    data = tidy.join(found, sheet).filter(F.col("heading").isNull() | (F.col("line") > F.col("heading")))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in sheet]
+    data = tidy.alias("t").join(found.alias("h"), same).filter(F.col("heading").isNull() | (F.col("line") > F.col("heading")))
+    data = data.select(*[F.col(f"t.{c}").alias(c) for c in sheet], "line", "cells", "heading", "places", "first")
     at = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     get = lambda f: F.coalesce(F.when(F.col(f"places.{f}") >= 0, at(F.col(f"places.{f}"))), F.lit("")) if f in aliases else F.lit("")
     pick = lambda f, i: F.when(get(f) != "", get(f)).otherwise(at(F.lit(i)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.session import materialise
 
 #: Code points of an acceptable text, topics it must touch, exclamation marks it may have, and how many texts back are compared.
 LEAST_LENGTH, MOST_LENGTH = 75, 250
@@ -107,18 +108,44 @@ def _first_reason(plain: Column, project: Column, keywords: Column, rules: Rules
     return out.when(F.lit(False) if similar is None else similar, "similar").otherwise("")
 
 
-def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rules: Rules) -> DataFrame:
-    """texts (text, ...) with `similar`: empty, equal to one of the RECENT before it, or sharing SHARED_WORDS signature words with one."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(-RECENT, -1)
-    bare = F.trim("text")
-    signs = F.filter(F.array(*[F.when(F.contains(bare, F.lit(w)), F.lit(w)) for w in rules.signature]), lambda x: x.isNotNull())
-    marked = texts.withColumns({"_bare": bare, "_signs": signs})
-    # A text is compared by its hash, so the window carries no texts.
-    seen = marked.withColumn("_recent", F.collect_list(F.struct(F.sha2("_bare", 256).alias("h"), F.col("_signs").alias("s"))).over(before))
-    shared = F.exists("_recent", lambda r: F.size(F.array_intersect(F.col("_signs"), r["s"])) >= SHARED_WORDS)
-    equal = F.exists("_recent", lambda r: r["h"] == F.sha2("_bare", 256))
-    similar = F.coalesce(F.col("_bare") == "", F.lit(True)) | equal | ((F.size("_signs") > 0) & shared)
-    return seen.withColumn("similar", similar).drop("_bare", "_signs", "_recent")
+#: Rows of a piece of a history, about; the pieces are what tasks are made of.
+PIECE = 20_000
+
+
+def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rules: Rules, piece: int = PIECE) -> DataFrame:
+    """texts (text, ...) with `similar`: empty, equal to one of the RECENT before it, or sharing SHARED_WORDS signature words with one.
+
+    A history (the rows of one `by`) of any length is spread over tasks: rows are dealt out by ranges of (by, order), and each range
+    is given copies of the last RECENT rows before it, of the ranges before (a halo), which its own rows look back on. Texts
+    are compared by their hash, so what is looked back on holds none. Rows of equal (by, order) keep some order, the same for all.
+    """
+    keys = [*by, *order]
+    rows = texts.select(F.struct("*").alias("row"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.trim("text").alias("bare"))
+    signs = F.filter(F.array(*[F.when(F.contains("bare", F.lit(w)), F.lit(w)) for w in rules.signature]), lambda x: x.isNotNull())
+    rows = materialise(rows.select("row", *[f"k{i}" for i in range(len(keys))], F.sha2("bare", 256).alias("hash"), signs.alias("signs"), (F.coalesce("bare", F.lit("")) == "").alias("blank"), F.monotonically_increasing_id().alias("tie")), "texts")
+    group, at = [f"k{i}" for i in range(len(by))], [f"k{i}" for i in range(len(by), len(keys))]
+    pieces = max(1, -(-rows.count() // piece))
+    dealt = rows.repartitionByRange(pieces, *group, *at, "tie").withColumn("piece", F.spark_partition_id())
+    dealt = materialise(dealt, "pieces")
+    # Of a history that goes on in later pieces, those that begin within RECENT rows after a piece: as few rows as there are pieces, about.
+    spans = dealt.groupBy("piece", *group).agg(F.count("*").alias("n"))
+    later = Window.partitionBy(*group).orderBy("piece").rowsBetween(1, RECENT)
+    between = lambda i: F.aggregate(F.slice("next", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    reach = spans.withColumn("next", F.collect_list(F.struct("piece", "n")).over(later)).filter(F.size("next") > 0)
+    reach = reach.select("piece", *group, F.explode(F.transform("next", lambda x, i: F.struct(x["piece"].alias("to"), between(i).alias("between")))).alias("next"))
+    reach = materialise(reach.filter(F.col("next.between") < RECENT), "reach")
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("piece", *group)]
+    tails = dealt.alias("t").join(reach.alias("r"), same).select("t.piece", *[f"t.{c}" for c in (*group, *at, "tie", "hash", "signs")], "r.next")
+    nth = F.row_number().over(Window.partitionBy("piece", *group, "next.to").orderBy(*[F.desc_nulls_last(c) for c in (*at, "tie")]))
+    halo = tails.withColumn("nth", nth).filter(F.col("nth") <= RECENT).filter(F.col("nth") + F.col("next.between") <= RECENT)
+    halo = halo.select(F.col("next.to").alias("piece"), *group, *at, "tie", "hash", "signs")
+    both = dealt.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("piece", *group).orderBy(*at, "tie").rowsBetween(-RECENT, -1)
+    seen = both.withColumn("recent", F.collect_list(F.struct("hash", "signs")).over(before)).filter("own")
+    shared = F.exists("recent", lambda r: F.size(F.array_intersect(F.col("signs"), r["signs"])) >= SHARED_WORDS)
+    equal = F.exists("recent", lambda r: r["hash"] == F.col("hash"))
+    similar = F.col("blank") | F.coalesce(equal, F.lit(False)) | ((F.size("signs") > 0) & shared)
+    return seen.select("row.*", similar.alias("similar"))
 
 
 safe_to_copy = T.safe_to_copy

@@ -127,22 +127,21 @@ _ALIASES = {"type": ["kind"], "name": ["item", "product"], "quantity": ["qty"],
 
 
 @query(
-    f"""WITH p AS (SELECT *, CAST(substr(p_brand, 7) AS INTEGER) % 3 AS form, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS first, CAST(floor(p_retailprice) AS DOUBLE) AS price FROM part)
-    SELECT p_brand AS path, p_partkey + 10 AS line, CASE WHEN form = 1 THEN p_type WHEN first THEN '{P.MAIN}' ELSE '{P.ACCESSORY}' END AS type, p_name AS name, CAST(CASE WHEN p_size = 0 THEN 1 ELSE p_size END AS DOUBLE) AS quantity,
-        CASE WHEN form = 1 THEN price / CASE WHEN p_size = 0 THEN 1 ELSE p_size END ELSE price END AS unit_cost FROM p"""
+    f"""WITH p AS (SELECT *, coalesce(length(source) % 3, 2) AS form, doc_id = min(doc_id) OVER (PARTITION BY source) AS first, n_chars % 40 AS n, CASE WHEN n_chars % 40 = 0 THEN 1 ELSE n_chars % 40 END AS qty, CAST(doc_id % 977 AS DOUBLE) AS price FROM documents)
+    SELECT source AS path, doc_id + 10 AS line, CASE WHEN form = 1 AND lang IS NOT NULL THEN lang WHEN first THEN '{P.MAIN}' ELSE '{P.ACCESSORY}' END AS type, 'sheet of ' || doc_id AS name, CAST(qty AS DOUBLE) AS quantity,
+        CASE WHEN form = 1 THEN price / qty ELSE price END AS unit_cost FROM p"""
 )
 def sheet_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each brand: a title, a blank line, a heading in one of two orders or none, and a line for each part."""
-    part = table(spark, sf_dir, "part").withColumn("form", F.substring("p_brand", 7, 9).cast("int") % 3)
-    text = lambda c: F.col(c).cast("string")
-    price = F.concat(F.lit("¥ "), F.floor("p_retailprice").cast("string"))
-    line = F.when(F.col("form") == 1, F.array(text("p_size"), "p_name", "p_type", price)).otherwise(F.array("p_name", text("p_size"), price))
-    data = part.select(F.col("p_brand").alias("path"), (F.col("p_partkey") + 10).alias("line"), line.alias("cells"))
+    """A sheet for each source: a title, a blank line, a heading in one of two orders, or none of these, and a line for each document."""
+    docs = table(spark, sf_dir, "documents").withColumn("form", F.coalesce(F.length("source") % 3, F.lit(2)))
+    name, count = F.concat(F.lit("sheet of "), F.col("doc_id").cast("string")), (F.col("n_chars") % 40).cast("string")
+    price = F.concat(F.lit("¥ "), (F.col("doc_id") % 977).cast("string"))
+    line = F.when(F.col("form") == 1, F.array(count, name, "lang", price)).otherwise(F.array(name, count, price))
+    data = docs.select(F.col("source").alias("path"), (F.col("doc_id") + 10).alias("line"), line.alias("cells"))
     words = lambda *w: F.array(*map(F.lit, w))
     heading = F.when(F.col("form") == 1, words("QTY (pcs)", "Product-name", "Kind", "Total")).otherwise(words("Item", "Qty", "Unit cost"))
     tops = F.array(F.struct(F.lit(1).alias("line"), words(" ", "").alias("cells")), F.struct(F.lit(2).alias("line"), heading.alias("cells")))
-    # Sheets of the third form begin at once.
-    top = part.filter("form < 2").select(F.col("p_brand").alias("path"), "form").distinct().select("path", F.explode(tops).alias("top")).select("path", F.col("top.line").cast("long").alias("line"), "top.cells")
+    top = docs.filter("form < 2").select(F.col("source").alias("path"), "form").distinct().select("path", F.explode(tops).alias("top")).select("path", F.col("top.line").cast("long").alias("line"), "top.cells")
     return P.typed_rows(top.unionByName(data), _ALIASES).select("path", "line", "type", "name", "quantity", "unit_cost")
 
 

@@ -83,13 +83,14 @@ def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, conv_id % 7 AS g, trim(text) AS t, list_filter(['thin', 'thou', 'ento', 'eder', 'tion', 'sche'], lambda w: contains(trim(text), w)) AS s FROM conversations),
-    n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY conv_id, turn) AS k FROM c)
-    SELECT a.conv_id, a.turn, a.t = '' OR coalesce(bool_or(b.t = a.t OR (len(a.s) > 0 AND len(list_intersect(a.s, b.s)) >= 2)), false) AS similar FROM n a LEFT JOIN n b ON a.g = b.g AND b.k BETWEEN a.k - 30 AND a.k - 1 GROUP BY a.conv_id, a.turn, a.t"""
+    """WITH c AS (SELECT conv_id, turn, trim(text) AS t, list_filter(['thin', 'thou', 'ento', 'eder', 'tion', 'sche'], lambda w: contains(trim(text), w)) AS s FROM conversations),
+    n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS k FROM c)
+    SELECT a.conv_id, a.turn, a.t = '' OR coalesce(bool_or(b.t = a.t OR (len(a.s) > 0 AND len(list_intersect(a.s, b.s)) >= 2)), false) AS similar FROM n a LEFT JOIN n b ON b.k BETWEEN a.k - 30 AND a.k - 1 GROUP BY a.conv_id, a.turn, a.t"""
 )
 def near_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 7).alias("g"), "text")
-    return R.near_repeats(turns, ["g"], ["conv_id", "turn"], RULES).select("conv_id", "turn", "similar")
+    """All turns are one history."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("all").alias("history"), "text")
+    return R.near_repeats(turns, ["history"], ["conv_id", "turn"], RULES).select("conv_id", "turn", "similar")
 
 
 @query(

@@ -72,6 +72,17 @@ def test_desk():
     assert paused["over"] == 0 and paused["minutes"] == 9 and paused["fee"] == 0
 
 
+@pytest.mark.parametrize(("ends", "late", "fee"), [("20:50:00", 20, 10), ("20:59:59", 20, 10), ("21:00:00", 20, 30), ("23:50:00", 20, 30), ("23:59:00", 65, 80), ("00:10:00", 20, 10), ("20:50:00", 10, 0)])
+@pytest.mark.parametrize("zone", [0, 8 * 3600, -5 * 3600, 19_800])
+def test_overtime_goes_by_the_hour_of_the_end(ends, late, fee, zone):
+    h, m, s = map(int, ends.split(":"))
+    end = 3 * 86_400 + h * 3600 + m * 60 + s - zone  # in UTC
+    start, finish = end - 3600, end + late * 60
+    clock = lambda t: {"offset": zone} if zone % 3600 else {"hour": K._hour(t + zone)}
+    out = K.fold(K.desk_step, [{"ts": start, "action": "start", "minutes": 60, **clock(start)}, {"ts": finish, "action": "finish", "minutes": None, **clock(finish)}])[1]
+    assert out[-1]["fee"] == fee
+
+
 @pytest.mark.parametrize(("minutes", "hour", "fee"), [(0, 20, 0), (1, 20, 10), (30, 20, 10), (31, 20, 20), (61, 20, 30), (61, 21, 80), (30, 21, 30), (60, 21, 50)])
 def test_extension_fee(spark, minutes, hour, fee):
     from pyspark.sql import functions as F

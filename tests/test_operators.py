@@ -343,3 +343,20 @@ def test_near_repeats_look_30_back(spark):
     rows = [(0, "soft warm"), *[(i, f"text {i}") for i in range(1, 31)], (31, "warm soft blue"), (32, "soft"), (33, "text 5"), (34, "text 1"), (35, " ")]
     out = {r.i: r.similar for r in R.near_repeats(spark.createDataFrame([(1, i, t) for i, t in rows], "g int, i int, text string"), ["g"], ["i"], rules).collect()}
     assert not out[31] and not out[32] and out[33] and not out[34] and out[35]
+
+
+@pytest.mark.parametrize("piece", [7, 40, 10_000])
+def test_near_repeats_of_a_history_in_pieces(spark, piece):
+    rng = random.Random(piece)
+    rules = R.Rules(signature=("soft", "warm", "blue", "thin"))
+    words = [*rules.signature, "a", "b", "c", "d", "e", "f", "g"]
+    rows = [(rng.choice([None, "x", "y", *["hot"] * 9]), i, rng.choice([None, "", " "]) if rng.random() < 0.03 else " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for i in range(400)]
+    got = {r.i: r.similar for r in R.near_repeats(spark.createDataFrame([(*r, "kept") for r in rows], "g string, i int, text string, hash string").repartition(6), ["g"], ["i"], rules, piece).collect()}
+    want, history = {}, {}
+    for g, i, text in rows:
+        bare = (text or "").strip(" ")
+        signs = {w for w in rules.signature if w in bare}
+        recent = history.setdefault(g, [])
+        want[i] = not bare or any((text is not None and bare == b) or len(signs & s) >= 2 for b, s in recent[-30:])
+        recent.append((None if text is None else bare, signs))
+    assert got == want
