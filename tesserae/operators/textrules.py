@@ -145,7 +145,7 @@ def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rule
     shared = F.exists("recent", lambda r: F.size(F.array_intersect(F.col("signs"), r["signs"])) >= SHARED_WORDS)
     equal = F.exists("recent", lambda r: r["hash"] == F.col("hash"))
     similar = F.col("blank") | F.coalesce(equal, F.lit(False)) | ((F.size("signs") > 0) & shared)
-    return seen.select("row.*", similar.alias("similar"))
+    return seen.select("row", similar.alias("similar")).select("row.*", "similar")
 
 
 safe_to_copy = T.safe_to_copy

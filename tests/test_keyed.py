@@ -1,11 +1,13 @@
 """State machines: boundaries, a second model of the buckets, and streams that give what batches give."""
 
+import os
 import random
+from pathlib import Path
 
 import pytest
 
 from tesserae.operators import keyed as K
-from tesserae.streaming import state
+from tesserae.streaming import ordered, state
 
 
 def timer(*commands):
@@ -137,6 +139,61 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     assert got.count() == events.count() and not got.exceptAll(batch).count()
 
 
+def _on_a_stream(spark, folder, rows, schema, parts, rng, **what):
+    """The rows that a stream gives for `rows`, shuffled and dealt over `parts` triggers, and then a last command that moves the watermark on."""
+    rows = rng.sample(rows, len(rows))
+    for i in range(parts):
+        spark.createDataFrame(rows[i::parts], schema).coalesce(1).write.parquet(f"{folder}/in/{i:02}")
+    spark.createDataFrame([(-1, "last", 1e6, "none", None)], schema).coalesce(1).write.parquet(f"{folder}/in/{parts:02}")
+    for i in range(parts + 1):  # files are taken by the time of their change
+        for f in Path(folder, "in", f"{i:02}").glob("*.parquet"):
+            os.utime(f, (1e9 + i, 1e9 + i))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    out = ordered.run(source, "desk", "event_id", **what, delay="100000 seconds")
+    q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/out").filter("desk != 'last'").collect()]
+
+
+COMMANDS = "event_id long, desk string, ts double, action string, minutes long"
+
+
+@pytest.mark.parametrize("machine", ["desk", "timer"])
+def test_late_commands_and_changes_by_time(spark, tmp_path, machine):
+    rng = random.Random(7)
+    what = {
+        "desk": {"step": K.desk_step, "output": K.DESK_OUTPUT, "state": ordered.DESK_STATE, "due": ordered.desk_due},
+        "timer": {"step": K.timer_step, "output": K.TIMER_OUTPUT, "state": ordered.TIMER_STATE, "due": ordered.timer_due},
+    }[machine]
+    actions = {"desk": ["start", "start", "add", "pause", "resume", "adjust", "finish", "cancel"], "timer": ["start", "start", "pause", "reset", "set_total", "add_time", "sub_time"]}[machine]
+    rows = [(i, rng.choice("abc"), float(rng.randrange(0, 60_000, 50)), rng.choice(actions), rng.choice([30, 60, 90])) for i in range(90)]
+    rows += [(100, "d", 1000.0, "start", 60), (101, "e", 5.0, "start", 20)]  # nothing comes after these
+    batch = spark.createDataFrame(rows, COMMANDS)
+    want = ordered.replay(batch, "desk", "event_id", what["step"], what["output"], what["due"], until=900_000.0)
+    got = _on_a_stream(spark, str(tmp_path), rows, COMMANDS, 4, rng, **what)
+    assert sorted(got, key=str) == sorted(map(tuple, want.collect()), key=str)
+    due = [(r[2], r[3]) for r in sorted(got, key=lambda r: r[2]) if r[1] == "d" and r[3]]
+    assert due == ([(2800.0, "ending"), (4000.0, "urgent"), (4600.0, "timeout")] if machine == "desk" else [(4000.0, "WARNING"), (4600.0, "OVERTIME")])
+
+
+def test_replay_against_a_clock_that_ticks():
+    """Every second looked at one by one gives the same changes, and the same commands."""
+    rng = random.Random(8)
+    for _ in range(30):
+        commands = sorted(({"ts": rng.randrange(0, 6000), "event_id": i, "action": rng.choice(["start", "add", "pause", "resume", "finish"]), "minutes": rng.choice([20, 30, 45])} for i in range(8)), key=lambda c: (c["ts"], c["event_id"]))
+        got = [(at, name or command["event_id"]) for _, at, command, name, _ in ordered.advance(None, float("-inf"), commands, 12_000, K.desk_step, ordered.desk_due)]
+        state, want = None, []
+        for t in range(12_000):
+            for instant, name in sorted(ordered.desk_due(state)) if state else []:
+                if instant == t and (t, name) not in want:
+                    want.append((t, name))
+            for c in commands:
+                if c["ts"] == t:
+                    state, _ = K.desk_step(state, c)
+                    want.append((t, c["event_id"]))
+        assert got == want
+
+
 def test_recent_texts_on_a_stream(spark, tmp_path):
     rows = [(1, "a", 1, "x"), (2, "a", 2, "y"), (3, "a", 3, "x"), (4, "b", 1, "x"), (5, "a", 4, "bad"), (6, "a", 5, "bad")]
     spark.createDataFrame(rows, "text_id long, topic string, ts long, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
