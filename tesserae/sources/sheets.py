@@ -161,6 +161,29 @@ def _sniffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "separator"])
 
 
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (path, line, block, n, text, end, separator, final, starts, closes), sorted by path, block and n, with those of one row put together where they follow each other."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+    row, texts, upto = None, [], 0
+    for batch in batches:
+        out = []
+        for piece in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            path, line, block, n, text, end, _, final, _, closes = piece
+            if row and row[:3] == [path, line, block] and n == upto + 1:
+                texts += [row[5], text]
+                row[5], row[7], row[9] = end, final, closes
+            else:
+                if row:
+                    out.append([*row[:4], "".join(texts), *row[5:]])
+                row, texts = list(piece), [text]
+            upto = n
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(batch.schema.names))
+    if row:
+        last = [*row[:4], "".join(texts), *row[5:]]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(last, kinds, strict=True)], list(batch.schema.names))
+
+
 def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (path, line, text, separator, final) with their cells; line 0 begins, and the final one ends, with no white space."""
     for batch in batches:
@@ -175,8 +198,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None)
     """(path, line, cells) of delimited texts of any size, the rows of `parse_delimited`, read in parallel though cells hold line breaks.
 
     Spark reads byte ranges (blocks) of the files and cuts them at line feeds. Each block counts its quotes; the running parity of the
-    counts tells each block whether it starts within a quoted part, and a running sum at which row. A line that is a whole row is
-    split where it is; only the lines of rows with line breaks, which may lie in several blocks, are brought together.
+    counts tells each block whether it starts within a quoted part, and a running sum at which row. Rows are put together within each
+    block; only the pieces of those that lie in several blocks are shuffled.
 
     Defined results: files without a character that is not white space have no rows; bytes that are no UTF-8 are replaced; where a
     quote is never closed the rest of the file is one row, as it is for parse_delimited.
@@ -198,13 +221,18 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None)
     blocks = materialise(blocks.select("path", "block", "inside", (F.col("rows") - lead).alias("rows"), "first", "last", "separator"), "blocks")
 
     lines = pieces.join(blocks, ["path", "block"]).filter((place >= F.col("first")) & (place <= F.col("last")))
-    alone = ((F.col("before") + F.col("inside")) % 2 == 0) & (F.col("quotes") == 0)
-    lines = lines.select("path", (F.col("rows") + begun).alias("line"), "block", "n", "text", "end", "separator", (place == F.col("last")).alias("final"), alone.alias("alone"))
-    whole = lines.filter("alone").select("path", "line", "text", "separator", "final")
+    state = (F.col("before") + F.col("inside")) % 2
+    final = place == F.col("last")
+    flags = [final.alias("final"), (state == 0).alias("starts"), (((state + F.col("quotes")) % 2 == 0) | final).alias("closes")]
+    lines = lines.select("path", (F.col("rows") + begun).alias("line"), "block", "n", "text", "end", "separator", *flags)
+    rows = lines.sortWithinPartitions("path", "block", "n").mapInArrow(_assembled, lines.schema)
+    # Assembled twice, for the whole rows and for the others, rather than written once more.
+    columns = ("path", "line", "text", "separator", "final")
+    whole = rows.filter("starts and closes").select(*columns)
     parts = F.array_sort(F.collect_list(F.struct("block", "n", "text", "end")))
-    several = lines.filter("not alone").groupBy("path", "line").agg(parts.alias("parts"), F.first("separator").alias("separator"), F.max("final").alias("final"))
+    several = rows.filter("not (starts and closes)").groupBy("path", "line").agg(parts.alias("parts"), F.first("separator").alias("separator"), F.max("final").alias("final"))
     joined = F.concat_ws("", F.transform("parts", lambda x, i: F.when(i < F.size("parts") - 1, F.concat(x["text"], x["end"])).otherwise(x["text"])))
-    several = several.select("path", "line", joined.alias("text"), "separator", "final")
+    several = several.withColumn("text", joined).select(*columns)
     return whole.unionByName(several).mapInArrow(_split_rows, "path string, line long, cells array<string>")
 
 
