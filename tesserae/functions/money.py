@@ -40,3 +40,25 @@ def overtime(seconds: Column, end_hour: Column) -> tuple[Column, Column]:
     free = F.coalesce(seconds <= GRACE_SECONDS, F.lit(True)) | end_hour.isNull()
     charged = (F.ceil(minutes / F.lit(float(BLOCK_MINUTES))) * BLOCK_MINUTES).cast("int")
     return F.when(free, 0.0).otherwise(extension_fee(minutes, end_hour)), F.when(free, 0).otherwise(charged)
+
+
+def money_text(x: Column, digits: int = 2) -> Column:
+    """A number with so many decimals and a comma at every three digits; halves of its shortest decimal form go away from zero, null and NaN are 0."""
+    number = F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
+    return F.format_number(F.round(number.cast("decimal(38,12)"), digits), digits)
+
+
+def percent_text(x: Column) -> Column:
+    """A share as per cent with one decimal; halves of the exact binary number go away from zero, null and NaN are 0.
+
+    The fraction is split in two, so that its distance from a half is known exactly.
+    """
+    y = F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x.cast("double")) * 100
+    size = F.abs(y)
+    whole = F.floor(size)
+    part = size - whole
+    high = F.floor(part * F.lit(2.0**27)) / F.lit(2.0**27)
+    tenths = F.floor(part * 10)
+    past = (high * 20 - (tenths * 2 + 1)) + (part - high) * 20 >= 0
+    n = whole * 10 + tenths + past.cast("long")
+    return F.concat(F.when(y < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit("%"))

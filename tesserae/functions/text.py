@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesserae.functions.normal import nfc
+
 
 def clean(text: Column, fallback: str, most: int) -> Column:
     """Trimmed, at most so many code points; the fallback for nothing."""
@@ -65,8 +67,8 @@ UNSAFE = (r"(?i)https?://", rf"(?i)(^|[{SPACES}])[a-z][a-z0-9.+-]*://", rf"(?i)
 
 
 def sanitize(text: Column) -> Column:
-    """Without links, share tokens, signs without width and control characters; white space within a line is one space, lines stay. Unicode forms are left as they are."""
-    out = F.regexp_replace(text, f"(?i)https?://[^{SPACES}{LINK_END}]+", "")
+    """Without links, share tokens, signs without width and control characters; white space within a line is one space, lines stay. The text is composed (NFC) first."""
+    out = F.regexp_replace(nfc(text), f"(?i)https?://[^{SPACES}{LINK_END}]+", "")
     out = F.regexp_replace(out, f"(?i)(^|[{SPACES}])[0-9a-z][0-9a-z.+-]*://[^{SPACES}{LINK_END}]+", " ")
     out = F.regexp_replace(F.regexp_replace(out, SHARE, ""), SHARE_TOKEN, "")
     out = F.regexp_replace(F.regexp_replace(out, "\u00a0", " "), WIDTHLESS, "")

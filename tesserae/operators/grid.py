@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import color
+from tesserae.operators import colour_tree
 
 CELL = ["grid_id", "row", "col"]
 #: The tile sides to choose from, and what a tile larger than the grid costs.
@@ -18,17 +19,52 @@ TILE_SIDES = (52, 78, 104)
 OVERSIZE = 0.12
 
 
+#: Colours of a palette that are sent to the tasks, at most; a larger one is refused.
+MOST_COLOURS = 1 << 16
+
+
 def nearest_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """pixels with the code of the nearest palette colour; of equally near ones the smallest idx.
+    """pixels with the code of the nearest palette colour; of equally near ones the smallest idx, then code.
+
+    Distinct colours look for it in a tree of the palette (r, g, b, idx, code), of up to MOST_COLOURS colours, which each task has
+    in memory. Pixels with a null channel, and all if the palette is empty, have no row.
+    """
+    first = palette.select("idx", "code", *[F.col(c).cast("double").alias(c) for c in "rgb"]).orderBy("idx", "code").limit(MOST_COLOURS + 1).collect()
+    if len(first) > MOST_COLOURS:
+        raise ValueError(f"the palette has more than {MOST_COLOURS} colours")
+    spark = pixels.sparkSession
+    colours = pixels.select("r", "g", "b").filter("r is not null and g is not null and b is not null").distinct()
+    tree = spark.sparkContext.broadcast(colour_tree.build([(x.r, x.g, x.b) for x in first]))
+    kinds = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in "rgb")
+    found = colours.mapInArrow(lambda b: colour_tree.match(b, tree.value), f"{kinds}, place int")
+    named = spark.createDataFrame([(i, x.code, x.idx) for i, x in enumerate(first)], f"place int, code string, idx {palette.schema['idx'].dataType.simpleString()}")
+    return pixels.join(found.join(named, "place").select("r", "g", "b", "code", "idx"), ["r", "g", "b"])
+
+
+#: How pixels become codes.
+MODES = ("dominant", "average", "smooth", "palette", "dither")
+
+
+def rasterise(pixels: DataFrame, palette: DataFrame, mode: str = "dominant", threshold: int = 40, background: DataFrame | None = None) -> DataFrame:
+    """(grid_id, row, col, code) of pixels (grid_id, row, col, r, g, b, a): their nearest colour, after their channels are put on the mode's steps.
 
-    Only distinct colours meet the palette (r, g, b, idx, code), which is a dimension table: Spark broadcasts it
-    where it is small, else it runs a nested loop over both sides' partitions.
+    average keeps channels as they are, smooth has wider steps than dominant and palette, and dither spreads what is lost to
+    neighbours. Transparent cells, and those of `background` (grid_id, row, col), have no code and spread nothing.
     """
-    colours = pixels.select("r", "g", "b").distinct()
-    p = palette.select(*[F.col(c).alias(f"p_{c}") for c in ("r", "g", "b", "idx", "code")])
-    both = colours.join(p, F.lit(True), "inner").select("r", "g", "b", F.struct(color.match_distance(color.rgb(), color.rgb("p_")).alias("d"), "p_idx", "p_code").alias("m"))
-    best = both.groupBy("r", "g", "b").agg(F.min("m").alias("m")).select("r", "g", "b", F.col("m.p_code").alias("code"), F.col("m.p_idx").alias("idx"))
-    return pixels.join(best, ["r", "g", "b"])
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    cells = pixels.select(*CELL, "r", "g", "b", "a")
+    if background is not None:
+        behind = cells.join(background.select(*CELL).distinct().withColumn("behind", F.lit(True)), CELL, "left")
+        cells = behind.withColumn("a", F.when(F.col("behind"), F.lit(0)).otherwise(F.col("a"))).drop("behind")
+    if mode == "dither":
+        from tesserae.operators import imaging
+
+        rows = palette.select("idx", "code", "r", "g", "b").orderBy("idx", "code").limit(MOST_COLOURS).collect()
+        return imaging.dither(cells, [(x.code, x.r, x.g, x.b) for x in rows], threshold)
+    steps = cells.filter("a >= 24").select(*CELL, *[color.snap(F.col(c), threshold, mode).alias(c) for c in "rgb"])
+    empty = cells.filter("a < 24 or a is null").select(*CELL, F.lit(None).cast("string").alias("code"))
+    return nearest_palette(steps, palette).select(*CELL, "code").unionByName(empty)
 
 
 def code_counts(grid: DataFrame, by: Sequence[str] = ("grid_id",)) -> DataFrame:
@@ -254,10 +290,10 @@ def toggled(log: DataFrame) -> DataFrame:
 
 
 def palette_groups(palette: DataFrame) -> DataFrame:
-    """Codes by their leading letters, groups and codes in palette order."""
-    letters = F.regexp_extract("code", "^[A-Za-z]+", 0)
-    groups = palette.groupBy(letters.alias("letters")).agg(F.min("idx").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "code"))).alias("l"))
-    return groups.select("letters", "first", "n", F.array_join(F.transform("l", lambda x: x["code"]), ",").alias("codes"))
+    """(letters, first, n, idx, code): each colour with its group, the codes of equal leading letters; groups are in the order of their first colour."""
+    lettered = palette.select(F.regexp_extract("code", "^[A-Za-z]+", 0).alias("letters"), "idx", "code")
+    groups = lettered.groupBy("letters").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+    return lettered.join(groups, "letters").select("letters", "first", "n", "idx", "code")
 
 
 def brand_codes(palette: DataFrame, mapping: DataFrame, prefix: str) -> DataFrame:

@@ -97,6 +97,13 @@ def buildable(composition: DataFrame, components: DataFrame) -> DataFrame:
     return found.select("product", "buildable", "material_cost", F.array_join(F.transform("r", lambda x: x["t"]), " + ").alias("recipe"))
 
 
+def buildable_by_component(composition: DataFrame, components: DataFrame) -> DataFrame:
+    """(component_id, used, buildable) of all components: how many times its stock suffices for all that the items use of it; null where none do."""
+    used = composition.groupBy("component_id").agg(F.sum(positive(F.col("usage_qty"))).alias("used"))
+    found = components.select("component_id", "stock").join(used, "component_id", "left").withColumn("used", F.coalesce("used", F.lit(0.0)))
+    return found.select("component_id", "used", F.when(F.col("used") > 0, F.floor(positive(F.col("stock")) / F.col("used")).cast("long")).alias("buildable"))
+
+
 def valid_items(composition: DataFrame, components: DataFrame) -> DataFrame:
     return composition.join(components, "component_id", "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import clock, money
+from tesserae.operators.pieces import ranked
 
 #: Fixed values: (type, mode, fixed hour, minutes, weekdays only, base fee) of each preset; DEFAULT is the row for unknown types.
 PRESETS = [
@@ -109,8 +110,12 @@ def live_class(end: Column, now: Column, paused: Column) -> Column:
 
 
 def by_class(timers: DataFrame) -> DataFrame:
-    """Timers (table_id, class): how many, and which, in each class."""
-    return timers.groupBy("class").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("table_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    """Timers (table_id, class) with their rank by id in their class."""
+    return ranked(timers.select("class", "table_id"), ["class"], ["table_id"])
+
+
+def class_counts(timers: DataFrame) -> DataFrame:
+    return timers.groupBy("class").agg(F.count("*").alias("n"))
 
 
 def crossings(readings: DataFrame, bound: int = URGENT * 60) -> DataFrame:
@@ -139,9 +144,20 @@ MOVE_NOTE, NOTE_SEPARATOR, NOTE_MOST = "由 %s 换至 %s", "；", 80
 
 
 def move_targets(desks: DataFrame) -> DataFrame:
-    """(source, target): each desk in use with the empty desks of its house that it can move to. Desks are (house, id, status)."""
-    used = desks.filter("status <> 'empty'").select("house", F.col("id").alias("source"))
-    return used.join(desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), "house")
+    """(house, id, side, targets) of desks (house, id, status): each one in use is a `source`, each empty one a `target` of all sources of its house.
+
+    `targets` is how many desks a source can move to. Rows stand for the classes that sources and targets form, not for their pairs.
+    """
+    side = F.when(F.col("status") == "empty", "target").otherwise("source")
+    free = desks.groupBy("house").agg(F.count_if(F.col("status") == "empty").alias("free"))
+    both = desks.select("house", "id", side.alias("side")).alias("d").join(free.alias("f"), F.col("d.house").eqNullSafe(F.col("f.house")))
+    return both.select("d.house", "id", "side", F.when(F.col("side") == "source", F.col("free")).alias("targets"))
+
+
+def targets_of(desks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, target): the empty desks that each of some desks in use (a column id) can move to, of its house."""
+    used = desks.filter("status <> 'empty'").join(sources.select("id").distinct(), "id").select("house", F.col("id").alias("source"))
+    return used.join(desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), "house").select("source", "target")
 
 
 def move(desks: DataFrame, moves: DataFrame, empty: Mapping[str, object]) -> DataFrame:

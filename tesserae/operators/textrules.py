@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.operators import pieces
 from tesserae.session import materialise
 
 #: Code points of an acceptable text, topics it must touch, exclamation marks it may have, and how many texts back are compared.
@@ -108,11 +109,7 @@ def _first_reason(plain: Column, project: Column, keywords: Column, rules: Rules
     return out.when(F.lit(False) if similar is None else similar, "similar").otherwise("")
 
 
-#: Rows of a piece of a history, about; the pieces are what tasks are made of.
-PIECE = 20_000
-
-
-def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rules: Rules, piece: int = PIECE) -> DataFrame:
+def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rules: Rules, piece: int = pieces.PIECE) -> DataFrame:
     """texts (text, ...) with `similar`: empty, equal to one of the RECENT before it, or sharing SHARED_WORDS signature words with one.
 
     A history (the rows of one `by`) of any length is spread over tasks: rows are dealt out by ranges of (by, order), and each range
@@ -122,11 +119,9 @@ def near_repeats(texts: DataFrame, by: Sequence[str], order: Sequence[str], rule
     keys = [*by, *order]
     rows = texts.select(F.struct("*").alias("row"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.trim("text").alias("bare"))
     signs = F.filter(F.array(*[F.when(F.contains("bare", F.lit(w)), F.lit(w)) for w in rules.signature]), lambda x: x.isNotNull())
-    rows = materialise(rows.select("row", *[f"k{i}" for i in range(len(keys))], F.sha2("bare", 256).alias("hash"), signs.alias("signs"), (F.coalesce("bare", F.lit("")) == "").alias("blank"), F.monotonically_increasing_id().alias("tie")), "texts")
+    rows = rows.select("row", *[f"k{i}" for i in range(len(keys))], F.sha2("bare", 256).alias("hash"), signs.alias("signs"), (F.coalesce("bare", F.lit("")) == "").alias("blank"))
     group, at = [f"k{i}" for i in range(len(by))], [f"k{i}" for i in range(len(by), len(keys))]
-    pieces = max(1, -(-rows.count() // piece))
-    dealt = rows.repartitionByRange(pieces, *group, *at, "tie").withColumn("piece", F.spark_partition_id())
-    dealt = materialise(dealt, "pieces")
+    dealt = pieces.dealt(rows, [*group, *at], piece)
     # Of a history that goes on in later pieces, those that begin within RECENT rows after a piece: as few rows as there are pieces, about.
     spans = dealt.groupBy("piece", *group).agg(F.count("*").alias("n"))
     later = Window.partitionBy(*group).orderBy("piece").rowsBetween(1, RECENT)

@@ -55,6 +55,19 @@ def price_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *[money.round_price(x, r).alias(r) for r in ("whole", "half", "five", "nine", "ninetynine")])
 
 
+@query("""WITH x AS (SELECT event_id, (value - 40) * event_id AS v, value / 7.77 - 3 AS s FROM events)
+    SELECT event_id, CASE WHEN v < 0 AND round(v, 2) <> 0 THEN '-' ELSE '' END || printf('{:,}', CAST(floor(round(abs(CAST(v AS DECIMAL(30,12))), 2)) AS BIGINT)) || '.' || lpad(CAST(CAST(round(abs(CAST(v AS DECIMAL(30,12))), 2) * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0') AS money, printf('%.1f%%', s * 100) AS share FROM x""".replace("printf('{:,}',", "format('{:,}',"))
+def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, share = (F.col("value") - 40) * F.col("event_id"), F.col("value") / 7.77 - 3
+    return table(spark, sf_dir, "events").select("event_id", money.money_text(v).alias("money"), money.percent_text(share).alias("share"))
+
+
+@query("""SELECT p_partkey AS component_id, coalesce(used, 0) AS used, CASE WHEN used > 0 THEN CAST(floor(greatest(p_size * 10, 0) / used) AS BIGINT) END AS buildable FROM part LEFT JOIN (SELECT l_partkey, sum(greatest(floor(l_quantity) % 4, 0)) AS used FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+def component_buildable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stock = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("component_id"), (F.col("p_size") * 10).cast("double").alias("stock"))
+    return P.buildable_by_component(_composition(spark, sf_dir), stock)
+
+
 def _composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("product"), F.col("l_partkey").alias("component_id"), (F.floor("l_quantity") % 4).cast("double").alias("usage_qty"))
 
@@ -220,11 +233,23 @@ def daily_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_ledger(_closed(spark, sf_dir).select(F.to_date("closed_at").alias("date"), "desk", "total_fee"))
 
 
-@query(f"""WITH t AS (SELECT user_id AS table_id, max(ts) + INTERVAL 1 HOUR AS "end", max(event_id) % 9 = 0 AS paused FROM events GROUP BY 1), c AS (SELECT table_id, CASE WHEN paused THEN 'paused' WHEN left_s <= 0 THEN 'overtime' WHEN left_s <= 600 THEN 'warning' ELSE 'running' END AS class FROM (SELECT *, date_diff('second', TIMESTAMP '{NOW}', "end") AS left_s FROM t))
-    SELECT class, count(*) AS n, string_agg(CAST(table_id AS VARCHAR), ',' ORDER BY table_id) AS ids FROM c GROUP BY 1""")
+_LIVE = f"""t AS (SELECT event_id AS table_id, ts + INTERVAL 1 HOUR AS "end", event_id % 9 = 0 AS paused FROM events), c AS (SELECT table_id, CASE WHEN paused THEN 'paused' WHEN left_s <= 0 THEN 'overtime' WHEN left_s <= 600 THEN 'warning' ELSE 'running' END AS class FROM (SELECT *, date_diff('second', TIMESTAMP '{NOW}', "end") AS left_s FROM t))"""
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timer for each event."""
+    t = table(spark, sf_dir, "events").select(F.col("event_id").alias("table_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("end"), (F.col("event_id") % 9 == 0).alias("paused"))
+    return t.select("table_id", S.live_class(F.col("end"), _now(), F.col("paused")).alias("class"))
+
+
+@query(f"WITH {_LIVE} SELECT class, table_id, row_number() OVER (PARTITION BY class ORDER BY table_id) AS rank FROM c")
 def live_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("table_id")).agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("end"), (F.max("event_id") % 9 == 0).alias("paused"))
-    return S.by_class(t.select("table_id", S.live_class(F.col("end"), _now(), F.col("paused")).alias("class")))
+    return S.by_class(_live(spark, sf_dir))
+
+
+@query(f"WITH {_LIVE} SELECT class, count(*) AS n FROM c GROUP BY 1")
+def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.class_counts(_live(spark, sf_dir))
 
 
 _READ = """d AS (SELECT user_id AS table_id, ts, date_trunc('day', ts)::TIMESTAMP + INTERVAL 20 HOUR AS "end" FROM events), l AS (SELECT *, CAST(trunc(date_diff('microsecond', ts, "end") / 1000000.0) AS BIGINT) AS "left" FROM d)"""
@@ -272,9 +297,9 @@ def _desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_HOUSE} SELECT a.id AS source, b.id AS target FROM d a JOIN d b ON a.house = b.house AND a.status <> 'empty' AND b.status = 'empty'")
+@query(f"WITH {_HOUSE} SELECT house, id, CASE WHEN status = 'empty' THEN 'target' ELSE 'source' END AS side, CASE WHEN status <> 'empty' THEN count(*) FILTER (status = 'empty') OVER (PARTITION BY house) END AS targets FROM d")
 def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.move_targets(_desks(spark, sf_dir)).select("source", "target")
+    return S.move_targets(_desks(spark, sf_dir))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,22 @@ def palette_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.code_counts(G.nearest_palette(pixels(spark, sf_dir), palette(spark)))
 
 
+_STEPS = "CASE mode WHEN 'average' THEN CAST({0} AS BIGINT) WHEN 'smooth' THEN CAST(floor({0} / 13.0 + 0.5) * 13 AS BIGINT) ELSE CAST(floor({0} / 8.0 + 0.5) * 8 AS BIGINT) END AS {0}"
+
+
+@query(
+    f"""WITH o AS (SELECT *, 'row' || CAST("row" % 9 AS VARCHAR) AS part FROM ({PIXELS_SQL})), t AS (SELECT grid_id, "row", col, mode, CASE WHEN "row" % 9 = 4 THEN 0 ELSE a END AS a, {", ".join(_STEPS.format(c) for c in "rgb")} FROM o, (VALUES ('dominant'), ('average'), ('smooth'), ('palette')) m(mode)),
+    """
+    + _MATCH[_MATCH.index("WITH px AS") + 5 :].replace(f"px AS ({PIXELS_SQL})", "px AS (SELECT * FROM t WHERE a >= 24)")
+    + """ SELECT mode, t.grid_id, t."row", t.col, m.code FROM t LEFT JOIN m ON t.r = m.r AND t.g = m.g AND t.b = m.b AND t.a >= 24"""
+)
+def raster_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels in each mode but dithering; every ninth row is background."""
+    px = pixels(spark, sf_dir)
+    made = [G.rasterise(px, palette(spark), mode, 40, px.filter("row % 9 = 4")).select(F.lit(mode).alias("mode"), *G.CELL, "code") for mode in G.MODES if mode != "dither"]
+    return reduce(DataFrame.unionByName, made)
+
+
 @query(
     f"""WITH px AS ({PIXELS_SQL}) SELECT grid_id, "row", col, CASE WHEN a >= 24 THEN CAST(floor(r / 8.0 + 0.5) * 8 AS INTEGER) END AS r, floor(g / 13.0 + 0.5) * 13 AS g,
     sqrt(CAST((r - 200) * (r - 200) + (g - 100) * (g - 100) + (b - 50) * (b - 50) AS DOUBLE)) AS far, (r + g + b) / 3.0::DOUBLE AS brightness, greatest(r, g, b) - least(r, g, b) AS chroma,
@@ -235,9 +253,13 @@ def toggled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.toggled(log)
 
 
-@query(f"""SELECT substr(code, 1, 1) AS letters, min(idx) AS first, count(*) AS n, string_agg(code, ',' ORDER BY idx) AS codes FROM ({PALETTE_SQL}) GROUP BY 1""")
+@query("""WITH p AS (SELECT p_partkey AS idx, left(p_type, 1 + p_size % 2) || p_partkey AS code, left(p_type, 1 + p_size % 2) AS letters FROM part) SELECT letters, min(idx) OVER w AS first, count(*) OVER w AS n, idx, code FROM p WINDOW w AS (PARTITION BY letters)""")
 def palette_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.palette_groups(palette(spark))
+    """The parts as colours: codes are letters of the type, and the key."""
+    from tesserae.plans.derived import table
+
+    code = F.concat(F.expr("left(p_type, 1 + p_size % 2)"), F.col("p_partkey").cast("string"))
+    return G.palette_groups(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), code.alias("code")))
 
 
 @query(f"""SELECT idx, code, CASE WHEN idx < 25 THEN 'N' || n_nationkey ELSE 'X' || lpad(CAST(idx + 1 AS VARCHAR), 3, '0') END AS brand_code FROM ({PALETTE_SQL}) LEFT JOIN nation ON idx = n_nationkey""")
@@ -299,6 +321,20 @@ def grid_text_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.from_text(grid_text(spark, sf_dir))
 
 
+@query(
+    f"""WITH px AS ({PIXELS_SQL}), c AS (SELECT grid_id, y, x, 2.5::DOUBLE * y AS y0, 1.6666666666666667::DOUBLE * x + 8.333333333333334::DOUBLE AS x0 FROM (SELECT DISTINCT grid_id FROM px), range(20) a(y), range(20) b(x)),
+    w AS (SELECT c.grid_id, y, x, r, g, b, greatest(0, least(px."row" + 1, y0 + 2.5::DOUBLE) - greatest(px."row", y0)) * greatest(0, least(px.col + 1, x0 + 1.6666666666666667::DOUBLE) - greatest(px.col, x0)) * a AS weight
+        FROM c LEFT JOIN px ON c.grid_id = px.grid_id AND px."row" BETWEEN floor(y0) AND ceil(y0 + 2.5::DOUBLE) AND px.col BETWEEN floor(x0) AND ceil(x0 + 1.67::DOUBLE)),
+    s AS (SELECT grid_id, y AS "row", x AS col, coalesce(sum(weight), 0) AS weight, sum(weight * r) AS r, sum(weight * g) AS g, sum(weight * b) AS b FROM w GROUP BY ALL)
+    SELECT grid_id, "row", col, CASE WHEN weight > 0 THEN CAST(floor(r / weight + 0.500000001::DOUBLE) AS INTEGER) ELSE 0 END AS r, CASE WHEN weight > 0 THEN CAST(floor(g / weight + 0.500000001::DOUBLE) AS INTEGER) ELSE 0 END AS g,
+        CASE WHEN weight > 0 THEN CAST(floor(b / weight + 0.500000001::DOUBLE) AS INTEGER) ELSE 0 END AS b, CAST(floor(weight / (2.5::DOUBLE * 1.6666666666666667::DOUBLE) + 0.500000001::DOUBLE) AS INTEGER) AS a FROM s"""
+)
+def resampled_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources import boards
+
+    return boards.resample_area(pixels(spark, sf_dir), boards.crop_window(50, 50, 20, 30)[:1] + (0.0, 33.333333333333336, 50.0), 20, 20)
+
+
 @query(f"""SELECT g.grid_id, y AS "row", x AS col, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b, coalesce(p.a, 0) AS a FROM (SELECT DISTINCT grid_id FROM ({PIXELS_SQL})) g, range(30) a(y), range(20) b(x)
     LEFT JOIN ({PIXELS_SQL}) p ON p.grid_id = g.grid_id AND p."row" = floor((y + 0.5) * (50 / 30.0::DOUBLE)) AND p.col = floor(8.333333333333332::DOUBLE + (x + 0.5) * (33.333333333333336::DOUBLE / 20))""")
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,12 +106,12 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_NOISY = "CASE page_id % 5 WHEN 0 THEN ' see ftp://x.y/z。' || html WHEN 1 THEN '复制所有描述#*ABC123x*#5@ ' || html WHEN 2 THEN '\u00a0\u200ba\u202e\tb\x07\n' || html || '#*zz99zz*#1' WHEN 3 THEN '  ' ELSE regexp_replace(html, '[@:]', '', 'g') END"
+_NOISY = "CASE page_id % 5 WHEN 0 THEN ' see ftp://x.y/z。' || html WHEN 1 THEN '复制所有描述#*ABC123x*#5@ ' || html WHEN 2 THEN '\u00a0\u200ba\u202e\tb\x07\n' || html || '#*zz99zz*#1' WHEN 3 THEN '  é각q̣̇ ' || replace(html, 'e', 'ë') ELSE regexp_replace(html, '[@:]', '', 'g') END"
 _LINK = """"''<>，。！？、；：）)】\\]"""
 
 
 @query(
-    f"""WITH n AS (SELECT page_id, {_NOISY} AS t FROM pages), a AS (SELECT page_id, t, regexp_replace(regexp_replace(t, 'https?://[^{_S}{_LINK}]+', '', 'gi'), '(^|[{_S}])[0-9a-z][0-9a-z.+-]*://[^{_S}{_LINK}]+', ' ', 'gi') AS x FROM n),
+    f"""WITH n AS (SELECT page_id, {_NOISY} AS t FROM pages), a AS (SELECT page_id, t, regexp_replace(regexp_replace(nfc_normalize(t), 'https?://[^{_S}{_LINK}]+', '', 'gi'), '(^|[{_S}])[0-9a-z][0-9a-z.+-]*://[^{_S}{_LINK}]+', ' ', 'gi') AS x FROM n),
     b AS (SELECT page_id, t, replace(regexp_replace(regexp_replace(x, '复制所有描述#\\*[a-z0-9]{{6,}}\\*#[0-9]?@?', '', 'gi'), '#\\*[a-z0-9]{{6,}}\\*#[0-9]?@?', '', 'gi'), chr(160), ' ') AS x FROM a),
     c AS (SELECT page_id, t, regexp_replace(regexp_replace(x, '[\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g'), '[{_S.replace(chr(92) + "n", "").replace(chr(92) + "r", "")}]+', ' ', 'g') AS x FROM b)
     SELECT page_id, {_trimmed("regexp_replace(x, '[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0B" + chr(92) + "x0C" + chr(92) + "x0E-" + chr(92) + "x1F" + chr(92) + "x7F]', '', 'g')")} AS clean,

@@ -76,15 +76,16 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def crop_window(width: int, height: int, to_width: int, to_height: int, mode: str = "cover", zoom: float = 1.0, x: float = 0.0, y: float = 0.0) -> tuple[float, float, float, float]:
     """(left, top, width, height) in the source that fills the target: cover cuts, contain pads, stretch distorts; zoom 1 to 3, offsets -1 to 1."""
-    if mode == "stretch":
-        w, h = float(width), float(height)
-    else:
-        fit = (max if mode == "cover" else min)(to_width / width, to_height / height)
+    z, x, y = min(3.0, max(1.0, zoom)), min(1.0, max(-1.0, x)), min(1.0, max(-1.0, y))
+    if mode == "stretch":  # neither zoom nor offset
+        return 0.0, 0.0, float(width), float(height)
+    if mode == "contain":  # an offset moves the picture within the target, as far as there is room
+        fit = min(to_width / width, to_height / height) * z
         w, h = to_width / fit, to_height / fit
-    z = min(3.0, max(1.0, zoom))
-    w, h = w / z, h / z
-    spare_x, spare_y = abs(width - w) / 2, abs(height - h) / 2
-    return (width - w) / 2 + min(1.0, max(-1.0, x)) * spare_x, (height - h) / 2 + min(1.0, max(-1.0, y)) * spare_y, w, h
+        return (width - w) / 2 - x * max(0.0, w - width) / 2, (height - h) / 2 - y * max(0.0, h - height) / 2, w, h
+    fit = max(to_width / width, to_height / height) * z
+    w, h = to_width / fit, to_height / fit
+    return (width - w) * (1 + x) / 2, (height - h) * (1 + y) / 2, w, h
 
 
 def resample(pixels: DataFrame, window: tuple[float, float, float, float], to_width: int, to_height: int) -> DataFrame:
@@ -98,6 +99,34 @@ def resample(pixels: DataFrame, window: tuple[float, float, float, float], to_wi
     return found.select("grid_id", F.col("y").alias("row"), F.col("x").alias("col"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("r", "g", "b", "a")])
 
 
+def resample_area(pixels: DataFrame, window: tuple[float, float, float, float], to_width: int, to_height: int) -> DataFrame:
+    """Box averages of (grid_id, row, col, r, g, b, a) on a new raster: a cell is the mean of what it covers of each pixel.
+
+    Channels are weighted by area and alpha, alpha by area alone, so what lies outside the source counts as transparent; halves go up.
+    Each pixel adds to the cells that it meets, with partial sums in its task, so rasters of any size are spread over tasks.
+    """
+    left, top, w, h = window
+    sx, sy = w / to_width, h / to_height
+
+    def met(at: Column, origin: float, size: float, n: int) -> Column:
+        """(cell, length) of the cells that a pixel's interval [at, at + 1) meets along one axis."""
+        first = F.greatest(F.floor((at - F.lit(origin)) / F.lit(size)), F.lit(0))
+        last = F.least(F.ceil((at + 1 - F.lit(origin)) / F.lit(size)) - 1, F.lit(n - 1))
+        cells = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        length = lambda i: F.least(at + 1.0, F.lit(origin) + (i + 1) * F.lit(size)) - F.greatest(at + 0.0, F.lit(origin) + i * F.lit(size))
+        return F.filter(F.transform(cells, lambda i: F.struct(i.cast("int").alias("cell"), length(i).alias("length"))), lambda x: x["length"] > 0)
+
+    parts = pixels.select("grid_id", "r", "g", "b", "a", F.explode(met(F.col("row"), top, sy, to_height)).alias("y"), "col").select("*", F.explode(met(F.col("col"), left, sx, to_width)).alias("x"))
+    area = F.col("x.length") * F.col("y.length")
+    weight = area * F.col("a")
+    sums = parts.groupBy("grid_id", F.col("y.cell").alias("row"), F.col("x.cell").alias("col")).agg(F.sum(weight).alias("weight"), *[F.sum(weight * F.col(c)).alias(c) for c in "rgb"])
+    ids = pixels.select("grid_id").distinct()
+    cells = ids.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))).alias("col"))
+    whole = lambda v: F.floor(v + F.lit(0.5 + 1e-9)).cast("int")  # noqa: E731  sums differ in their last bits with their order
+    found = cells.join(sums, ["grid_id", "row", "col"], "left")
+    return found.select("grid_id", "row", "col", *[F.when(F.col("weight") > 0, whole(F.col(c) / F.col("weight"))).otherwise(0).alias(c) for c in "rgb"], whole(F.coalesce("weight", F.lit(0.0)) / F.lit(sx * sy)).alias("a"))
+
+
 def grid_height(width: Column, source_width: Column, source_height: Column) -> Column:
     """The height that keeps the source's proportions, 10 to 1000."""
     return F.greatest(F.lit(10), F.least(F.lit(1000), F.floor(width * source_height / source_width + 0.5))).cast("int")

@@ -6,12 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.operators import colour_tree
 from tesserae.operators import grid as G
 from tesserae.operators import imaging as I
 from tesserae.operators import orders as O
 from tesserae.operators import pricing as P
 from tesserae.operators import segment as S
+from tesserae.operators import sessions
 from tesserae.operators import textrules as R
+from tesserae.operators.pieces import ranked
 from tesserae.session import materialise
 
 CELLS = "grid_id int, row int, col int, code string"
@@ -127,6 +130,95 @@ def test_representatives():
     assert len(I.representatives(rgb, count, 100)) == 60 and len(I.representatives(np.zeros((5, 3)), count[:5], 3)) == 3
 
 
+def _dithered_by_pixels(rgb, use, palette, threshold):
+    """Pixel by pixel, row by row."""
+    h, w, _ = rgb.shape
+    buf, out = rgb.astype(np.float32), np.full((h, w), -1)
+    p = np.array([c[1:] for c in palette], np.float64)
+    step = max(1, int(threshold / 5 + 0.5)) if threshold > 0 else 0
+    for y in range(h):
+        for x in range(w):
+            if not use[y, x]:
+                continue
+            value = np.clip(buf[y, x].astype(np.float64), 0, 255)
+            if step:
+                value = np.floor(value / step + 0.5) * step
+            k = out[y, x] = int(I.match_distances(value[None, :], p)[0].argmin())
+            for dy, dx, part in ((0, 1, 7), (1, -1, 3), (1, 0, 5), (1, 1, 1)):
+                if y + dy < h and 0 <= x + dx < w:
+                    buf[y + dy, x + dx] = (buf[y + dy, x + dx].astype(np.float64) + (value - p[k]) * part / 16).astype(np.float32)
+    return out
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (9, 1), (2, 2), (7, 3), (3, 7), (40, 33), (25, 60)])
+@pytest.mark.parametrize("threshold", [0, 40])
+def test_diagonals_give_what_pixels_give(shape, threshold):
+    rng = np.random.default_rng(shape[0] * 100 + shape[1])
+    rgb, use = rng.integers(0, 256, (*shape, 3)).astype(float), rng.random(shape) < 0.85
+    colours = [("c", *map(int, rng.integers(0, 256, 3))) for _ in range(30)]
+    assert (I.dither_image(rgb, use, colours, threshold) == _dithered_by_pixels(rgb, use, colours, threshold)).all()
+
+
+def test_rasters_take_any_ids_and_refuse_large_ones(spark):
+    from tesserae.plans.derived import palette
+
+    px = spark.range(60).select(F.concat(F.lit("image "), F.col("id") % 2).alias("grid_id"), F.floor(F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"), *[(F.col("id") * k % 256).cast("int").alias(c) for k, c in ((7, "r"), (13, "g"), (29, "b"))], F.lit(255).alias("a"))
+    made = I.dither(px, [c for c in PALETTE])
+    assert {r.grid_id for r in made.collect()} == {"image 0", "image 1"} == {r.grid_id for r in I.direct_colours(px).collect()}
+    assert {r.grid_id for r in I.limit_colours(G.nearest_palette(px, palette(spark)).select(*G.CELL, "code"), palette(spark), 3).collect()} == {"image 0", "image 1"}
+    with pytest.raises(Exception, match="beyond 1000 x 1000"):
+        I.dither(px.withColumn("col", F.col("col") + 995), [c for c in PALETTE]).collect()
+
+
+def _leaders_by_loop(colours, tolerance, least):
+    """Each colour is held against the means of all clusters."""
+    sums, sizes, owner = [], [], []
+    for c in colours:
+        near = [k for k in range(len(sizes)) if ((sums[k] / sizes[k] - c) ** 2).sum() <= tolerance * tolerance]
+        if not near:
+            sums.append(np.zeros(3))
+            sizes.append(0.0)
+            near = [len(sizes) - 1]
+        sums[near[0]] = sums[near[0]] + c
+        sizes[near[0]] += 1
+        owner.append(near[0])
+    good = [n >= least for n in sizes]
+    if sizes and not any(good):
+        good[int(np.argmax(sizes))] = True
+    return [k if good[k] else -1 for k in owner]
+
+
+@pytest.mark.parametrize("tolerance", [5.0, 38.0, 120.0])
+def test_leaders_in_cells_are_those_of_the_loop(tolerance):
+    rng = np.random.default_rng(int(tolerance))
+    for kind in range(4):
+        c = rng.integers(0, 256, (1500, 3)).astype(float) if kind % 2 else np.clip(rng.normal(rng.integers(0, 256, (12, 3))[rng.integers(0, 12, 1500)], 20), 0, 255).round()
+        if kind > 1:
+            c = c // 19 * 19  # many at the tolerance exactly
+        assert I.leaders(c, tolerance, 3).tolist() == _leaders_by_loop(c, tolerance, 3)
+
+
+@pytest.mark.parametrize("size", [3, 50, 10_000])
+def test_ranks_over_pieces(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice([None, "a", *["hot"] * 8]), rng.choice([None, *range(20)]), i) for i in range(300)]
+    got = ranked(spark.createDataFrame(rows, "g string, k int, tie int").repartition(5), ["g"], ["k"], size).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.rank, r.k))
+    assert sorted((r.g or "", r.k or -1, r.tie) for r in got) == sorted((g or "", k or -1, i) for g, k, i in rows)
+    for found in by.values():
+        found.sort()
+        keys = [-1 if k is None else k for _, k in found]
+        assert [r for r, _ in found] == list(range(1, len(found) + 1)) and keys == sorted(keys)
+
+
+def test_move_targets(spark):
+    desks = spark.createDataFrame([(1, 1, "empty"), (1, 2, "normal"), (1, 3, "empty"), (2, 4, "normal"), (None, 5, "urgent"), (None, 6, "empty")], "house int, id int, status string")
+    assert {r.id: (r.side, r.targets) for r in sessions.move_targets(desks).collect()} == {1: ("target", None), 2: ("source", 2), 3: ("target", None), 4: ("source", 0), 5: ("source", 1), 6: ("target", None)}
+    assert sorted(map(tuple, sessions.targets_of(desks, spark.createDataFrame([(2,), (4,), (1,)], "id int")).collect())) == [(2, 1), (2, 3)]
+
+
 def test_leaders():
     c = np.array([[0, 0, 0], [30, 0, 0], [60, 0, 0], [200, 0, 0], [0, 0, 0]], float)
     assert I.leaders(c, 38, 1).tolist() == [0, 0, 1, 2, 0]  # 60 is 45 from the running mean 15
@@ -242,6 +334,49 @@ def test_limit_keeps_the_limit(spark):
     assert I.limit_colours(g, palette(spark), 6).select("code").distinct().count() <= 6
 
 
+@pytest.mark.parametrize("size", [1, 7, 48, 300])
+def test_the_colour_tree_finds_what_all_colours_give(size):
+    rng = np.random.default_rng(size)
+    p = rng.integers(0, 256, (size, 3)).astype(float) // (64 if size == 300 else 1)  # many equal ones
+    p[-1] = p[0]
+    c = np.concatenate([rng.integers(-20, 280, (3000, 3)), rng.integers(100, 140, (1000, 3)), p]).astype(float)
+    assert (colour_tree.nearest(colour_tree.build(p), c) == I.match_distances(c, p).argmin(axis=1)).all()
+
+
+def test_the_tree_measures_as_the_columns_do(spark):
+    rng = np.random.default_rng(3)
+    rows = [tuple(map(int, rng.integers(0, 256, 6))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "r int, g int, b int, p_r int, p_g int, p_b int")
+    from tesserae.functions import color
+
+    got = {tuple(x)[:6]: x.d for x in df.withColumn("d", color.match_distance(color.rgb(), color.rgb("p_"))).collect()}
+    assert all(got[x] == float(colour_tree.distances(np.array(x[:3], float), np.array(x[3:], float))) for x in rows)
+
+
+def test_modes(spark):
+    from tesserae.plans.derived import palette
+
+    rng = np.random.default_rng(6)
+    rows = [(f"g{k}", r, c, *map(int, rng.integers(0, 256, 3)), int(rng.integers(0, 60))) for k in range(2) for r in range(8) for c in range(9)]
+    px = spark.createDataFrame(rows, "grid_id string, row int, col int, r int, g int, b int, a int")
+    behind = px.filter("row = 3")
+    colours = [(x.code, x.r, x.g, x.b) for x in palette(spark).orderBy("idx").collect()]
+    got = {tuple(x)[:3]: x.code for x in G.rasterise(px, palette(spark), "dither", 40, behind).collect()}
+    for k in range(2):
+        rgb, use = np.zeros((8, 9, 3)), np.zeros((8, 9), bool)
+        for g, r, c, *v, a in rows:
+            if g == f"g{k}":
+                rgb[r, c], use[r, c] = v, a >= 24 and r != 3
+        want = _dithered_by_pixels(rgb, use, colours, 40)
+        assert all(got[f"g{k}", r, c] == (colours[want[r, c]][0] if want[r, c] >= 0 else None) for r in range(8) for c in range(9))
+    plain = {tuple(x)[:3]: x.code for x in G.rasterise(px, palette(spark), "average").collect()}
+    p = np.array([c[1:] for c in colours], float)
+    assert plain == {(g, r, c): colours[int(I.match_distances(np.array([v], float), p)[0].argmin())][0] if a >= 24 else None for g, r, c, *v, a in rows}
+    with pytest.raises(ValueError, match="mode"):
+        G.rasterise(px, palette(spark), "other")
+    assert "NestedLoop" not in G.nearest_palette(px, palette(spark))._jdf.queryExecution().toString()
+
+
 def test_equal_colours_take_the_first(spark):
     p = spark.createDataFrame([(1, 9, 9, 9, "B"), (0, 9, 9, 9, "Z"), (2, 200, 200, 200, "C")], "idx int, r int, g int, b int, code string")
     px = spark.createDataFrame([(0, 0, 0, 10, 10, 10)], "grid_id int, row int, col int, r int, g int, b int")

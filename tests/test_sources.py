@@ -4,10 +4,12 @@ import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tesserae.sources import boards, sheets
+from tesserae.sources import boards, order_store, sheets
 
 
 def test_delimited():
@@ -136,7 +138,7 @@ def test_images(spark, tmp_path):
 def test_crop_windows():
     assert boards.crop_window(100, 50, 10, 10) == (25.0, 0.0, 50.0, 50.0)
     assert boards.crop_window(100, 50, 10, 10, "contain") == (0.0, -25.0, 100.0, 100.0)
-    assert boards.crop_window(100, 50, 10, 10, "stretch", 2.0) == (25.0, 12.5, 50.0, 25.0)
+    assert boards.crop_window(100, 50, 10, 10, "stretch", 2.0) == (0.0, 0.0, 100.0, 50.0)
     assert boards.crop_window(100, 50, 10, 10, x=1.0)[0] == 50.0
     assert boards.page_capacity(10) == (73, 106)
 
@@ -147,3 +149,114 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = materialise(spark.range(5).select(F.col("id").alias("x")), "t")
     assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
+
+
+def _orders(spark, rows):
+    return spark.createDataFrame(rows, "orderNo string, submittedAt string, contact string, note string, files array<struct<originalName:string,fileName:string,key:string,size:bigint,contentType:string,content:binary>>")
+
+
+def _order(i, name="a.png", content=b"\x89PNG\r\n\x1a\n...", at="2024-01-10T17:30:00Z"):
+    return (f"PB-0101-{i:05}", at, f"c{i}", None, [(name, "file-1.png", "k", len(content), "image/png", content), (name, "file-2.png", "k", len(content), "image/png", content + bytes([i % 256]))])
+
+
+def test_orders_are_stored_whole(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [_order(i) for i in range(30)] + [_order(3)] + [_order(40, content=b"no picture"), _order(41, at="2024-01-11T15:59:59Z")]
+    bad = order_store.write(_orders(spark, rows).repartition(4), path).collect()
+    assert [(r.orderNo, r.fault) for r in bad] == [("PB-0101-00040", "content")]
+    got = {r.orderNo: r for r in order_store.read(spark, path).collect()}
+    assert len(got) == 31 and order_store.read(spark, path).count() == 31 and not list(tmp_path.glob("store/_orders-*"))
+    assert str(got["PB-0101-00003"].date) == "2024-01-11" == str(got["PB-0101-00041"].date)
+    for r in got.values():
+        assert [open(f.file_path, "rb").read() for f in r.files] == [bytes(f[5]) for f in next(x for x in rows if x[0] == r.orderNo)[4]]
+    order_store.write(_orders(spark, rows), path)  # again: nothing new
+    assert order_store.read(spark, path).count() == 31
+
+
+def test_a_failed_job_leaves_no_order(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(Exception, match="late failure"):
+        df = _orders(spark, [_order(i) for i in range(20)]).coalesce(1)
+        failing = F.when(F.col("orderNo") == "PB-0101-00019", F.raise_error(F.lit("late failure"))).otherwise(F.col("contact"))
+        order_store.write(df.withColumn("contact", failing.cast("string")), path)
+    assert not list(tmp_path.glob("store/date=*")) and not list(tmp_path.glob("store/_orders-*"))
+
+
+def test_a_task_that_is_killed_or_runs_twice(tmp_path):
+    """The writer by hand: one attempt dies halfway, one finishes but is not the one that counts, one counts."""
+    path = str(tmp_path / "store")
+    rows = [Row(orderNo=f"PB-0101-{i:05}", submittedAt="x", contact=None, note=None, date="2024-01-10", files=[Row(originalName="a", fileName="file-1.png", key="k", size=1, contentType="", content=bytes([i]))]) for i in range(5)]
+    writer = order_store._Writer(path)
+
+    def dies():
+        yield from rows[:3]
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    writer.write(iter(rows))
+    counts = writer.write(iter(rows))
+    assert not list(tmp_path.glob("store/date=*"))
+    writer.commit([counts, None])
+    lines = [x for f in tmp_path.glob("store/date=2024-01-10/*.json") for x in f.read_text().splitlines()]
+    assert len(lines) == 5 and not list(tmp_path.glob("store/_orders-*"))
+    assert [(tmp_path / f"store/files/PB-0101-{i:05}/file-1.png").read_bytes() for i in range(5)] == [bytes([i]) for i in range(5)]
+    assert not list(tmp_path.glob("store/files/*/*.draft"))
+
+
+@pytest.mark.parametrize("mode", ["cover", "contain", "stretch"])
+@pytest.mark.parametrize(("zoom", "x", "y"), [(1.0, 0.0, 0.0), (1.7, -1.0, 0.4), (3.0, 0.9, -0.5)])
+def test_area_resampling_is_an_integral(spark, mode, zoom, x, y):
+    rng = np.random.default_rng(4)
+    h, w, th, tw = 11, 17, 8, 6
+    px = np.concatenate([rng.integers(0, 256, (h, w, 3)), rng.choice([0, 90, 255], (h, w, 1))], axis=2)
+    window = boards.crop_window(w, h, tw, th, mode, zoom, x, y)
+
+    def shares(n, to, origin, size):  # of each pixel in each cell
+        edges = origin + size / to * np.arange(to + 1)
+        return np.maximum(0, np.minimum(np.arange(n) + 1, edges[1:, None]) - np.maximum(np.arange(n), edges[:-1, None]))
+
+    sy, sx = shares(h, th, window[1], window[3]), shares(w, tw, window[0], window[2])
+    mean = lambda v: sy @ v @ sx.T
+    weight = mean(px[..., 3].astype(float))
+    want = np.stack([np.where(weight > 0, np.floor(mean(px[..., c] * px[..., 3].astype(float)) / np.where(weight > 0, weight, 1) + 0.5 + 1e-9), 0) for c in range(3)] + [np.floor(weight / (window[2] / tw * window[3] / th) + 0.5 + 1e-9)], axis=2)
+    rows = [("g", r, c, *map(int, px[r, c])) for r in range(h) for c in range(w)]
+    got = {(q.row, q.col): (q.r, q.g, q.b, q.a) for q in boards.resample_area(spark.createDataFrame(rows, "grid_id string, row int, col int, r int, g int, b int, a int"), window, tw, th).collect()}
+    assert got == {(r, c): tuple(map(int, want[r, c])) for r in range(th) for c in range(tw)}
+
+
+def test_windows_of_a_composition():
+    assert boards.crop_window(40, 20, 10, 10, "stretch", 3.0, 1.0, 1.0) == (0.0, 0.0, 40.0, 20.0)
+    assert boards.crop_window(40, 20, 10, 10, "cover", 1.0, -1.0, 1.0) == (0.0, 0.0, 20.0, 20.0)
+    assert boards.crop_window(40, 20, 10, 10, "cover", 2.0, 1.0, 0.0) == (30.0, 5.0, 10.0, 10.0)
+    assert boards.crop_window(40, 20, 10, 10, "contain", 1.0, 1.0, 1.0) == (0.0, -20.0, 40.0, 40.0)  # at the bottom of the target
+    assert boards.crop_window(40, 20, 10, 10, "contain", 3.0, 1.0, 0.0)[0] == (40 - 40 / 3) / 2  # no room to move
+
+
+def test_composed_texts(spark):
+    import unicodedata
+
+    from tesserae.functions.normal import nfc
+
+    rng = random.Random(2)
+    marks = [chr(c) for c in range(0x300, 0x370)] + ["e", "a", "A", "o", "\u1100", "\u1161", "\u11a8", "\uac00", "\u09c7", "\u09be", "\u2126", "x"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None, "", "plain", "caf\u00e9"]
+    texts += ["".join(map(chr, range(lo, lo + 64))) for lo in range(0, 0x30000, 64) if not 0xD800 <= lo < 0xE000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert {r.i: r.n for r in df.select("i", nfc(F.col("t")).alias("n")).collect()} == {i: t and unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    assert all(unicodedata.normalize("NFC", chr(c)) == chr(c) for c in range(0x300))
+
+
+def test_money_and_percent(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from tesserae.functions import money
+
+    rng = random.Random(1)
+    values = [None, float("nan"), 0.0, -0.0, 0.125, 1.005, -2.5, 1234567.895, 0.3525, 0.3515, -0.0004, -0.00051, 0.99949, 0.9995, 12.5, *[rng.uniform(-5, 5) for _ in range(500)], *[rng.randint(-4000, 4000) / 4000 for _ in range(500)]]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", money.money_text(F.col("v")).alias("m"), money.percent_text(F.col("v")).alias("p")).orderBy("i").collect()
+    for v, r in zip(values, got, strict=True):
+        v = 0.0 if v is None or v != v else v
+        assert r.m.replace("-0.00", "0.00") == f"{Decimal(repr(v)).quantize(Decimal('0.01'), ROUND_HALF_UP):,}".replace("-0.00", "0.00")
+        y = v * 100
+        assert r.p == ("-" if y < 0 else "") + f"{Decimal(abs(y)).quantize(Decimal('0.1'), ROUND_HALF_UP)}%"
