@@ -29,7 +29,7 @@ from itertools import combinations, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import words as W
@@ -241,7 +241,14 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("head")
     nodes = materialise(marked.groupBy("fp").agg(least), "nodes")
     heads = _rooted(nodes, block).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.h").alias("head_h"))
-    named = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("h"))
-    kept = named.join(materialise(heads, "heads"), named["doc_id"].eqNullSafe(F.col("head")) & (named["h"] == F.col("head_h")), "left_semi")
-    order = Window.partitionBy("doc_id", "text").orderBy("h")
-    return kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+    named = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    same = named["doc_id"].eqNullSafe(F.col("head")) & (named["h"] == F.col("head_h"))
+    kept = named.join(materialise(heads, "heads"), same, "left_semi")
+    again = materialise(marked.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("twin"), F.col("h").alias("twin_h")), "repeated-rows")
+    if again.isEmpty():
+        return kept.select("row.*")
+    # Only rows that are there more than once are grouped, and each task first leaves one of its own.
+    twin = kept["doc_id"].eqNullSafe(F.col("twin")) & (kept["h"] == F.col("twin_h"))
+    once = kept.join(again, twin, "left_anti").select("row")
+    one = kept.join(again, twin, "left_semi").groupBy("doc_id", "h").agg(F.first("row").alias("row")).select("row")
+    return once.unionAll(one).select("row.*")

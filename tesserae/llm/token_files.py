@@ -246,7 +246,7 @@ def _uri(spark: SparkSession, folder: str) -> str:
     return re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", full))
 
 
-def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str, bits: bool) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str, bits: bool, file_ids: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
@@ -270,7 +270,7 @@ def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str,
                     name = f"ids-{context.partitionId():06d}-{len(made):04d}.tids"
                     writer = Writer(fs.open_output_stream(f"{path}/_{name}.{context.taskAttemptId()}"), bits)
                 writer.add(doc_id, np.frombuffer(ids, encoder.dtype).astype("<u4"))
-                if writer.ids >= FILE_IDS:
+                if writer.ids >= file_ids:
                     close()
                     writer = None
     finally:
@@ -280,17 +280,19 @@ def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str,
     yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "n_docs", "n_ids"])
 
 
-def write(docs: DataFrame, folder: str, end: int = 1, bits: bool = False, vocabulary: str | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, end: int = 1, bits: bool = False, vocabulary: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of every document, and `end` after each, to files in folder; returns (file, n_docs, n_ids).
 
-    Names ascend with the doc_ids. `bits`: bit planes instead of byte planes.
+    Names ascend with the doc_ids. Rows are numbered, and dealt out by ranges of doc_id and that number, so rows of one id, or
+    of none, are spread over tasks. `bits`: bit planes instead of byte planes. A file ends
+    with the document that brings it to `file_ids` ids.
     """
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, whatever the corpus
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("number"))
+    dealt = rows.repartitionByRange("doc_id", "number").sortWithinPartitions("doc_id", "number").drop("number")
     uri = _uri(docs.sparkSession, folder)
-    return materialise(dealt.mapInArrow(lambda b: _write(b, shared.value, end, uri, bits), "file string, n_docs long, n_ids long"), "manifest")
+    return materialise(dealt.mapInArrow(lambda b: _write(b, shared.value, end, uri, bits, file_ids), "file string, n_docs long, n_ids long"), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +314,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, end: int = 1, bits: bool = False, vocabulary: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, end: int = 1, bits: bool = False, vocabulary: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files to the shared folder, and read them back."""
     folder = scratch(docs.sparkSession, "token-files")
-    made = write(docs, folder, end, bits, vocabulary)
+    made = write(docs, folder, end, bits, vocabulary, file_ids)
     if made.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return read(docs.sparkSession, folder)

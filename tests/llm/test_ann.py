@@ -25,7 +25,7 @@ def test_exact_where_every_list_is_read(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(size=6).astype("f4").tolist()) for i in range(300)]
     rows += [(i, rows[0][1]) for i in range(300, 340)] + [(340, None), (341, [0.0] * 6), (342, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (343, [math.nan] * 6), (344, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (345, [1.0] * 4), rows[7]]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, score string")
+    df = spark.createDataFrame([(i, v, 1, "x", 2, 3, 4, 5, 6) for i, v in rows], "vec_id long, embedding array<float>, label int, score string, list int, part int, block int, query_id int, rank int")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 10 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))

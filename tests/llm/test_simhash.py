@@ -97,6 +97,14 @@ def test_null_and_repeated_ids_keep_every_group(make, parts):
     assert sorted(kept, key=str) == sorted(want, key=str)
 
 
+def test_many_repeated_rows_and_clashing_columns(spark):
+    names = ("row", "h", "fp", "root", "head", "twin", "least", "key")
+    rows = [(1, "one two three four five six", *"aaaaaaaa")] * 400 + [(2, "one two three four five six", *"bbbbbbbb"), (3, "other words altogether here", *"cccccccc"), (None, "other words altogether here", *"dddddddd")] + [(4, None, *"eeeeeeee")] * 50
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names]).repartition(6)
+    assert sorted(map(tuple, S.keep_one(df).collect())) == sorted({r for r in rows if r[0] in (1, 3, 4)}, key=lambda r: r[0])
+    assert S.near_duplicates(df).groupBy("doc_id", "component_id").count().count() == 5
+
+
 def test_buckets_are_solved_as_they_end():
     batch = lambda bucket, fps: S.pa.RecordBatch.from_arrays([S.pa.array(bucket, S.pa.int64()), S.pa.array([0] * len(bucket), S.pa.int32()), S.pa.array(fps, S.pa.int64())], ["bucket", "chain", "fp"])
     read = []

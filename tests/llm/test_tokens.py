@@ -65,19 +65,39 @@ def test_digests(make, texts):
     assert all((r.row.text or "") == r.text for r in back.collect())
 
 
-@pytest.mark.parametrize("bits", [False, True])
-def test_files(make, texts, bits, monkeypatch):
+@pytest.mark.parametrize(("bits", "file_ids"), [(False, T.FILE_IDS), (True, T.FILE_IDS), (False, 500)])
+def test_files(make, texts, bits, file_ids):
+    """Files of 500 ids: several of a task, and documents longer than a file."""
     docs = [*texts, (None, "no id"), (500, None)]
     want, at = [], 0
     for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = np.array([*WORD.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         want.append((str(i), at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = T.round_trip(make(docs), bits=bits)
+    got = T.round_trip(make(docs), bits=bits, file_ids=file_ids)
     assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == sorted(want)
     assert T.round_trip(make(docs).limit(0)).count() == 0
 
 
+def test_one_id_is_spread_over_files(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 3 else 7, f"text {i}", 1) for i in range(600)], "doc_id long, text string, number int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        made = T.write(docs, str(tmp_path / "ids")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) > 2 and max(r.n_docs for r in made) < 400 and sum(r.n_docs for r in made) == 600
+    found = T.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None] * 400 + [7] * 200 and found[-1].start + found[-1].n_tokens == sum(r.n_tokens for r in found)
+
+
+def test_clashing_columns(spark):
+    names = ("row", "file", "place", "start", "n_tokens", "number", "n_docs")
+    df = spark.createDataFrame([(1, "a b", *"xxxxxxx"), (2, None, *"yyyyyyy")], ["doc_id", "text", *names])
+    assert [r.n_tokens for r in T.round_trip(df).orderBy("doc_id").collect()] == [3, 1]
+    assert [r.n_tokens for r in bpe.digests(df).orderBy("doc_id").collect()] == [2, 0]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_chunks(tmp_path, bits):
     rng = np.random.default_rng(1)
