@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which the driver and all executors can reach.
 
-    Where it is unset (tests, one machine) a temporary folder is used and set for this session.
+    Where it is unset and Spark runs within this process (tests, one machine) a temporary folder is used and set for this session; on
+    a cluster that is an error, for executors have no folder in common then.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors of {master} share")
         path = tempfile.mkdtemp(prefix="tesserae-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)

@@ -68,3 +68,19 @@ def test_windows_on_a_stream(spark, tmp_path):
     q = state.countdowns(stream).writeStream.format("memory").queryName("countdowns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.window.start.minute, r.n) for r in spark.table("countdowns").collect()) == [(0, 2), (10, 1)]
+
+
+def test_no_temporary_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tesserae import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    cluster = lambda master: SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_dir(cluster(master))
+    assert session.shared_dir(spark)
