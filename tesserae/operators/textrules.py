@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ class Rules:
     marketing: Sequence[str] = ()
     negative: Sequence[str] = ()
     project_words: Mapping[str, Sequence[str]] = field(default_factory=dict)  # bad for that project
-    claims: Mapping[str, Claim] = field(default_factory=dict)  # in the order they are checked
+    claims: Mapping[str, Claim | Sequence[Claim]] = field(default_factory=dict)  # in the order they are checked; of several under one name any may be broken
     formal: Sequence[str] = ()  # patterns
     topics: Sequence[Sequence[str]] = ()
     project_topics: Mapping[str, Sequence[str]] = field(default_factory=dict)
@@ -89,6 +91,21 @@ def known_project(project: Column, rules: Rules) -> Column:
     return F.when(named.isin(*rules.projects), named)
 
 
+def broken_claims(text: Column, keywords: Column, project: Column, claims: Mapping[str, Claim | Sequence[Claim]]) -> list[tuple[str, Column]]:
+    """For each name, in its order, whether the text breaks one of its claims."""
+    every = {name: [c] if isinstance(c, Claim) else c for name, c in claims.items()}
+    return [(name, reduce(or_, (c.broken(text, keywords, project) for c in some))) for name, some in every.items()]
+
+
+def first_broken_claim(text: Column, keywords: Column, project: Column, claims: Mapping[str, Claim | Sequence[Claim]]) -> Column:
+    """The name of the first claim that the text breaks; empty if none. Nulls are empty texts, keywords and projects."""
+    none = F.lit("")
+    out = F
+    for name, broken in broken_claims(F.coalesce(text, none), F.coalesce(keywords, none), F.coalesce(project, none), claims):
+        out = out.when(broken, name)
+    return none if out is F else out.otherwise("")
+
+
 def first_reason(text: Column, project: Column, keywords: Column, rules: Rules, similar: Column | None = None) -> Column:
     """The first rule that the text breaks, in the order of the rules; empty if none."""
     # Bound to a name, so that each text is stripped once and not for every rule.
@@ -100,8 +117,8 @@ def _first_reason(plain: Column, project: Column, keywords: Column, rules: Rules
     size = T.length(plain)
     out = F.when(plain.isNull() | (plain == ""), "empty").when((size < LEAST_LENGTH) | (size > MOST_LENGTH), "length")
     out = out.when(T.has_any(plain, rules.instructional), "instructional").when(bad_words(plain, project, rules), "bad_words")
-    for name, claim in rules.claims.items():
-        out = out.when(claim.broken(plain, words, project), name)
+    for name, broken in broken_claims(plain, words, project, rules.claims):
+        out = out.when(broken, name)
     formal = F.lit(False)
     for p in rules.formal:
         formal = formal | plain.rlike(p)

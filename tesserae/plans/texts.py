@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import clock, hashing, text
 from tesserae.operators import orders as O
+from tesserae.operators import claims as C
 from tesserae.operators import textrules as R
 from tesserae.plans.derived import NOW, table
 
@@ -82,6 +83,34 @@ def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", hits.alias("topics"), (hits >= R.LEAST_TOPICS).alias("covered"), text.occurrences(F.col("text"), ",").alias("commas"), text.length(F.col("text")).alias("size"))
 
 
+#: What documents are made to say, and the keywords that come with them; by doc_id, so that every claim meets every keyword.
+_SAID = ("周末来", "拼了两个多小时", "３０分钟", "做成钥匙扣", "挂在包上", "送袋子", "免费", "全天套餐", "豆子平整又无孔", "灯光明亮", "打图纸", "大图 大作品", "没有什么")
+_KEYWORDS = ("", "周末 大作品", "半小时", "钥匙扣 包装", "包 图纸", "质量 环境", "免费 袋子", "座位")
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') || {_sql_list(_SAID)}[doc_id % {len(_SAID)} + 1] AS t, {_sql_list(_KEYWORDS)}[doc_id // {len(_SAID)} % {len(_KEYWORDS)} + 1] AS k, CASE WHEN doc_id % 5 < 3 THEN '{C.QUALITY_PROJECT}' ELSE coalesce(source, '') END AS p FROM documents)
+    SELECT doc_id, CASE WHEN len(list_filter({_sql_list(C.TIME_WORDS)}, lambda w: contains(t, w) AND NOT contains(k, w))) > 0 THEN 'unprovided_time'
+        WHEN regexp_matches(t, '{C.DURATION}') AND NOT regexp_matches(k, '{C.DURATION}') THEN 'unprovided_duration'
+        WHEN {" OR ".join(f"regexp_matches(t, '{said}') AND NOT regexp_matches(k, '{gate}')" for said, gate in C.USES)} THEN 'unsupported_use'
+        WHEN NOT regexp_matches(k, '{C.PACKAGE_KEYWORDS}') AND len(list_filter({_sql_list(C.PACKAGE_WORDS)}, lambda w: contains(t, w))) > 0 THEN 'unprovided_package'
+        WHEN p = '{C.QUALITY_PROJECT}' AND NOT regexp_matches(k, '{C.QUALITY_KEYWORDS}') AND len(list_filter({_sql_list(C.QUALITY_WORDS)}, lambda w: contains(t, w))) > 0 THEN 'unprovided_quality'
+        WHEN NOT regexp_matches(k, '{C.PLACE_KEYWORDS}') AND len(list_filter({_sql_list(C.PLACE_WORDS)}, lambda w: contains(t, w))) > 0 THEN 'unprovided_environment'
+        WHEN regexp_matches(t, '{C.PRINT}') AND NOT regexp_matches(k, '{C.PRINT_KEYWORDS}') THEN 'unprovided_print' ELSE '' END AS reason FROM t"""
+)
+def claim_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with something said at their end, against keywords that support some of it."""
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    n = F.col("doc_id")
+    said = F.concat(F.coalesce("text", F.lit("")), pick(_SAID, n))
+    project = F.when(n % 5 < 3, C.QUALITY_PROJECT).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.first_broken_claim(said, pick(_KEYWORDS, F.floor(n / len(_SAID))), project, C.PRESETS).alias("reason"))
+
+
 @query(
     """WITH c AS (SELECT conv_id, turn, trim(text) AS t, list_filter(['thin', 'thou', 'ento', 'eder', 'tion', 'sche'], lambda w: contains(trim(text), w)) AS s FROM conversations),
     n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS k FROM c)

@@ -18,7 +18,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,6 +39,11 @@ LIMIT_STATE = f"minute {_BUCKET}, day {_BUCKET}, seen long"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def use_rocks(spark: SparkSession) -> None:
+    """transformWithState needs this state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+
+
 def nothing_due(state: State) -> list[tuple[float, str]]:
     return []
 
@@ -80,7 +85,7 @@ def _row(command: State | None, at: float, due: str | None, output: State | None
     return {order: command and command[order], key: ident, "at": float(at), "due": due, **{n: shown.get(n) for n in names}}
 
 
-def _plain(row: State) -> State:
+def plain(row: State) -> State:
     return {k: None if v is None or v != v else v.item() if hasattr(v, "item") else v for k, v in row.items()}
 
 
@@ -110,7 +115,7 @@ def replay(events: DataFrame, key: str, order: str, step: Step, output: str, due
 
         for batch in batches:
             rows = []
-            for r in map(_plain, batch.to_pylist()):
+            for r in map(plain, batch.to_pylist()):
                 if r[key] != ident:
                     if ident is not _NO_KEY:
                         rows += went([], until)
@@ -123,17 +128,17 @@ def replay(events: DataFrame, key: str, order: str, step: Step, output: str, due
     return events.repartition(key).sortWithinPartitions(key, "ts", order).mapInArrow(folded, text)
 
 
-def _as_tuple(value: Any, kind: Any) -> Any:
+def as_tuple(value: Any, kind: Any) -> Any:
     if value is None or not isinstance(kind, StructType):
         return value
     cast = {"double": float, "bigint": int}
-    return tuple(_as_tuple(x, f.dataType) if isinstance(f.dataType, StructType) or x is None else cast.get(f.dataType.simpleString(), lambda v: v)(x) for f, x in ((f, value[f.name]) for f in kind))
+    return tuple(as_tuple(x, f.dataType) if isinstance(f.dataType, StructType) or x is None else cast.get(f.dataType.simpleString(), lambda v: v)(x) for f, x in ((f, value[f.name]) for f in kind))
 
 
-def _as_dict(value: Any, kind: Any) -> Any:
+def as_dict(value: Any, kind: Any) -> Any:
     if value is None or not isinstance(kind, StructType):
         return value
-    return {f.name: _as_dict(x, f.dataType) for f, x in zip(kind, value, strict=True)}
+    return {f.name: as_dict(x, f.dataType) for f, x in zip(kind, value, strict=True)}
 
 
 class _Ordered(StatefulProcessor):
@@ -150,8 +155,8 @@ class _Ordered(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:  # a part at a time: the trigger's commands of a key are not gathered
-            new = [_plain(r) for r in pdf[[f.name for f in self.events]].astype(object).to_dict("records")]
-            self.waiting.appendList([_as_tuple(r, self.events) for r in new])
+            new = [plain(r) for r in pdf[[f.name for f in self.events]].astype(object).to_dict("records")]
+            self.waiting.appendList([as_tuple(r, self.events) for r in new])
             earliest = min(r["ts"] for r in new)
             first = earliest if first is None else min(first, earliest)
         if first is not None:
@@ -163,19 +168,19 @@ class _Ordered(StatefulProcessor):
         at, state = float("-inf"), None
         if self.held.exists():
             at, state = self.held.get()
-            state = _as_dict(state, self.state)
-        commands = [_as_dict(r, self.events) for r in self.waiting.get()]
+            state = as_dict(state, self.state)
+        commands = [as_dict(r, self.events) for r in self.waiting.get()]
         ready = sorted((c for c in commands if c["ts"] < now), key=lambda c: (c["ts"], c[self.order]))
         rows = []
         for state, at, command, name, out in advance(state, at, ready, now, self.step, self.due):  # noqa: B007
             rows.append(_row(command, at, name, out, self.order, self.key, key[0], self.names))
         if ready:
             left = [c for c in commands if c["ts"] >= now]
-            self.waiting.put([_as_tuple(c, self.events) for c in left]) if left else self.waiting.clear()
+            self.waiting.put([as_tuple(c, self.events) for c in left]) if left else self.waiting.clear()
         else:
             left = commands
         if rows:
-            self.held.update((float(at), _as_tuple(state, self.state)))
+            self.held.update((float(at), as_tuple(state, self.state)))
         coming = [c["ts"] for c in left]
         if found := next_due(state, at, self.due):
             coming.append(found[0])
@@ -194,7 +199,7 @@ def run(events: DataFrame, key: str, order: str, step: Step, output: str, state:
     ts is in seconds; `state` is the schema of the machine's state. State is kept in RocksDB, which transformWithState requires: the session's
     state store is set to it.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    use_rocks(events.sparkSession)
     names = [f.name for f in _parse_datatype_string(output)]
     processor = _Ordered(key, order, step, due, names, events.schema, _parse_datatype_string(state))
     timed = events.withColumn("event_time", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("event_time", delay)

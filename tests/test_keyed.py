@@ -132,7 +132,7 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     events.write.parquet(str(tmp_path / "in"))
     batch = K.run(events, "table_id", "event_id", K.timer_step, K.TIMER_OUTPUT)
     source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    out = state.run(source, "table_id", "event_id", K.timer_step, K.TIMER_OUTPUT)
+    out = state.run(source, "table_id", "event_id", K.timer_step, K.TIMER_OUTPUT, ordered.TIMER_STATE)
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
@@ -194,6 +194,22 @@ def test_replay_against_a_clock_that_ticks():
         assert got == want
 
 
+def test_buckets_on_a_stream_keep_nested_state(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab"), i * 3000, rng.choice(["/x", K.REVIEW_PATH])) for i in range(60)]
+    schema = "event_id long, ip string, ts long, path string"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        for f in Path(tmp_path, "in", str(k)).glob("*.parquet"):
+            os.utime(f, (1e9 + k, 1e9 + k))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = state.run(source, "ip", "event_id", K.limit_step, K.LIMIT_OUTPUT, ordered.LIMIT_STATE, idle=3_600_000)
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = K.run(spark.createDataFrame(rows, schema), "ip", "event_id", K.limit_step, K.LIMIT_OUTPUT)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_recent_texts_on_a_stream(spark, tmp_path):
     rows = [(1, "a", 1, "x"), (2, "a", 2, "y"), (3, "a", 3, "x"), (4, "b", 1, "x"), (5, "a", 4, "bad"), (6, "a", 5, "bad")]
     spark.createDataFrame(rows, "text_id long, topic string, ts long, text string").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -473,6 +473,21 @@ def test_reasons_in_order(spark):
     assert got == ["empty", "length", "instructional", "bad_words", "time", "formal", "low_reference_value", "", "bad_words"]
 
 
+@pytest.mark.parametrize(
+    ("text", "keywords", "project", "reason"),
+    [
+        ("周末来玩", "", "x", "unprovided_time"), ("周末来玩", "周末", "x", ""), ("周末和晚上", "周末", "x", "unprovided_time"), ("玩了2.5 小时", "", "x", "unprovided_duration"), ("玩了2.5 小时", "半小时", "x", ""), ("十多分钟", "5分钟", "x", ""),
+        ("钥匙扣", "包", "x", "unsupported_use"), ("挂在包上", "包", "x", ""), ("送袋子", "包装", "x", ""), ("袋子和免费", "袋子", "x", "unsupported_use"), ("划算", "", "x", "unprovided_package"), ("划算", "慢慢拼", "x", ""),
+        ("垫板", "", "拼豆", "unprovided_quality"), ("垫板", "", "x", ""), ("垫板", "工具", "拼豆", ""), ("安静", "位置", "x", ""), ("安静", "", "x", "unprovided_environment"), ("打图纸", "图纸", "x", ""), ("打图纸", None, None, "unprovided_print"), (None, None, None, ""),
+    ],
+)
+def test_claims_need_keywords(spark, text, keywords, project, reason):
+    from tesserae.operators import claims
+
+    lit = lambda x: F.lit(x).cast("string")
+    assert spark.range(1).select(R.first_broken_claim(lit(text), lit(keywords), lit(project), claims.PRESETS).alias("x")).first().x == reason
+
+
 def test_near_repeats_look_30_back(spark):
     rules = R.Rules(signature=("soft", "warm", "blue"))
     rows = [(0, "soft warm"), *[(i, f"text {i}") for i in range(1, 31)], (31, "warm soft blue"), (32, "soft"), (33, "text 5"), (34, "text 1"), (35, " ")]
