@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import color
 from tesserae.operators import colour_tree
+from tesserae.operators.pieces import ranked
+from tesserae.session import materialise
 
 CELL = ["grid_id", "row", "col"]
 #: The tile sides to choose from, and what a tile larger than the grid costs.
@@ -336,10 +338,15 @@ def logical_width(width: int, height: int, size: int) -> int | None:
 def remap(rows: DataFrame, links: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """rows with new ids 1, 2, ... in an order, and the links to them with the ids replaced; links to missing rows go.
 
-    The ranks need one ordered pass over the keys, so this is for what a person edits, not for large tables.
+    Ids are ranks over pieces of the ordered rows, so no task sees all of them. Keys of rows are unique.
     """
-    new = rows.select(F.col(key).alias("_old"), F.row_number().over(Window.orderBy(order)).alias("_new"))
-    swap = lambda df: df.join(new, df[key] == new["_old"]).withColumn(key, F.col("_new")).drop("_old", "_new")
+    new = ranked(rows.select(F.col(key).alias("old"), F.col(order).alias("at")), [], ["at"])
+    new = materialise(new.select("old", F.col("rank").alias("new")), "new-ids")
+
+    def swap(df: DataFrame) -> DataFrame:
+        both = df.select(F.struct("*").alias("row"), F.col(key).alias("old")).join(new, "old")
+        return both.select(*[(F.col("new") if c == key else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
+
     return swap(rows), swap(links)
 
 

@@ -90,6 +90,20 @@ def checkout(sessions: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("total_fee", F.col("base_fee") + F.col("extra_fee") + F.col("timeout_fee"))
 
 
+def details(sessions: DataFrame, now: Column) -> DataFrame:
+    """What is shown of sessions (start, end, mode, pause_start, paused_seconds) that go on: elapsed, over_minutes and timeout_fee, as of now, or of the pause they are in.
+
+    Only countdowns run over; a session that has not begun has none of these.
+    """
+    at = F.coalesce("pause_start", now)
+    begun = F.col("start").isNotNull()
+    over = F.when(begun & (F.col("mode") == "countdown"), F.greatest(F.lit(0), clock.seconds_between(F.col("end"), at)))
+    out = sessions.withColumn("over_seconds", F.coalesce(over, F.lit(0)).cast("long"))
+    fee, _ = money.overtime(F.col("over_seconds"), F.hour("end"))
+    elapsed = F.when(begun, clock.elapsed(F.col("start"), at, F.col("paused_seconds")))
+    return out.withColumns({"elapsed": elapsed, "over_minutes": F.floor(F.col("over_seconds") / 60).cast("int"), "timeout_fee": F.coalesce(fee, F.lit(0.0))})
+
+
 def daily_ledger(records: DataFrame) -> DataFrame:
     """Checkout records (date, desk, total_fee) by day: desks, revenue, records, and the share of each day in all so far."""
     per = records.groupBy("date").agg(F.countDistinct("desk").alias("desks"), F.sum("total_fee").alias("revenue"), F.count("*").alias("records"))

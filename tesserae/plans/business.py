@@ -228,6 +228,21 @@ def checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closed(spark, sf_dir).select("event_id", "closed_at", "minutes", "over_seconds", "timeout_fee", "total_fee")
 
 
+@query(
+    f"""WITH {_SESSIONS}, a AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN start + INTERVAL 40 MINUTE ELSE TIMESTAMP '{NOW}' END AS anchor FROM e),
+    o AS (SELECT *, CASE WHEN mode = 'countdown' THEN greatest(0, CAST(trunc(date_diff('microsecond', "end", anchor) / 1000000.0) AS BIGINT)) ELSE 0 END AS over_seconds, hour("end") AS h FROM a), q AS (SELECT *, ceil(ceil(over_seconds / 60.0) / 30.0) AS b FROM o)
+    SELECT event_id, greatest(0, CAST(trunc(date_diff('microsecond', start, anchor) / 1000000.0) AS BIGINT) - event_id % 5 * 60) AS elapsed, CAST(over_seconds // 60 AS INTEGER) AS over_minutes,
+        CASE WHEN over_seconds <= 600 THEN 0 ELSE floor(b / 2) * CASE WHEN h >= 21 THEN 50 ELSE 20 END + (b % 2) * CASE WHEN h >= 21 THEN 30 ELSE 10 END END::DOUBLE AS timeout_fee FROM q"""
+)
+def desk_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    s = S.with_preset(_sessions(spark, sf_dir))
+    s = s.withColumn("start", S.start_at(F.col("opened_at"), F.col("mode")))
+    s = s.withColumn("end", S.end_at(F.col("start"), F.col("mode"), F.col("fixed_hour"), F.col("minutes")))
+    s = s.withColumns({"pause_start": F.when(n % 6 == 0, F.col("start") + F.expr("INTERVAL 40 MINUTES")), "paused_seconds": n % 5 * 60})
+    return S.details(s, _now()).select("event_id", "elapsed", "over_minutes", "timeout_fee")
+
+
 @query(f"WITH {_CLOSE}, d AS (SELECT CAST(closed_at AS DATE) AS date, count(DISTINCT desk) AS desks, sum(extra_fee + timeout_fee) AS revenue, count(*) AS records FROM r GROUP BY 1) SELECT *, sum(revenue) OVER (ORDER BY date) AS revenue_so_far FROM d")
 def daily_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.daily_ledger(_closed(spark, sf_dir).select(F.to_date("closed_at").alias("date"), "desk", "total_fee"))

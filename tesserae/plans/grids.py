@@ -387,3 +387,12 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.operators import segment as S
 
     return S.denoise(pixels(spark, sf_dir).withColumn("masked", F.col("col") % 10 == 0), (100, 120, 90), 80).select("grid_id", "row", "col", "r", "g", "b")
+
+
+@query("""WITH n AS (SELECT o_orderkey AS old, row_number() OVER (ORDER BY o_orderkey DESC) AS new FROM orders WHERE o_orderkey % 3 > 0) SELECT new AS l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN n ON l_orderkey = old""")
+def remapped_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered anew from the last one on, and the lines that point to them."""
+    from tesserae.plans.derived import table
+
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("l_orderkey"), (-F.col("o_orderkey")).alias("at"))
+    return G.remap(orders, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "at")[1]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +65,29 @@ def into_gallery(gallery: DataFrame, item: DataFrame, most: int = 18) -> DataFra
     return every.withColumn("_nth", nth).filter("_nth = 1").drop("_nth").orderBy(F.desc("created_at"), "title").limit(most)
 
 
+#: Pixels of a batch that images are decoded into.
+_PIXELS = 1 << 18
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images (path, height, width, channels, data), of bytes in the order blue, green, red, alpha or of grey ones, as rows of pixels."""
+    for batch in batches:
+        for path, height, width, channels, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            cells = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+            step = max(1, _PIXELS // max(1, width))
+            for top in range(0, height, step):
+                part = cells[top : top + step].reshape(-1, channels)
+                rows = np.repeat(np.arange(top, top + len(part) // max(1, width)), width)
+                b, g, r = (part[:, 0],) * 3 if channels == 1 else part[:, :3].T
+                alpha = part[:, 3] if channels == 4 else np.full(len(part), 255)
+                columns = [rows, np.tile(np.arange(width), len(part) // max(1, width)), r, g, b, alpha]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), *[pa.array(x.astype(np.int32)) for x in columns]], ["path", "row", "col", "r", "g", "b", "a"])
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, col, r, g, b, a) of the images that Spark's image source reads; images without transparency are opaque."""
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    n, at = F.col("nChannels"), (F.col("row") * F.col("width") + F.col("col")) * F.col("nChannels")
-    cells = img.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
-    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    byte = lambda i: F.conv(F.hex(F.substring("data", at + i + 1, F.lit(1))), 16, 10).cast("int")
-    grey = n == 1
-    b, g, r = byte(F.lit(0)), F.when(grey, byte(F.lit(0))).otherwise(byte(F.lit(1))), F.when(grey, byte(F.lit(0))).otherwise(byte(F.lit(2)))
-    return cells.select(F.col("origin").alias("path"), "row", "col", r.alias("r"), g.alias("g"), b.alias("b"), F.when(n == 4, byte(F.lit(3))).otherwise(255).alias("a"))
+    return img.select("origin", "height", "width", "nChannels", "data").mapInArrow(_decoded, "path string, row int, col int, r int, g int, b int, a int")
 
 
 def crop_window(width: int, height: int, to_width: int, to_height: int, mode: str = "cover", zoom: float = 1.0, x: float = 0.0, y: float = 0.0) -> tuple[float, float, float, float]:
