@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import clock, money
 from tesserae.operators.pieces import ranked
+from tesserae.session import materialise
 
 #: Fixed values: (type, mode, fixed hour, minutes, weekdays only, base fee) of each preset; DEFAULT is the row for unknown types.
 PRESETS = [
@@ -168,10 +169,36 @@ def move_targets(desks: DataFrame) -> DataFrame:
     return both.select("d.house", "id", "side", F.when(F.col("side") == "source", F.col("free")).alias("targets"))
 
 
-def targets_of(desks: DataFrame, sources: DataFrame) -> DataFrame:
+#: Desks of a house and side that meet as many of the other side in one group, about; tasks that groups are dealt to, at most.
+MEETING, MEETING_TASKS = 2000, 10_000
+
+
+def _meeting(used: DataFrame, free: DataFrame, size: int) -> DataFrame:
+    """(source, target) of used (house, source) and free (house, target): all pairs of a house, none of a null one.
+
+    The sides of each house are cut into blocks of about `size`, and each block of one meets each of the other in a group of its own:
+    so no group is larger than a pair of blocks, however large a house is, and each group can have a task.
+    """
+    blocks = lambda rows, name: rows.groupBy("house").agg(F.ceil(F.count("*") / size).alias(name))
+    cut = materialise(blocks(used, "u").join(blocks(free, "f"), "house"), "blocks")
+    tasks = min(MEETING_TASKS, cut.agg(F.sum(F.col("u") * F.col("f"))).first()[0] or 1)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = used.join(cut, "house").select("house", "source", own("source", "u").alias("i"), every("f").alias("j")).repartition(tasks, "house", "i", "j")
+    right = free.join(cut, "house").select("house", "target", own("target", "f").alias("j"), every("u").alias("i")).repartition(tasks, "house", "i", "j")
+    return left.join(right, ["house", "i", "j"]).select("source", "target")
+
+
+def move_pairs(desks: DataFrame, size: int = MEETING) -> DataFrame:
+    """(source, target): each desk in use with each empty desk of its house that it can move to. Desks are (house, id, status); the result is as large as the product of a house's sides."""
+    used = desks.filter("status <> 'empty'").select("house", F.col("id").alias("source"))
+    return _meeting(used, desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), size)
+
+
+def targets_of(desks: DataFrame, sources: DataFrame, size: int = MEETING) -> DataFrame:
     """(source, target): the empty desks that each of some desks in use (a column id) can move to, of its house."""
     used = desks.filter("status <> 'empty'").join(sources.select("id").distinct(), "id").select("house", F.col("id").alias("source"))
-    return used.join(desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), "house").select("source", "target")
+    return _meeting(used, desks.filter("status = 'empty'").select("house", F.col("id").alias("target")), size)
 
 
 def move(desks: DataFrame, moves: DataFrame, empty: Mapping[str, object]) -> DataFrame:

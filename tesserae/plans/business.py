@@ -312,9 +312,9 @@ def _desks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_HOUSE} SELECT house, id, CASE WHEN status = 'empty' THEN 'target' ELSE 'source' END AS side, CASE WHEN status <> 'empty' THEN count(*) FILTER (status = 'empty') OVER (PARTITION BY house) END AS targets FROM d")
+@query(f"WITH {_HOUSE} SELECT a.id AS source, b.id AS target FROM d a JOIN d b ON a.house = b.house AND a.status <> 'empty' AND b.status = 'empty'")
 def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.move_targets(_desks(spark, sf_dir))
+    return S.move_pairs(_desks(spark, sf_dir))
 
 
 @query(
