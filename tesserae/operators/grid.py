@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import color
-from tesserae.operators import colour_tree
+from tesserae.operators import colour_tree, squares
 from tesserae.operators.pieces import ranked
 from tesserae.session import materialise
 
@@ -122,20 +125,47 @@ CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 
 def majority_filter(grid: DataFrame, least: int = 4, ahead: int = 1) -> DataFrame:
     """A cell takes its 3x3 neighbourhood's commonest code if that has `least` votes, and over `ahead` more than its own."""
-    votes = neighbours(grid.filter(F.col("code").isNotNull()), BOX).groupBy(*CELL, "code").agg(F.count("*").alias("n"))
-    by_cell = votes.groupBy(*CELL).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("code"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("all"))
-    both = grid.filter(F.col("code").isNotNull()).join(by_cell, CELL)
-    own = F.coalesce(F.try_element_at("all", F.col("code")), F.lit(0))
-    wins = (-F.col("top.n") >= least) & (-F.col("top.n") > own + ahead) & (F.col("top.code") != F.col("code"))
-    changed = both.select(*CELL, F.when(wins, F.col("top.code")).otherwise(F.col("code")).alias("code"))
-    return changed.unionByName(grid.filter(F.col("code").isNull()).select(*CELL, "code"))
+
+    def vote(table: pa.Table, corner: tuple[int, int] | None) -> pa.Table:
+        if corner is None:
+            return table.filter(pc.is_null(table.column("code")))
+        row, col = squares.places(table)
+        own = squares.inside(row, col, corner, squares.SQUARE)
+        code, values = squares.ordinals(table.column("code"))
+        full = code >= 0
+        if full.any():
+            dense, at = squares.board(row[full], col[full], code[full], 1)
+            steps = np.array([dr * dense.shape[1] + dc for dr, dc in BOX])
+            top, votes, pairs, n = squares.commonest((at[:, None] + steps).ravel(), np.repeat(code[full], len(steps)), dense.size, len(values))
+            mine = n[np.searchsorted(pairs, at * len(values) + code[full])]
+            code[full] = np.where((votes[at] >= least) & (votes[at] > mine + ahead), top[at], code[full])
+        return squares.replaced(table, "code", squares.valued(values, code)).filter(pa.array(own))
+
+    cells = grid.select(*CELL, "code")
+    return squares.over_squares(cells, vote, cells.schema.fields, 1)
 
 
 def dilate(cells: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Cells within the radius of any of the cells (grid_id, row, col), inside the grid."""
     disc = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if dr * dr + dc * dc <= radius * radius]
-    near = neighbours(cells.select(*CELL, F.lit(1).alias("code")), disc).select(*CELL).distinct()
-    return near.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+
+    def spread(table: pa.Table, corner: tuple[int, int] | None) -> pa.Table:
+        if corner is None:
+            return table.slice(0, 0)
+        row, col = squares.places(table)
+        dense, at = squares.board(row, col, np.zeros(len(row), np.int64), radius)
+        hit = np.zeros(dense.size, bool)
+        at = np.unique(at)
+        for dr, dc in disc:
+            hit[at + dr * dense.shape[1] + dc] = True
+        down, across = np.divmod(np.flatnonzero(hit), dense.shape[1])
+        down, across = down + row.min() - radius, across + col.min() - radius
+        kept = squares.inside(down, across, corner, squares.SQUARE) & (down >= 0) & (down < height) & (across >= 0) & (across < width)
+        first = table.column("grid_id").take(pa.array(np.zeros(int(kept.sum()), np.int64)))
+        return pa.table([first, *[pa.array(x[kept]).cast(table.schema.field(c).type) for c, x in (("row", down), ("col", across))]], schema=table.schema)
+
+    near = cells.select(*CELL)
+    return squares.over_squares(near, spread, near.schema.fields, radius)
 
 
 def in_polygon(grid: DataFrame, polygon: Sequence[tuple[float, float]]) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,20 +92,20 @@ def representatives(rgb: np.ndarray, count: np.ndarray, most: int) -> np.ndarray
         return np.arange(n)
     weight = np.maximum(1, count).astype(np.float64)
     square = lambda a, b: ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-    seeds = [0]
+    seeds, much, near = [0], np.log2(weight + 1), square(rgb, rgb[:1])[:, 0]
     while len(seeds) < most:
-        gain = square(rgb, rgb[seeds]).min(axis=1) * np.log2(weight + 1)
+        gain = near * much
         k = int(gain.argmax())
         if gain[k] <= 0:
             break
         seeds.append(k)
+        near = np.minimum(near, ((rgb - rgb[k]) ** 2).sum(axis=1))
     means = rgb[seeds].astype(np.float64)
     for _ in range(ROUNDS):
         owner = square(rgb, means).argmin(axis=1)
-        for k in range(len(means)):
-            own = owner == k
-            if own.any():
-                means[k] = (rgb[own] * weight[own, None]).sum(axis=0) / weight[own].sum()
+        total = np.bincount(owner, weights=weight, minlength=len(means))
+        sums = np.stack([np.bincount(owner, weights=rgb[:, i] * weight, minlength=len(means)) for i in range(3)], axis=1)
+        means[total > 0] = sums[total > 0] / total[total > 0, None]
     chosen: list[int] = []
     for m in means:
         d = ((rgb - m) ** 2).sum(axis=1)
@@ -124,14 +125,18 @@ def limit_colours(grid: DataFrame, palette: DataFrame, most: int) -> DataFrame:
     kind = grid.schema["grid_id"].dataType.simpleString()
     stats = grid.filter(F.col("code").isNotNull()).groupBy("grid_id", "code").agg(F.count("*").alias("n")).join(palette.select("code", "r", "g", "b"), "code")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "code"], ascending=[False, True]).reset_index(drop=True)
-        rgb = pdf[["r", "g", "b"]].to_numpy(np.float64)
-        keep = representatives(rgb, pdf["n"].to_numpy(), most)
+    def one(table: pa.Table) -> pa.Table:
+        code, n = table.column("code").to_pylist(), table.column("n").to_numpy()
+        order = np.array(sorted(range(len(code)), key=lambda i: (-n[i], code[i])))
+        rgb = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1).astype(np.float64)[order]
+        keep = representatives(rgb, n[order], most)
         to = keep[match_distances(rgb, rgb[keep]).argmin(axis=1)]
-        return pd.DataFrame({"grid_id": pdf["grid_id"], "code": pdf["code"], "to": pdf["code"].to_numpy()[to]})
+        own = table.select(["grid_id", "code"]).take(pa.array(order))
+        return own.append_column("to", own.column("code").take(pa.array(to)))
 
-    new = stats.groupBy("grid_id").applyInPandas(one, f"grid_id {kind}, code string, to string")
+    # Counts are few bytes for much work: they are dealt to the cores, not to as few tasks as their size asks for.
+    tasks = 3 * grid.sparkSession.sparkContext.defaultParallelism
+    new = stats.repartition(tasks, "grid_id").groupBy("grid_id").applyInArrow(one, f"grid_id {kind}, code string, to string")
     return grid.join(new, ["grid_id", "code"], "left").select("grid_id", "row", "col", F.coalesce("to", "code").alias("code"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from tesserae.functions import color
+from tesserae.operators import squares
 from tesserae.operators.components import components
 from tesserae.operators.grid import CELL, CROSS, dilate, neighbours
 from tesserae.session import materialise
@@ -100,19 +104,29 @@ def corner_ratio(pixels: DataFrame, ref: DataFrame) -> DataFrame:
 def regions(cells: DataFrame, key: str) -> DataFrame:
     """cells (grid_id, row, col, key) with `region`: one number for each 4-connected region of equal keys, null being a key.
 
-    Links of neighbouring cells are joined into components; the number is a hash of one of the region's runs. Runs along
-    the rows are linked first, so a large region has few nodes. Grid ids may be of any type.
+    Regions are found within squares of cells, side by side; only cells on both sides of the squares' borders are linked, and these
+    links are joined into components. The number is a hash of the first cell of one of the region's parts. Cells without a place have
+    no row. Grid ids may be of any type.
     """
-    from tesserae.operators.grid import runs
 
-    strips = runs(cells, key, "col", "row").select("grid_id", "row", "start", (F.col("start") + F.col("length")).alias("stop"), F.col(key).alias("k"))
-    # A node is a strip: a hash of its grid, row and first column.
-    strips = strips.withColumn("node", F.xxhash64("grid_id", "row", "start"))
-    below = strips.select("grid_id", (F.col("row") - 1).alias("row"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"), F.col("k").alias("b_k"), F.col("node").alias("b"))
-    touching = strips.join(below, ["grid_id", "row"]).filter(F.col("k").eqNullSafe(F.col("b_k")) & (F.col("start") < F.col("b_stop")) & (F.col("b_start") < F.col("stop")))
-    roots = components(touching.select(F.col("node").alias("a"), "b"))
-    named = strips.join(roots, "node", "left").select("grid_id", "row", "start", "stop", F.coalesce("root", "node").alias("region"))
-    return named.select("grid_id", "row", F.explode(F.sequence("start", F.col("stop") - 1)).alias("col"), "region").join(cells, CELL)
+    def label(table: pa.Table, corner: tuple[int, int] | None) -> pa.Table:
+        if corner is None:
+            first = np.zeros(0, np.int64)
+            table = table.slice(0, 0)
+        else:
+            row, col = squares.places(table)
+            first = squares.connected(row, col, squares.ordinals(table.column(key))[0] + 1)
+        for name, c in (("_row", "row"), ("_col", "col")):
+            table = table.append_column(name, table.column(c).take(pa.array(first)).cast(pa.int64()))
+        return table
+
+    fields = [*cells.schema.fields, StructField("_row", LongType()), StructField("_col", LongType())]
+    parts = squares.over_squares(cells, label, fields).withColumn("node", F.xxhash64("grid_id", "_row", "_col")).drop("_row", "_col")
+    parts = materialise(parts, "parts")
+    side = lambda c, k, name, by: parts.filter(F.pmod(F.col(c), F.lit(squares.SQUARE)) == k).select("grid_id", *[(F.col(x) + (by if x == c else 0)).alias(x) for x in ("row", "col")], F.col(key).alias(f"{name}_key"), F.col("node").alias(name))
+    links = [side(c, squares.SQUARE - 1, "a", 1).join(side(c, 0, "b", 0), CELL).filter(F.col("a_key").eqNullSafe(F.col("b_key"))).select("a", "b") for c in ("row", "col")]
+    roots = components(links[0].union(links[1]))
+    return parts.join(roots, "node", "left").select(*CELL, F.coalesce("root", "node").alias("region"), *[c for c in cells.columns if c not in CELL])
 
 
 def flood_from_border(pixels: DataFrame, protected: DataFrame | None = None) -> DataFrame:
@@ -120,10 +134,10 @@ def flood_from_border(pixels: DataFrame, protected: DataFrame | None = None) ->
     open_ = pixels.filter("like").select(*CELL, F.lit(1).alias("like"))
     if protected is not None:
         open_ = open_.join(protected, CELL, "left_anti")
-    found = regions(open_, "like").join(sizes(pixels), "grid_id")
+    found = regions(open_, "like").select(*CELL, "region")
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("h") - 1) | (F.col("col") == F.col("w") - 1)
-    touched = found.filter(edge).select("grid_id", "region").distinct()
-    return found.join(touched, ["grid_id", "region"]).select(*CELL)
+    touched = found.join(sizes(pixels), "grid_id").filter(edge).select("grid_id", "region").distinct()
+    return found.join(touched, ["grid_id", "region"], "left_semi").select(*CELL)
 
 
 def protection(pixels: DataFrame, height: int, width: int) -> DataFrame:
@@ -169,8 +183,42 @@ def denoise(pixels: DataFrame, target: tuple[int, int, int], threshold: float) -
     return pixels.withColumns({c: F.when(near, F.lit(x).cast(pixels.schema[c].dataType)).otherwise(F.col(c)) for c, x in zip("rgb", target, strict=True)})
 
 
+#: Least sizes of regions up to which a square with the cells around it tells all about the smaller ones.
+NEAR = 64
+
+
 def absorb_small(grid: DataFrame, least: int) -> DataFrame:
-    """grid (grid_id, row, col, code) with regions of under `least` cells in the code that borders them most, of equally common ones the smallest; a region without neighbours stays."""
+    """grid (grid_id, row, col, code) with regions of under `least` cells in the code that borders them most, of equally common ones the smallest; a region without neighbours stays.
+
+    A region of under `least` cells lies, with its neighbours, within that distance of each of its cells, and of a larger one as many
+    cells do: so each square decides about its own cells. Large bounds (over NEAR) go by the regions of the whole grid.
+    """
+    if least > NEAR:
+        return _absorb_by_regions(grid, least)
+
+    def absorb(table: pa.Table, corner: tuple[int, int] | None) -> pa.Table:
+        if corner is None:
+            return table
+        row, col = squares.places(table)
+        own = squares.inside(row, col, corner, squares.SQUARE)
+        code, values = squares.ordinals(table.column("code"))
+        full = np.flatnonzero(code >= 0)
+        if len(full):
+            _, region, n = np.unique(squares.connected(row[full], col[full], code[full]), return_inverse=True, return_counts=True)
+            dense, at = squares.board(row[full], col[full], code[full], 1)
+            small = n[region] < least
+            steps = np.array([dr * dense.shape[1] + dc for dr, dc in CROSS])
+            other = dense.ravel()[at[small, None] + steps]
+            voting = (other >= 0) & (other != code[full][small, None])
+            winner = squares.commonest(np.repeat(region[small], len(steps))[voting.ravel()], other[voting], len(n), len(values))[0]
+            code[full] = np.where(small & (winner[region] >= 0), winner[region], code[full])
+        return squares.replaced(table, "code", squares.valued(values, code)).filter(pa.array(own))
+
+    cells = grid.select(*CELL, "code")
+    return squares.over_squares(cells, absorb, cells.schema.fields, max(0, least))
+
+
+def _absorb_by_regions(grid: DataFrame, least: int) -> DataFrame:
     found = materialise(regions(grid.filter(F.col("code").isNotNull()), "code"), "regions")
     size = found.groupBy("grid_id", "region").agg(F.count("*").alias("n")).filter(F.col("n") < least)
     small = found.join(size.select("grid_id", "region"), ["grid_id", "region"])

@@ -104,7 +104,7 @@ def optimised_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest colours, at most 16 of them, smoothed, without small regions."""
     matched = G.nearest_palette(pixels(spark, sf_dir), palette(spark)).select(*G.CELL, "code")
     limited = imaging.limit_colours(materialise(matched, "matched"), palette(spark), 16)
-    return S.absorb_small(materialise(G.majority_filter(materialise(limited, "limited")), "smoothed"), 4)
+    return S.absorb_small(G.majority_filter(limited), 4)
 
 
 @query()
