@@ -77,8 +77,8 @@ def flood_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def background_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
-    ref = S.reference(px)
-    liked = S.marked(px, ref)
+    ref = materialise(S.reference(px), "references")
+    liked = materialise(S.marked(px, ref), "liked")
     raw = S.flood_from_border(liked)
     masked = S.flood_from_border(liked, S.protection(liked, 50, 50))
     return S.removal(px, ref, masked, raw)
