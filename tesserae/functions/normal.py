@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,10 +14,21 @@ from pyspark.sql.types import StringType
 _FIRST = "\u0300"
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Texts that are composed at a time.
+STEP = 8
+
+
+def composed(texts: pa.Array) -> pa.Array:
+    """The texts composed: beside Arrow's buffers, of what comes and what goes, only STEP of them are held."""
+    one = lambda t: None if t is None else unicodedata.normalize("NFC", t)
+    parts = [pa.array([one(t.as_py()) for t in texts.slice(i, STEP)], pa.string()) for i in range(0, len(texts), STEP)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for some in texts:
-        yield some.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        yield composed(some)
 
 
 def nfc(text: Column) -> Column:
