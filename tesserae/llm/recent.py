@@ -20,13 +20,17 @@ class Recent:
         self.now: dict[str, bytes] = {}
         self.once: list[str] = []
 
-    def of(self, wanted: Iterable[Iterable[str]], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """A dictionary that has every string of these lists; `make` gives the values of new ones."""
-        wanted = list(wanted)
+    def _trim(self) -> None:
         for w in self.once:
             del self.now[w]
+        self.once = []
         if len(self.now) > self.most:
             self.now = {}
+
+    def of(self, wanted: Iterable[Iterable[str]], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that has every string of these lists; `make` gives the values of new ones."""
+        wanted = list(wanted)
+        self._trim()
         new: set[str] = set()
         twice: set[str] = set()
         known = self.now.__contains__
@@ -39,3 +43,14 @@ class Recent:
             self.now.update(zip(rest, make(rest), strict=True))
         self.once = [w for w in new if w not in twice or len(w) > LONGEST]
         return self.now
+
+    def each(self, strings: list[str], often: list[bool], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of distinct strings, of which new ones are remembered if they are marked as frequent."""
+        self._trim()
+        found = list(map(self.now.get, strings))
+        new = [i for i, v in enumerate(found) if v is None]
+        for i, v in zip(new, make([strings[i] for i in new]) if new else [], strict=True):
+            found[i] = v
+            if often[i] and len(strings[i]) <= LONGEST:
+                self.now[strings[i]] = v
+        return found

@@ -33,13 +33,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.batches import column, text_steps, texts_of
+from tesserae.llm.batches import column, strings_of, text_steps
 from tesserae.llm.recent import Recent
 from tesserae.session import materialise, scratch
 
@@ -49,10 +50,15 @@ CHUNK = 1 << 16
 FILE_IDS = 1 << 24
 CACHED = 150_000
 #: Words that the tokenizer library gets at once.
-JOINED = 1000
+JOINED = 300
+#: Words whose ids are gathered at once.
+GATHERED = 1 << 18
 #: Letters of ASCII and Latin-1, digits, signs and white space, without apostrophes and angle brackets (contractions, special tokens); and the words of such a text in lower case.
 _PLAIN_TEXT = re.compile(r"[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: The same for columns, in Arrow's dialect: a text of such signs that is not blank, and what is a word of its own within a run.
+_PLAIN_COLUMN = r"\A[\t-\r ]*[!-&(-;=-~À-ÖØ-öø-ÿ][\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*\z"
+_SIGNS = r"[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+"
 #: The rules of the vocabulary file for which words may be encoded one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -66,11 +72,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gather(pool: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The parts of pool, which have these sizes one after another, in the order that `at` names them."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[at]
+    return pool[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 class WordEncoder:
     """A tokenizer whose rules never join what white space parts.
 
-    Texts of plain signs are cut where the tokenizer's own rule cuts them, and new words are handed to it many at a
-    time: each word's last token, and no other, is one that ends a word.
+    Texts of plain signs are cut, as a column, where the tokenizer's own rule cuts them. New words, which are in normal
+    form then, go many at a time to a tokenizer of the same file that normalizes nothing and cuts at white space only:
+    each word's last token, and no other, is one that ends a word.
     """
 
     def __init__(self, content: str) -> None:
@@ -88,6 +101,10 @@ class WordEncoder:
         #: Whether texts may be cut into words here; by any other rules than these, the library gets whole texts.
         self.cuts = spec.get("normalizer") == _NORMALIZER and (spec.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] == _SPLIT
         self.suffixed = bool(suffix) and self.cuts
+        if self.suffixed:
+            later = spec["pre_tokenizer"]["pretokenizers"][1:]
+            bare = spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *later]}, "padding": None, "truncation": None}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
         self.ends = np.zeros(size, bool)
         if suffix:
             self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
@@ -104,7 +121,7 @@ class WordEncoder:
         out = []
         for lo in range(0, len(words), JOINED):
             some = words[lo : lo + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some) or cut[-1] != len(ids):
                 out += self._ids(some)
@@ -121,23 +138,39 @@ class WordEncoder:
         rest = iter(self._ids([r for r, p in zip(runs, parts, strict=True) if not p]))
         return [b"".join(map(get, p)) if p else next(rest) for p in parts]
 
-    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
+    def _plain_ids(self, texts: pa.Array, tail: bytes) -> list[bytes]:
+        """The ids of texts of plain signs: each distinct word is looked up once, its ids are gathered for all places."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), _SIGNS, r" \0 ")
+        runs = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+        coded = runs.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self.words.each(words, (np.bincount(at, minlength=len(words)) > 1).tolist(), self._word_ids)
+        pool = np.frombuffer(b"".join(found), self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // pool.itemsize
+        raw = b"".join(_gather(pool, sizes, at[lo : lo + GATHERED]).tobytes() for lo in range(0, len(at), GATHERED))
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        cuts = (ends[runs.offsets.to_numpy()] * pool.itemsize).tolist()
+        return [raw[a:b] + tail for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_batch(self, texts: list[str] | pa.Array, end: int) -> list[bytes]:
         """The ids of each text, and the end id after them.
 
         A text of plain signs is cut into words at once; any other at its white space, and one with signs that
         only Python takes for white space is given to the library as it is.
         """
         tail = np.array([end], self.dtype).tobytes()
-        plain = [bool(self.suffixed and _PLAIN_TEXT.fullmatch(t)) for t in texts]
-        words = [_WORD.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
-        get = self.words.of(words, self._word_ids).__getitem__
-        from_words = iter([b"".join(map(get, w)) + tail for w in words])
-        odd = [not p and (not self.cuts or any(c in t for c in _ODD)) for t, p in zip(texts, plain, strict=True)]
-        runs = [t.split() for t, p, o in zip(texts, plain, odd, strict=True) if not p and not o]
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        plain = pc.match_substring_regex(col, _PLAIN_COLUMN) if self.suffixed else pa.array([False] * len(col), pa.bool_())
+        from_words = iter(self._plain_ids(col.filter(plain), tail))
+        others = col.filter(pc.invert(plain)).to_pylist()
+        odd = [not self.cuts or any(c in t for c in _ODD) for t in others]
+        runs = [t.split() for t, o in zip(others, odd, strict=True) if not o]
         get = self.known.of(runs, self._run_ids).__getitem__
         from_runs = iter([b"".join(map(get, r)) + tail for r in runs])
-        from_library = iter([ids + tail for ids in self._ids([t for t, o in zip(texts, odd, strict=True) if o])])
-        return [next(from_words if p else from_library if o else from_runs) for p, o in zip(plain, odd, strict=True)]
+        from_library = iter([ids + tail for ids in self._ids([t for t, o in zip(others, odd, strict=True) if o])])
+        rest = iter([next(from_library if o else from_runs) for o in odd])
+        return [next(from_words if p else rest) for p in plain.to_pylist()]
 
 
 @lru_cache(maxsize=2)
@@ -265,7 +298,7 @@ def _write(batches: Iterator[pa.RecordBatch], content: str, end: int, uri: str,
     encoder = _encoder(content)
     try:
         for rows, data, offsets in text_steps(batches, size=4 << 20):
-            for doc_id, ids in zip(column(rows, "doc_id").to_pylist(), encoder.encode_batch(texts_of(data, offsets), end), strict=True):
+            for doc_id, ids in zip(column(rows, "doc_id").to_pylist(), encoder.encode_batch(strings_of(data, offsets), end), strict=True):
                 if writer is None:
                     name = f"ids-{context.partitionId():06d}-{len(made):04d}.tids"
                     writer = Writer(fs.open_output_stream(f"{path}/_{name}.{context.taskAttemptId()}"), bits)

@@ -45,6 +45,19 @@ def test_word_tokens_of_any_text(word_encoder, text):
     assert word_encoder.encode_batch([text], 1)[0] == want.tobytes()
 
 
+def test_plain_words_are_not_normalized_again(monkeypatch):
+    """Columns of plain texts, in pieces, with blank texts and every plain sign: right without the tokenizer that normalizes."""
+    encoder = T.WordEncoder(open(T.default_vocabulary(), encoding="utf-8").read())
+    signs = "".join(c for c in map(chr, range(256)) if T._PLAIN_TEXT.fullmatch(c))
+    texts = [signs, signs[::-1], " \x0b " + " ".join(signs) + "\x0c", "ÀÉ.É1É--É", "", " \t", "ab\x0bAB\x0cab\r\nZZ9", "a" * 300, *(f"Word{i % 7} wörd{i}, (x)" for i in range(500))]
+    want = [np.array([*WORD.encode(t, add_special_tokens=False).ids, 1], encoder.dtype).tobytes() for t in texts]
+    monkeypatch.setattr(T, "GATHERED", 5, raising=False)
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    monkeypatch.setattr(encoder, "_ids", lambda texts: [b""] * len(texts))  # wrong for any that come here
+    assert [encoder.encode_batch(texts, 1) for _ in range(2)] == [want] * 2
+    assert encoder.encode_batch(texts[:1], 1) == want[:1]
+
+
 def test_bytes_that_are_no_text(encoder):
     ids = np.array([BYTE.token_to_id("Ã"), BYTE.token_to_id("a"), BYTE.token_to_id("ð")], "<u4")
     assert encoder.decode_batch([ids.tobytes(), b""]) == [BYTE.decode(ids.tolist(), skip_special_tokens=False), ""]
