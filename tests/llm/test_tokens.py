@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -16,6 +17,9 @@ WORD = Tokenizer.from_file(P.path("word_bpe_49k.json"))
 ODD = st.text(st.one_of(st.sampled_from("  \n\t\x1c\x85 　'st<|>aéßÉ19²½一😀́.-ΣİÀ"), st.characters(exclude_categories=["Cs"])), max_size=40)
 
 
+COLUMNS = bpe.Encoder(open(bpe.default_vocabulary(), encoding="utf-8").read())
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.Encoder(open(bpe.default_vocabulary(), encoding="utf-8").read())
@@ -68,6 +72,39 @@ def test_special_tokens_and_long_words(encoder):
         assert encoder.encode_batch([text])[0] == _ids(text).tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(ODD, st.text(st.sampled_from(" '\n\u3000stmdrevlLé19.")), st.just("a<|endoftext|> 's  <|endoftext|>")), max_size=6))
+def test_byte_tokens_of_columns(texts):
+    """Words of any texts, all visited together; and one by one where at most three go as deep."""
+    for few in (0, 3):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bpe, "FEW", few, raising=False)
+            ids = COLUMNS.encode_batch(texts)
+            assert ids == [_ids(t).tobytes() for t in texts] and COLUMNS.decode_batch(ids) == texts
+
+
+def test_words_are_visited_together(monkeypatch):
+    """Of thousands of new words, only the few longest are visited one by one."""
+    encoder = bpe.Encoder(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    one_by_one, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: one_by_one.extend(words) or learn(words))
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.choice([32, *range(97, 117), 233], 4000))) for _ in range(10)] + ["x" * 400, "y" * 300 + " z"]
+    assert encoder.encode_batch(texts) == [_ids(t).tobytes() for t in texts]
+    assert 2 <= len(one_by_one) <= 64 < len({w for t in texts for w in t.split()}) / 10
+
+
+def test_bytes_without_a_token():
+    """A vocabulary file that lacks a byte encodes texts without it, and refuses texts with it."""
+    spec = json.loads(BYTE.to_str())
+    spec["model"]["merges"], spec["added_tokens"] = [], []
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if len(t) == 1 and t != "q"}
+    encoder, small = bpe.Encoder(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    assert encoder.encode_batch(["a b"]) == [np.array(small.encode("a b").ids, "<u4").tobytes()]
+    with pytest.raises(ValueError, match="no token"):
+        encoder.encode_batch(["a b", "q"])
+
+
 def test_digests(make, texts):
     docs = [*texts, (3, texts[3][1]), (None, "x <|endoftext|> y")]
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(make(docs)).collect())
