@@ -1,4 +1,8 @@
-"""Background segmentation of pixel tables (grid_id, row, col, r, g, b, a)."""
+"""Background segmentation of pixel tables (grid_id, row, col, r, g, b, a).
+
+Cells take far less room in Parquet than in memory, and Spark goes by the former when it decides what to broadcast. So joins of cells
+with cells are merge joins: they never pass through the driver.
+"""
 
 from __future__ import annotations
 
@@ -124,7 +128,7 @@ def regions(cells: DataFrame, key: str) -> DataFrame:
     parts = squares.over_squares(cells, label, fields).withColumn("node", F.xxhash64("grid_id", "_row", "_col")).drop("_row", "_col")
     parts = materialise(parts, "parts")
     side = lambda c, k, name, by: parts.filter(F.pmod(F.col(c), F.lit(squares.SQUARE)) == k).select("grid_id", *[(F.col(x) + (by if x == c else 0)).alias(x) for x in ("row", "col")], F.col(key).alias(f"{name}_key"), F.col("node").alias(name))
-    links = [side(c, squares.SQUARE - 1, "a", 1).join(side(c, 0, "b", 0), CELL).filter(F.col("a_key").eqNullSafe(F.col("b_key"))).select("a", "b") for c in ("row", "col")]
+    links = [side(c, squares.SQUARE - 1, "a", 1).join(side(c, 0, "b", 0).hint("merge"), CELL).filter(F.col("a_key").eqNullSafe(F.col("b_key"))).select("a", "b") for c in ("row", "col")]
     roots = components(links[0].union(links[1]))
     return parts.join(roots, "node", "left").select(*CELL, F.coalesce("root", "node").alias("region"), *[c for c in cells.columns if c not in CELL])
 
@@ -133,7 +137,7 @@ def flood_from_border(pixels: DataFrame, protected: DataFrame | None = None) ->
     """Cells (grid_id, row, col) of like pixels (column `like`) that are 4-connected to the border, none of them protected."""
     open_ = pixels.filter("like").select(*CELL, F.lit(1).alias("like"))
     if protected is not None:
-        open_ = open_.join(protected, CELL, "left_anti")
+        open_ = open_.join(protected.hint("merge"), CELL, "left_anti")
     found = regions(open_, "like").select(*CELL, "region")
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("h") - 1) | (F.col("col") == F.col("w") - 1)
     touched = found.join(sizes(pixels), "grid_id").filter(edge).select("grid_id", "region").distinct()
@@ -173,7 +177,7 @@ def background_mask(pixels: DataFrame, mode: str, height: int, width: int) -> Da
     else:
         decided = removal(pixels, ref, mask, materialise(flood_from_border(liked), "raw-mask")).filter("remove").select("grid_id", F.lit(True).alias("use"), F.lit("auto-removed").alias("decision"))
         other = "auto-kept"
-    return pixels.join(mask.withColumn("in_mask", F.lit(True)), CELL, "left").join(decided, "grid_id", "left").withColumns({"masked": F.coalesce(F.col("in_mask") & F.col("use"), F.lit(False)), "decision": F.coalesce("decision", F.lit(other))}).drop("in_mask", "use")
+    return pixels.join(mask.withColumn("in_mask", F.lit(True)).hint("merge"), CELL, "left").join(decided, "grid_id", "left").withColumns({"masked": F.coalesce(F.col("in_mask") & F.col("use"), F.lit(False)), "decision": F.coalesce("decision", F.lit(other))}).drop("in_mask", "use")
 
 
 def denoise(pixels: DataFrame, target: tuple[int, int, int], threshold: float) -> DataFrame:
